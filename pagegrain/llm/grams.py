@@ -34,6 +34,8 @@ def _fold() -> np.ndarray:
 
 FOLD = _fold()
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: For tokens of letters and digits: every other ASCII byte separates.
+NOT_ALNUM = ~(np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)]) | (np.arange(256) >= 128))
 BYTE = mix(FOLD.astype(U) + U(0x1234567))
 
 
@@ -65,7 +67,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, separators: np.ndarray = GAP) -> Words:
     data, at = buffers(column)
     n, lo, lines = len(data), 0, 0
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -73,14 +75,14 @@ def words(column: pa.Array) -> Words:
     while lo < n:
         hi = min(n, lo + BLOCK)
         if hi < n:
-            back = np.flatnonzero(GAP[data[lo:hi]])
+            back = np.flatnonzero(separators[data[lo:hi]])
             if len(back):
                 hi = lo + int(back[-1]) + 1
             else:  # one word longer than a block
-                while hi < n and not GAP[data[hi]]:
+                while hi < n and not separators[data[hi]]:
                     hi += 1
         b = data[lo:hi]
-        gap = GAP[b]
+        gap = separators[b]
         first = np.zeros(len(b) + 1, bool)
         first[0] = first[-1] = True
         first[at[(at >= lo) & (at < hi)] - lo] = True
@@ -221,6 +223,32 @@ def bands(signature: np.ndarray, b: int, r: int) -> np.ndarray:
     return mix(keys)
 
 
+def windows(group: np.ndarray, h: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of winnowed runs of `size` words: a run is picked if its hash is least among some
+    `reach` neighbouring runs of its group. Equal spans of size + reach - 1 words pick an equal run."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    sums = np.zeros(len(h) + 1, U)
+    np.cumsum(h * powers(len(h)), out=sums[1:])
+    g = mix((sums[size:] - sums[:n]) * powers(n, pow(_BASE, -1, 1 << 64)))
+    g[group[:n] != group[size - 1 :]] = U(2**64 - 1)
+
+    def slide(x: np.ndarray, width: int, f) -> np.ndarray:
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            x = f(x[:-step], x[step:])
+            done += step
+        return x
+
+    pad = np.full(reach - 1, U(2**64 - 1))
+    least = slide(np.concatenate((pad, g, pad)), reach, np.minimum)
+    picked = (slide(least, reach, np.maximum) == g) & (g != U(2**64 - 1))
+    # A window that reaches past a group's end isn't one of its windows; it can only add picks.
+    return np.flatnonzero(picked), g[picked]
+
+
 def lists(group: np.ndarray, values: np.ndarray, groups: int) -> pa.Array:
     """Values of sorted groups as an Arrow list a group."""
     at = np.zeros(groups + 1, np.int32)
