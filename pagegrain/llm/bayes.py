@@ -20,7 +20,8 @@ from .common import small_batches, table, written
 
 #: Labelled rows at most that the classifier is fitted on; those of the least hash of doc_id.
 FIT_ROWS = 12_000
-DIMS, EPOCHS, RATE, RIDGE = 1 << 16, 40, 0.5, 2e-5
+DIMS, EPOCHS, RATE, RIDGE = 1 << 18, 150, 0.3, 1e-5
+MIN_DOCS, G2 = 4, 15.0
 STYLE = 5
 HEADS = ("quality", "toxic")
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>!@=+_~^", np.uint8))
@@ -58,20 +59,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _telling(doc: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Words (a mask over DIMS) whose presence and the label go together by more than chance: a likelihood
+    ratio of G2 at least, in MIN_DOCS documents at least. Others would only be learned by heart."""
+    n, pos = len(y), y.sum()
+    both, of = np.bincount(feature, y[doc], minlength=DIMS), np.bincount(feature, minlength=DIMS)
+    g = np.zeros(DIMS)
+    for seen, expected in ((both, of * pos / n), (of - both, of * (n - pos) / n), (pos - both, (n - of) * pos / n), (n - of - pos + both, (n - of) * (n - pos) / n)):
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
+    return (of >= MIN_DOCS) & (g >= G2)
+
+
 def _fit(doc: np.ndarray, feature: np.ndarray, style: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (DIMS words, STYLE numbers, constant) of a ridge-penalised logistic model, by AdaGrad over
-    all rows. One class only: the constant alone, at its smoothed odds."""
+    """Weights (DIMS words, STYLE numbers, constant) of a ridge-penalised logistic model of the telling words,
+    by AdaGrad over all rows. One class only: the constant alone, at its smoothed odds."""
     weights, n = np.zeros(DIMS + STYLE + 1), len(y)
     p = (y.sum() + 0.5) / (n + 1.0)
     weights[-1] = np.log(p / (1 - p))
     if n == 0 or y.min() == y.max():
         return weights
-    total = np.full(len(weights), 1e-8)
-    norm = 1.0 / np.sqrt(np.maximum(np.bincount(doc, minlength=n), 1))[doc]
+    on = _telling(doc, feature, y)[feature]
+    doc, feature = doc[on], feature[on]
+    total = np.full(len(weights), 1e-10)
     for _ in range(EPOCHS):
-        score = np.bincount(doc, weights[feature] * norm, minlength=n) + style @ weights[DIMS:-1] + weights[-1]
+        score = np.bincount(doc, weights[feature], minlength=n) + style @ weights[DIMS:-1] + weights[-1]
         error = (_sigmoid(score) - y) / n
-        grad = np.concatenate((np.bincount(feature, error[doc] * norm, minlength=DIMS), error @ style, [error.sum()])) + RIDGE * np.concatenate((weights[:-1], [0.0]))
+        grad = np.concatenate((np.bincount(feature, error[doc], minlength=DIMS), error @ style, [error.sum()])) + RIDGE * np.concatenate((weights[:-1], [0.0]))
         total += grad * grad
         weights -= RATE * grad / np.sqrt(total)
     return weights
@@ -83,8 +96,7 @@ def _scorer(model):
         for batch in batches:
             doc, feature, style = _features(batch.column("text"))
             n = batch.num_rows
-            norm = 1.0 / np.sqrt(np.maximum(np.bincount(doc, minlength=n), 1))[doc]
-            out = [np.bincount(doc, w[feature] * norm, minlength=n)[:n] + style @ w[DIMS:-1] + w[-1] for w in heads]
+            out = [np.bincount(doc, w[feature], minlength=n)[:n] + style @ w[DIMS:-1] + w[-1] for w in heads]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), *map(pa.array, out)], names=["doc_id", "host", "path", *HEADS])
 
     return score
