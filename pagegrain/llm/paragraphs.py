@@ -84,18 +84,23 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = written(spark, owner.join(nodes, "node").selectExpr("o.doc_id own", "o.raw own_raw").distinct(), "wanted")
-        texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("raw") == F.col("own_raw")), "left_semi").select("text")
+        texts = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("raw") == F.col("own_raw")), "left_semi").select("text")
         with small_batches(spark):
             sets = written(spark, texts.mapInArrow(_sets, "node bigint, items array<bigint>"), "sets")
         return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     comps = classes(spark, lines.select("node", F.explode("keys").alias("key")), fetch, THRESHOLD)
     release(spark)
-    joined = units.drop("keys").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node")).drop("comp", "node")
-    joined = joined.withColumn("own", F.xxhash64("doc_id", "raw"))
-    heads = joined.groupBy("class_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n_class"), F.min(F.struct("doc_id", "first_word")).alias("head"))
-    heads = written(spark, heads.where("lo < hi").drop("lo", "hi"), "heads")
-    out = joined.join(heads, "class_id")
+    # Most units come once: only those of repeated nodes, or of nodes with a partner, go on.
+    units = units.drop("keys").withColumn("own", F.xxhash64("doc_id", "raw")).drop("raw")
+    twice = units.groupBy("node").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("node", F.col("node").alias("comp"))
+    twice = written(spark, comps.unionByName(twice.join(comps.select("node").hint("merge"), "node", "left_anti")), "twice")
+    release(spark)
+    joined = written(spark, units.join(twice.hint("merge"), "node").drop("node").withColumnRenamed("comp", "class_id"), "repeated")
+    release(spark)
+    sizes = joined.groupBy("class_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n_class"), F.min(F.struct("doc_id", "first_word")).alias("head"))
+    heads = written(spark, sizes.where("lo < hi").drop("lo", "hi"), "heads")
+    out = joined.join(heads.hint("merge"), "class_id")
     return out.selectExpr("doc_id", "first_word", "n_words", "class_id", "n_class", "not (doc_id <=> head.doc_id and first_word = head.first_word) removed")
 
 
