@@ -69,7 +69,9 @@ def plan(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS) -
 def draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
     """(sk, block, slot, shard): one row a slot of the mix, every slot once."""
     chunk = sources.where("quota > 0").select("*", F.explode(F.expr(f"sequence(0L, (quota - 1) div {CHUNK})")).alias("c"))
-    chunk = chunk.repartition("sk", "c")
+    slots = sources.agg(F.max("slots")).first()[0] or 0
+    # A stated number: adaptive execution would put so few rows into one task.
+    chunk = chunk.repartition(int(min(20_000, slots // (2 * CHUNK) + 1)), "sk", "c")
     each = chunk.select("*", F.explode_outer(F.expr(f"sequence(c * {CHUNK}, least(quota, (c + 1) * {CHUNK}) - 1)")).alias("j"))
     slot = permuted("start + j", "slots", f"{key}L")
     block = permuted("j % blocks", "blocks", f"xxhash64(sk, j div blocks, {key}L)")
@@ -104,9 +106,9 @@ def taken(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS)
     placed = written(spark, _placed(keyed, starts, n), "placed")
     uses = draws(sources).groupBy("sk", "block").agg(F.count("*").alias("m"))
     pieces = _pieces(placed, block_words).select("__pg_id", "sk", "off", "block", F.expr("hi - lo").alias("words"))
-    got = pieces.join(uses, ["sk", "block"]).groupBy("sk", "off").agg(F.sum(F.expr("words * m")).alias("taken"))
+    got = pieces.join(uses.hint("merge"), ["sk", "block"]).groupBy("sk", "off").agg(F.sum(F.expr("words * m")).alias("taken"))
     got = got.withColumn("some", F.lit(True))
-    out = placed.withColumn("some", F.col("size") > 0).join(got, ["sk", "off", "some"], "left").join(sources.select("sk", "source_size", "target"), "sk")
+    out = placed.withColumn("some", F.col("size") > 0).join(got.hint("merge"), ["sk", "off", "some"], "left").join(sources.select("sk", "source_size", "target"), "sk")
     return out.selectExpr("__pg_id doc_id", "size", "source_size", "target", "coalesce(taken, 0L) taken")
 
 
@@ -124,7 +126,7 @@ def mixed(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS)
         f"array_join(slice(__pg_words, cast(greatest(0L, k * {b} - off) + 1 as int), cast(least(size, (k + 1) * {b} - off) - greatest(0L, k * {b} - off) as int)), '')))"
     )).alias("p"))
     each = each.select("sk", "p.block", "p.text", *[F.col(f"__pg_row.`{c}`").alias(f"__pg_{i}") for i, c in enumerate(docs.columns) if c != "text"])
-    out = each.join(draws(sources).select("sk", "block"), ["sk", "block"])
+    out = each.join(draws(sources).select("sk", "block").hint("merge"), ["sk", "block"])
     columns = []
     for i, c in enumerate(docs.columns):
         column = F.col("text") if c == "text" else F.char_length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"__pg_{i}")
