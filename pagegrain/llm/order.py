@@ -21,7 +21,7 @@ from .common import release, settings, small_batches, table, written
 from .feistel import permuted
 
 LENGTH, SHARD_SLOTS, KEY = 1024, 8192, 7
-ROWS_A_BUCKET = 5_000
+ROWS_A_BUCKET = 2_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that goes with that vocabulary, and an id it leaves free: the end of a document.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WINDOW, GRAM = 13, 8
+#: Bits of a fingerprint for its place: texts of up to 2^28 words. The rest, 36, only select candidates.
+PLACE = 28
 #: Fingerprints that one broadcast may hold: 16 bytes each. More go through a shuffled join.
 BROADCAST_FINGERPRINTS = 1_000_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -20,22 +22,17 @@ def _words(text: str) -> str:
 
 
 def _selected(df: DataFrame, span: int) -> DataFrame:
-    """df (w array<string>, ...) with `fp`: (pos, hash) of every k-gram that is least in some window of
-    span - k + 1 k-grams, k = min(span, GRAM). Any shared run of `span` words selects a shared k-gram.
-    Texts of fewer than `span` words have none."""
+    """df (w array<string>, ...) with `fp`: winnowed fingerprints, the least k-gram hash of every window of
+    span - k + 1 k-grams, k = min(span, GRAM). Any shared run of `span` words picks a shared k-gram. A
+    fingerprint is one long: the upper bits of the hash, and the k-gram's place in the lower PLACE bits, so
+    that the least one carries its place. Texts of fewer than `span` words have none."""
     k = min(span, GRAM)
     v = span - k + 1
     df = df.withColumn("__h", F.expr(f"if(size(w) < {span}, null, transform(w, x -> xxhash64(x)))"))
-    if k > 1:
-        df = df.withColumn("__g", F.expr(f"if(__h is null, null, transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(__h, i, {k}))))")).drop("__h")
-    else:
-        df = df.withColumnRenamed("__h", "__g")
-    if v == 1:
-        return df.withColumn("fp", F.expr("transform(__g, (g, i) -> named_struct('pos', i, 'hash', g))")).drop("__g")
-    df = df.withColumn("__m", F.expr(f"if(__g is null, null, transform(sequence(1, size(__g) - {v - 1}), i -> array_min(slice(__g, i, {v}))))"))
-    least = f"array_max(slice(__m, greatest(1, i - {v - 2}), least(i + 1, size(__m)) - greatest(1, i - {v - 2}) + 1))"
-    picked = f"filter(transform(__g, (g, i) -> if(g = {least}, named_struct('pos', i, 'hash', g), null)), x -> x is not null)"
-    return df.withColumn("fp", F.expr(f"if(__g is null, null, {picked})")).drop("__g", "__m")
+    gram = f"xxhash64(slice(__h, i + 1, {k}))" if k > 1 else "__h[i]"
+    df = df.withColumn("__g", F.expr(f"if(__h is null, null, transform(sequence(0, size(w) - {k}), i -> (({gram}) & {-(1 << PLACE)}L) | i))")).drop("__h")
+    least = f"array_distinct(transform(sequence(1, size(__g) - {v - 1}), i -> array_min(slice(__g, i, {v}))))" if v > 1 else "__g"
+    return df.withColumn("fp", F.expr(f"if(__g is null, null, {least})")).drop("__g")
 
 
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -55,9 +52,9 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = W
         own = items.where(f"least(size(w), {window}) = {span}")
         gram = own.select("item_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {span - 1}), i -> array_join(slice(w, i, {span}), ' '))")).alias("gram"))
         windows = written(spark, gram.groupBy("gram").agg(F.collect_set("item_id").alias("item_ids")), "windows")
-        prints = written(spark, _selected(own.select("w"), span).select(F.explode_outer("fp.hash").alias("hash")).distinct(), "prints")
+        prints = written(spark, _selected(own.select("w"), span).select(F.explode_outer("fp").alias("f")).selectExpr(f"shiftright(f, {PLACE}) hash").distinct(), "prints")
         small = prints.count() <= BROADCAST_FINGERPRINTS
-        found = _selected(docs, span).select("doc_id", "raw", "w", F.explode_outer("fp").alias("f")).selectExpr("doc_id", "raw", "w", "f.pos pos", "f.hash hash")
+        found = _selected(docs, span).select("doc_id", "raw", "w", F.explode_outer("fp").alias("f")).selectExpr("doc_id", "raw", "w", f"cast(f & {(1 << PLACE) - 1}L as int) pos", f"shiftright(f, {PLACE}) hash")
         lo = f"greatest(0, pos - {span - k})"
         context = [F.expr(lo).alias("lo"), F.expr(f"slice(w, {lo} + 1, pos + {span} - {lo})").alias("c")]
         if small:
