@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import extraction, sessions
+from .relational import RELATIONAL
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+
+def _relational(tables: tuple[str, ...], text: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not tables:
+            return spark.sql(text.replace("{{", "{").replace("}}", "}"))
+        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+
+    return run
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+QUERIES: dict[str, Query] = {name: _relational(tables, text) for name, (tables, text, _) in RELATIONAL.items()}
+QUERIES |= {
+    "extract_markdown": extraction.q_extract_markdown, "page_metrics": extraction.q_page_metrics,
+    "page_blocks": extraction.q_page_blocks, "nav_session_replay": sessions.q_nav_session_replay,
+}
+ORACLES: dict[str, str] = {name: duck for name, (_, _, duck) in RELATIONAL.items()}
+FLAGSHIP = extraction.q_page_metrics
