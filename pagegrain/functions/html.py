@@ -117,7 +117,7 @@ def _hidden(n: Node) -> bool:
 
 def clean(root: Node, is_article: bool) -> None:
     """Takes page furniture out of a root. What holds more than half of the root's words always stays."""
-    for n in root.find(*DROPPED):
+    for n in root.find("title", *DROPPED):
         n.drop()
     total = root.weight()
     for n in list(root.walk()):
