@@ -130,7 +130,8 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     """Shard files path/shard=S/part-*, one each: records of fixed stride in order of slot. Spark's text
     writer puts a record's bytes down as they are, then its line feed; the job's commit is atomic and a
     lost task is written anew."""
-    ordered.select("shard", F.col("tokens").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    rows = ordered.sortWithinPartitions("shard", "slot")  # the order that a partitioned write asks for, and ours in it
+    rows.select("shard", F.col("tokens").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def read_record(shard_file, slot: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> np.ndarray:
