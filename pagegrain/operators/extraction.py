@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,51 @@ def q_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(_pages(spark, sf_dir))
+
+
+_LINES = "page_id bigint, line int, kind string, soft boolean, text string"
+
+
+def laid_out(pages: DataFrame, width: int = 80) -> DataFrame:
+    """(page_id, line, kind, soft, text): extracted pages as lines of a width."""
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.layout import lines
+
+        schema = pa.schema([("page_id", pa.int64()), ("line", pa.int32()), ("kind", pa.string()), ("soft", pa.bool_()), ("text", pa.string())])
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                found = [(b["kind"], b["text"]) for b in extract(r["html"], r["url"])["blocks"]]
+                rows.extend({"page_id": r["page_id"], "line": i, "kind": k, "soft": s, "text": t} for i, (k, s, t) in enumerate(lines(found, width)))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, _LINES)
+
+
+def resolved(links: DataFrame) -> DataFrame:
+    """links (url, href, ...) with target and followed; each distinct pair is resolved once a batch."""
+    ship(links.sparkSession)
+
+    def run(url: pd.Series, href: pd.Series) -> pd.DataFrame:
+        from ..functions.links import resolve
+
+        seen = {p: resolve(*p) for p in set(zip(url, href, strict=True))}
+        return pd.DataFrame([seen[p] for p in zip(url, href, strict=True)], columns=["target", "followed"])
+
+    return links.withColumn("r", F.pandas_udf(run, "target string, followed boolean")("url", "href")).select(*links.columns, "r.target", "r.followed")
+
+
+def q_layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laid_out(_pages(spark, sf_dir))
+
+
+def q_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = q_page_blocks(spark, sf_dir).where("kind = 'heading'")
+    return found.select("page_id", "ord", F.expr("cast(length(regexp_extract(text, '^(#+)', 1)) as int)").alias("level"), F.expr("regexp_replace(text, '^#+ ', '')").alias("text"))
+
+
+def q_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(F.expr("regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)")).alias("ord", "href"))
+    return resolved(found)

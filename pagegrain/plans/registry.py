@@ -24,7 +24,8 @@ def _relational(tables: tuple[str, ...], text: str) -> Query:
 QUERIES: dict[str, Query] = {name: _relational(tables, text) for name, (tables, text, _) in RELATIONAL.items()}
 QUERIES |= {
     "extract_markdown": extraction.q_extract_markdown, "page_metrics": extraction.q_page_metrics,
-    "page_blocks": extraction.q_page_blocks, "nav_session_replay": sessions.q_nav_session_replay,
+    "page_blocks": extraction.q_page_blocks, "layout_lines": extraction.q_layout_lines, "page_headings": extraction.q_headings, "resolved_links": extraction.q_resolved_links,
+    "nav_session_replay": sessions.q_nav_session_replay,
 }
 ORACLES: dict[str, str] = {name: duck for name, (_, _, duck) in RELATIONAL.items()}
 FLAGSHIP = extraction.q_page_metrics
