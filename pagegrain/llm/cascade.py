@@ -27,7 +27,7 @@ RULES = (
     Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > n_words"),
     Rule("capitals", ("n_capitals", "n_small"), "n_capitals > n_small"),
-    Rule("dup_lines", ("n_lines", "n_dup_lines"), "10 * n_dup_lines > 3 * n_lines"),
+    Rule("dup_lines", ("n_lines", "n_dup_lines"), "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
     Rule("repeat_words", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 50 * n_words"),
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -151,6 +151,6 @@ f as (select d.doc_id, len(words)::bigint as n_words,
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
   not (n_words < 50 or word_chars < 2 * n_words or word_chars > 15 * n_words or 10 * n_symbols > n_words
-    or n_capitals > n_small or 10 * n_dup_lines > 3 * n_lines or 100 * n_repeat_words > 50 * n_words) as kept
+    or n_capitals > n_small or (n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines) or 100 * n_repeat_words > 50 * n_words) as kept
 from f
 """
