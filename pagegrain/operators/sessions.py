@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..session import ship
+from .folds import ordered_fold
 
 STACK = 200
 
@@ -25,20 +25,16 @@ def step(back: list[str], here: str | None, forward: list[str], kind: str, url:
     return back, here, forward
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    back: list[str] = []
-    forward: list[str] = []
-    here, out = None, []
-    for r in rows.sort_values("seq").itertuples(index=False):
-        back, here, forward = step(back, here, forward, r.kind, r.url)
-        out.append((r.session, r.seq, here, len(back), len(forward)))
-    return pd.DataFrame(out, columns=["session", "seq", "here", "n_back", "n_forward"])
+def _advance(stacks: list, r: dict) -> list[dict]:
+    stacks[:] = step(*stacks, r["kind"], r["url"])
+    back, here, forward = stacks
+    return [{"session": r["session"], "seq": r["seq"], "here": here, "n_back": len(back), "n_forward": len(forward)}]
 
 
 def replay(events: DataFrame) -> DataFrame:
     """(session, seq, here, n_back, n_forward) after each event of events (session, seq, kind, url)."""
-    ship(events.sparkSession)
-    return events.groupBy("session").applyInPandas(_replay, "session bigint, seq bigint, here string, n_back int, n_forward int")
+    out = StructType.fromDDL("session bigint, seq bigint, here string, n_back int, n_forward int")
+    return ordered_fold(events.select("session", "seq", "kind", "url"), "session", "seq", lambda: [[], None, []], _advance, out)
 
 
 def q_nav_session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
