@@ -9,9 +9,13 @@ _LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)")
 _MARKS = re.compile(r"\*\*|~~|(?<!\w)\*|\*(?!\w)|`")
 
 
+#: Marks around a link's text while it is laid out; they take no cells.
+OPEN, CLOSE = "\ue000", "\ue001"
+
+
 def cells(text: str) -> int:
-    """Terminal cells of a text: wide characters take two, combining ones none."""
-    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+    """Terminal cells of a text: wide characters take two, combining ones and link marks none."""
+    return sum(0 if c in (OPEN, CLOSE) or unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 def plain(text: str) -> str:
@@ -42,6 +46,38 @@ def wrap(text: str, width: int) -> list[str]:
     return out + [line] if line else out
 
 
+def spans(blocks: list[tuple[str, str]], width: int) -> list[tuple[int, int, int, int, str]]:
+    """(line, from, to, link, target) of link texts on lines(blocks, width), in cells; a link that goes on on the
+    next lines has a span on each. Links are numbered by the first place of their target, from 1."""
+    targets: list[str] = []
+
+    def marked(m: re.Match) -> str:
+        targets.append(m[2])
+        return OPEN + m[1] + CLOSE
+
+    texts = [(k, t if k in ("code", "rule") else _LINK.sub(marked, t.replace(OPEN, "").replace(CLOSE, ""))) for k, t in blocks]
+    number: dict[str, int] = {}
+    out, seen, inside = [], 0, False
+    for n, (kind, _, text) in enumerate(lines(texts, width)):
+        if kind == "code":
+            continue
+        lead = re.match(r"[\s•│]*", text)[0] if inside else ""
+        at = start = cells(lead)
+        for c in text[len(lead) :]:
+            if c == OPEN:
+                inside, start = True, at
+            elif c == CLOSE and inside:
+                target = targets[seen]
+                if at > start:
+                    out.append((n, start, at, number.setdefault(target, len(number) + 1), target))
+                seen, inside = seen + 1, False
+            else:
+                at += cells(c)
+        if inside and at > start and seen < len(targets):
+            out.append((n, start, at, number.setdefault(targets[seen], len(number) + 1), targets[seen]))
+    return out
+
+
 def lines(blocks: list[tuple[str, str]], width: int) -> list[tuple[str, bool, str]]:
     """(kind, soft, text) a line: soft lines go on the one before. Blocks are parted by a blank line."""
     width = max(width, 10)

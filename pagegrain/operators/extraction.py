@@ -83,6 +83,48 @@ def laid_out(pages: DataFrame, width: int = 80) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, _LINES)
 
 
+def link_spans(pages: DataFrame, width: int = 80) -> DataFrame:
+    """(page_id, line, start, stop, link, target): where the links of laid-out pages stand, in cells."""
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.layout import spans
+
+        names = ("line", "start", "stop", "link", "target")
+        schema = pa.schema([("page_id", pa.int64()), *((n, pa.int32()) for n in names[:4]), ("target", pa.string())])
+        for batch in batches:
+            rows = [{"page_id": r["page_id"]} | dict(zip(names, x, strict=True)) for r in batch.to_pylist() for x in spans([(b["kind"], b["text"]) for b in extract(r["html"], r["url"])["blocks"]], width)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, line int, start int, stop int, link int, target string")
+
+
+def code_blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, ord, lang, guessed, code): code blocks; where no language is declared, one that is sure is guessed."""
+    from ..functions.code import guessed_language
+
+    found = extracted(pages).select("page_id", F.posexplode("blocks").alias("ord", "b")).where("b.kind = 'code'")
+    shape = r"(?s)\A`{3,}([^\n]*)\n(.*)\n`{3,}\z"
+    found = found.select("page_id", "ord", F.regexp_extract("b.text", shape, 1).alias("said"), F.regexp_extract("b.text", shape, 2).alias("code"))
+    guess = F.when(F.col("said") == "", guessed_language(F.col("code"))).otherwise("")
+    return found.select("page_id", "ord", F.coalesce(F.nullif("said", F.lit("")), guess).alias("lang"), (guess != "").alias("guessed"), "code")
+
+
+def highlighted(blocks: DataFrame) -> DataFrame:
+    """blocks (page_id, ord, lang, code) with tokens, an array of (kind, text) that joins to the code: each distinct
+    code of a language is read once, then joined back by its digest."""
+    ship(blocks.sparkSession)
+
+    def run(code: pd.Series) -> pd.Series:
+        from ..functions.tokens import tokens
+
+        return pd.Series([[{"kind": k, "text": t} for k, t in tokens(c)] if c is not None else None for c in code], dtype=object)
+
+    keyed = blocks.withColumn("__k", F.sha2(F.concat_ws("\0", F.coalesce("lang", F.lit("")), "code"), 256))
+    once = keyed.groupBy("__k").agg(F.any_value("code").alias("__c")).select("__k", F.pandas_udf(run, "array<struct<kind: string, text: string>>")("__c").alias("tokens"))
+    return keyed.join(once, "__k").drop("__k")
+
+
 def resolved(links: DataFrame) -> DataFrame:
     """links (url, href, ...) with target and followed; each distinct pair is resolved once a batch."""
     ship(links.sparkSession)
@@ -108,3 +150,8 @@ def q_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(F.expr("regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)")).alias("ord", "href"))
     return resolved(found)
+
+
+def q_link_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, their navigation and article tags taken off: the generated links all stand in navigation, which extraction drops."""
+    return link_spans(_pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", "</?(nav|article)>", "")))

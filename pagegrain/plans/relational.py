@@ -108,13 +108,13 @@ RELATIONAL: dict[str, tuple[tuple[str, ...], str, str]] = {
     "keep_last_n": _pair("select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as r from {events}) where r <= 20", "select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r <= 20", "events"),
     "lru_recency_set": _pair(f"select user_id, url from (select user_id, url, row_number() over (partition by user_id order by max(pos) desc) as r from {_VISITS} group by user_id, url) where r <= 3", f"select user_id, url from (select user_id, url, row_number() over (partition by user_id order by max(pos) desc) as r from {_VISITS_D} group by user_id, url) where r <= 3", "events"),
     "category_report": _pair(
-        "select lang, source, count(*) as n, cast(median(n_chars) as double) as mid, element_at(sort_array(collect_list(n_chars)), cast(count(n_chars) div 10 as int) + 1) as p10, count_if(n_chars < 50) as near_empty from {documents} group by lang, source",
+        "select lang, source, sum(n) as n, min(if(upto * 2 >= known, n_chars, null)) / 2D + min(if(upto * 2 > known, n_chars, null)) / 2D as mid, min(if(upto > known div 10, n_chars, null)) as p10, sum(if(n_chars < 50, n, 0)) as near_empty from (select *, sum(if(n_chars is null, 0, n)) over (partition by lang, source order by n_chars nulls first) as upto, sum(if(n_chars is null, 0, n)) over (partition by lang, source) as known from (select lang, source, n_chars, count(*) as n from {documents} group by lang, source, n_chars)) group by lang, source",
         "select lang, source, count(*) as n, median(n_chars)::double as mid, list_sort(list(n_chars))[count(n_chars) // 10 + 1] as p10, count(*) filter (n_chars < 50) as near_empty from documents group by lang, source", "documents"),
     "most_common": _pair("select source, count(*) as n from {documents} group by source order by n desc, source limit 5", "select source, count(*) as n from documents group by source order by n desc, source limit 5", "documents"),
     "worst_k": _pair("select doc_id, n_chars from {documents} where n_chars < 5000 order by n_chars, doc_id limit 25", "select doc_id, n_chars from documents where n_chars < 5000 order by n_chars, doc_id limit 25", "documents"),
     "bench_compare": _pair(
-        "select coalesce(b.name, c.name) as name, case when b.ns is null or b.ns = 0 then 'NEW' when c.ns is null or c.ns = 0 then 'GONE' when c.ns > 1.25 * b.ns then 'REGRESSION' when c.ns < 0.75 * b.ns then 'faster' else 'ok' end as verdict from (select source as name, max(n_chars) as ns from {documents} where doc_id % 2 = 0 and source <> 'src3' group by source) b full join (select source as name, max(n_chars) as ns from {documents} where doc_id % 2 = 1 and source <> 'src4' group by source) c on b.name = c.name",
-        "select coalesce(b.name, c.name) as name, case when b.ns is null or b.ns = 0 then 'NEW' when c.ns is null or c.ns = 0 then 'GONE' when c.ns > 1.25 * b.ns then 'REGRESSION' when c.ns < 0.75 * b.ns then 'faster' else 'ok' end as verdict from (select source as name, max(n_chars) as ns from documents where doc_id % 2 = 0 and source <> 'src3' group by source) b full join (select source as name, max(n_chars) as ns from documents where doc_id % 2 = 1 and source <> 'src4' group by source) c on b.name = c.name", "documents"),
+        "select coalesce(b.name, c.name) as name, case when b.ns is null or b.ns = 0 then 'NEW' when c.ns is null or c.ns = 0 then 'GONE' when c.ns > 1.25 * b.ns then 'REGRESSION' when c.ns < 0.75 * b.ns then 'faster' when c.ns > 1.1 * b.ns then 'warning' else 'ok' end as verdict from (select event_type as name, max(event_id) as ns from {events} where ts < timestamp '2024-01-10 00:00:00' group by event_type union all select 'left', 5) b full join (select event_type as name, max(event_id) as ns from {events} where ts >= timestamp '2024-01-10 00:00:00' group by event_type union all select 'come', 7) c on b.name = c.name",
+        "select coalesce(b.name, c.name) as name, case when b.ns is null or b.ns = 0 then 'NEW' when c.ns is null or c.ns = 0 then 'GONE' when c.ns > 1.25 * b.ns then 'REGRESSION' when c.ns < 0.75 * b.ns then 'faster' when c.ns > 1.1 * b.ns then 'warning' else 'ok' end as verdict from (select event_type as name, max(event_id) as ns from events where ts < timestamp '2024-01-10 00:00:00' group by event_type union all select 'left', 5) b full join (select event_type as name, max(event_id) as ns from events where ts >= timestamp '2024-01-10 00:00:00' group by event_type union all select 'come', 7) c on b.name = c.name", "events"),
     "coverage_diff": _pair("select doc_id, 'missing' as side from (select doc_id from {documents} except select doc_id from {labels}) union all select doc_id, 'extra' as side from (select doc_id from {labels} except select doc_id from {documents})", "select doc_id, 'missing' as side from (select doc_id from documents except select doc_id from labels) union all select doc_id, 'extra' as side from (select doc_id from labels except select doc_id from documents)", "documents", "labels"),
     "key_conflicts": _pair(f"select key, action, cast(n as bigint) as n from (select *, row_number() over (partition by key order by ord) as r, count(*) over (partition by key) as n from {_KEYS}) where r = 1"),
     "semver_order": _pair(
@@ -134,4 +134,10 @@ RELATIONAL: dict[str, tuple[tuple[str, ...], str, str]] = {
     "cache_stats": _pair("select count(*) as entries, sum(length(html)) as size from {pages}", "select count(*) as entries, sum(length(html))::bigint as size from pages", "pages"),
     "turn_neighbours": _pair("select conv_id, turn, lag(turn) over w as before, lead(turn) over w as after from {conversations} window w as (partition by conv_id order by turn)", "select conv_id, turn, lag(turn) over w as before, lead(turn) over w as after from conversations window w as (partition by conv_id order by turn)", "conversations"),
     "hint_labels": _pair("select concat(a, b) as label, cast(row_number() over (order by a, b) as bigint) as ord from (values ('a'), ('s'), ('d'), ('f'), ('g'), ('h'), ('j'), ('k'), ('l')) as x(a) cross join (values ('a'), ('s'), ('d'), ('f'), ('g'), ('h'), ('j'), ('k'), ('l')) as y(b)"),
+    "status_hints": _pair(
+        "select page_id, status, case when status in (401, 403) then 'refused' when status in (404, 410) then 'gone' when status = 429 then 'wait' when status = 451 then 'legal' when status >= 500 then 'failing' when status >= 400 then 'error' else '' end as hint from (select page_id, element_at(array(200, 301, 401, 403, 404, 408, 410, 418, 429, 451, 500, 503), cast(page_id % 12 as int) + 1) as status from {pages})",
+        "select page_id, status, case when status in (401, 403) then 'refused' when status in (404, 410) then 'gone' when status = 429 then 'wait' when status = 451 then 'legal' when status >= 500 then 'failing' when status >= 400 then 'error' else '' end as hint from (select page_id, ([200, 301, 401, 403, 404, 408, 410, 418, 429, 451, 500, 503])[(page_id % 12)::int + 1] as status from pages)", "pages"),
+    "error_page_titles": _pair(
+        r"select page_id, if(length(t) > 60, concat(substr(t, 1, 60), '…'), t) as title from (select page_id, trim(regexp_replace(regexp_extract(substr(html, 1, 65536), '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\n\\r]+', ' ')) as t from {pages})",
+        r"select page_id, case when length(t) > 60 then substr(t, 1, 60) || '…' else t end as title from (select page_id, trim(regexp_replace(regexp_extract(substr(html, 1, 65536), '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\r]+', ' ', 'g')) as t from pages)", "pages"),
 }

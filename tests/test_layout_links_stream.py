@@ -1,7 +1,9 @@
 """Layout invariants, link resolution, and stream against batch."""
 
-from pagegrain.functions.layout import cells, lines, wrap
+from pagegrain.functions.layout import cells, lines, spans, wrap
 from pagegrain.functions.links import resolve
+from pagegrain.functions.tokens import tokens
+from pagegrain.operators.extraction import code_blocks, highlighted
 from pagegrain.operators.sessions import replay
 from pagegrain.streaming.replay import replay_stream
 
@@ -37,3 +39,20 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     want = replay(spark.createDataFrame(rows, schema))
     assert sorted(spark.table("replayed").collect()) == sorted(want.collect())
+
+
+def test_link_spans():
+    blocks = [("paragraph", "see [one two three four](http://a) and [b](http://b), [again](http://a)"), ("code", "```\n[x](y)\n```"), ("list", "- [c](http://c)")]
+    got = spans(blocks, 16)
+    shown = [t for _, _, t in lines(blocks, 16)]
+    assert [(n, shown[n][a:b], k, t) for n, a, b, k, t in got] == [(0, "one two", 1, "http://a"), (1, "three four", 1, "http://a"), (2, "b", 2, "http://b"), (2, "again", 1, "http://a"), (8, "c", 3, "http://c")]
+
+
+def test_highlighting(spark):
+    code = 'def f(x):  # note\n    return "a" + 1\n'
+    assert "".join(t for _, t in tokens(code)) == code and ("keyword", "return") in tokens(code) and tokens("") == []
+    page = f"<pre><code>{code}</code></pre>"
+    pages = spark.createDataFrame([(1, "http://a", page), (2, "http://b", page), (3, None, None)], "page_id bigint, url string, html string")
+    rows = highlighted(code_blocks(pages)).collect()
+    assert [r.page_id for r in sorted(rows)] == [1, 2] and all("".join(t.text for t in r.tokens) == r.code for r in rows)
+    assert [(r.lang, r.guessed) for r in rows] == [("", False)] * 2
