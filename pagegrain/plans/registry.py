@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import code, text
 from ..operators import extraction, fallback, markdown, memory, sessions
 from .relational import RELATIONAL
+from .reports import REPORTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +51,7 @@ _DOC_SECTIONS = r"""select doc_id, ord::int as ord, 'the-next-part' as slug, 'Th
 from (select doc_id, unnest(l[2:]) as line, generate_subscripts(l[2:], 1) as ord from (select doc_id, string_split(text, chr(10)) as l from documents))"""
 _SNIPPETS = ", ".join("({}, '{}')".format(-1 - i, c.replace("'", "'" * 2)) for i, c in enumerate(code.SAMPLES))
 
-QUERIES: dict[str, Query] = {name: _relational(tables, text) for name, (tables, text, _) in RELATIONAL.items()}
+QUERIES: dict[str, Query] = {name: _relational(tables, text) for name, (tables, text, _) in (RELATIONAL | REPORTS).items()}
 QUERIES |= {
     "extract_markdown": extraction.q_extract_markdown, "page_metrics": extraction.q_page_metrics,
     "page_blocks": extraction.q_page_blocks, "layout_lines": extraction.q_layout_lines, "page_headings": extraction.q_headings, "resolved_links": extraction.q_resolved_links,
@@ -58,7 +59,7 @@ QUERIES |= {
     "page_introductions": lambda spark, sf_dir: markdown.introductions(extraction.q_extract_markdown(spark, sf_dir)),
     "doc_sections": q_doc_sections, "guess_language": q_guess_language, "resolve_input": q_resolve_input,
 }
-ORACLES: dict[str, str] = {name: duck for name, (_, _, duck) in RELATIONAL.items()}
+ORACLES: dict[str, str] = {name: duck for name, (_, _, duck) in (RELATIONAL | REPORTS).items()}
 ORACLES |= {
     "doc_sections": _DOC_SECTIONS,
     "guess_language": code.duckdb_guess(f"select sample, code from (values {_SNIPPETS}) as t(sample, code) union all select doc_id, text from documents"),

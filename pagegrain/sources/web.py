@@ -34,7 +34,7 @@ def explained(e: Exception) -> str:
     return str(why)
 
 
-def fetch(url: str, languages: str = "en;q=0.9") -> tuple:
+def fetch(url: str, languages: str = "en") -> tuple:
     """A row of the source. A timeout or a cut connection gets one more try."""
     for last in (False, True):
         try:
@@ -63,7 +63,7 @@ class _Stretch(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.urls = json.loads(options["urls"])
-        self.languages = options.get("languages", "en;q=0.9")
+        self.languages = options.get("languages", "en")
         self.n = max(1, int(options.get("partitions", "8")))
 
     def partitions(self):
