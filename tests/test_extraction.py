@@ -1,6 +1,6 @@
 """Properties of extraction and of session replay on small inputs."""
 
-from pagegrain.functions.html import code_language, extract, fence, has_junk_class, parse
+from pagegrain.functions.html import code_language, converted, extract, fence, has_junk_class, parse, trimmed
 from pagegrain.operators.sessions import step
 
 
@@ -55,3 +55,37 @@ def test_navigation():
     assert step(*s, "forward", "") == (["a"], "b", [])
     assert step(*s, "push", "c") == (["a"], "c", [])
     assert step(*s, "fail", "z") == s
+
+
+def test_code_frames():
+    assert "```\na\nb\n```" in md("<pre><code><div>a</div><div>b</div></code><button>Copy</button></pre>")
+    assert "1" not in md("<pre><span class='line-no'>1</span>x</pre>")
+    assert md("<table><tr><td class='gutter'>9</td><td><pre>y</pre></td></tr></table>").count("9") == 0
+    assert "Terminal" not in md("<figure><figcaption><span class='sr-only'>Terminal</span></figcaption><pre>z</pre></figure>")
+    assert "```python" in md("<div class='highlight-python3'><pre>q</pre></div>") and "```\n" in md("<div class='highlight-wrap'><pre>q</pre></div>")
+
+
+def test_links_and_images():
+    assert md("<h2><a href='#x'>Part</a> <a href='#x'>Link to this heading</a></h2>") == "## Part"
+    assert md("<p><a href='#c'>Skip to content</a>word <a href='/x'></a><a>name</a></p>") == "word name"
+    assert md("<a href='/c'><div><h3>Card</h3><p>about it</p></div></a>") == "### [Card](http://site.example/c)\n\nabout it"
+    assert md("<title>A cat</title><p><img alt='cat'>text<img alt='dog'></p>") == "# A cat\n\ntext[image: dog]"
+
+
+def test_rows_that_span():
+    assert md("<table><tr><th>a</th><th>b</th></tr><tr><td rowspan='2'>x</td><td>1</td></tr><tr><td>2</td></tr></table>") == "| a | b |\n| --- | --- |\n| x | 1 |\n|  | 2 |"
+
+
+def test_openings():
+    head, text = ("heading", "# H"), ("paragraph", "some text.")
+    assert trimmed([("paragraph", "[a](/a) » [b](/b)"), ("paragraph", "Label"), head, ("rule", "---"), text]) == [head, text]
+    assert trimmed([("paragraph", "[lone](/x)"), text]) == [("paragraph", "[lone](/x)"), text]
+    assert trimmed([("list", "- one\n- two"), head, text]) == [head, text]
+    assert trimmed([head, ("paragraph", "[a](1) [b](2) [c](3) [d](4)"), text]) == [head, text]
+    assert trimmed([("paragraph", "Label"), head]) == [("paragraph", "Label"), head] and trimmed([]) == []
+
+
+def test_types():
+    assert converted("# x", "http://a/b.md?q", "text/plain; charset=utf-8") == "# x" and converted("{}", None, "application/ld+json") == "```json\n{}\n```"
+    assert converted("x", "http://a/t.txt", None) == "```\nx\n```" and converted("<a/>", "", "application/xml") == "```xml\n<a/>\n```"
+    assert converted("x", "", "image/png") is None and converted("<p>x</p>", "", "text/html") == "x" and converted(None, None, None) == ""
