@@ -252,6 +252,29 @@ def test_classifier_and_scores_separate(spark):
     assert mean(1) < mean(0)
 
 
+def test_scores_against_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    words = {r.doc_id: _folded(r.text) for r in docs.collect()}
+    good = [i for i in words if i % 3 == 0]
+    models = []
+    for ids in (good, words):
+        one = Counter(w for i in ids for w in words[i])
+        models.append((one, Counter(p for i in ids for p in zip(words[i], words[i][1:], strict=False)), sum(one.values())))
+    types = len(models[1][0])
+    got = entropy.scored(spark, docs, docs.where("doc_id % 3 = 0"), chunk=100_000, bucket=70_000).collect()
+    assert sorted(r.doc_id for r in got) == sorted(words)
+    for r in got:
+        w, mean = words[r.doc_id], []
+        for (one, two, total), own in zip(models, (r.doc_id % 3 == 0, True), strict=True):
+            loss = 0.0
+            for k, x in enumerate(w):
+                p = (one[x] - own + 0.5) / (total - 1 + 0.5 * types)
+                before = one[w[k - 1]] - own if k else 0
+                loss -= np.log2(0.6 * (two[w[k - 1], x] - own) / before + 0.4 * p if before > 0 else p)
+            mean.append(loss / len(w))
+        assert (r.n_tokens, r.ce_target, r.ce_background) == (len(w), pytest.approx(mean[0]), pytest.approx(mean[1]))
+
+
 def test_licence_rules(spark):
     text = "Intro. Released under the MIT License.\nYou may not use this file except in compliance with the License. Licensed under CC BY-NC 4.0."
     got = [(r.licence, r.kind, r.n_sentences, r.first_sentence) for r in licences.scanned(spark, spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id bigint, text string")).collect()]
