@@ -53,17 +53,20 @@ def scanned(spark: SparkSession, docs: DataFrame) -> DataFrame:
     (doc_id, text) that some rule finds. n_sentences counts the document's known sentences, first_sentence is the
     place of the rule's first among them.
 
-    A sentence ends at a line feed, or at . ! or ? before white space. Null and empty texts have none; repeated
-    rows give their rows each; an empty table gives none. Every text is split whole.
+    A sentence begins and ends at a line feed, at ; or : before white space, or at . ! or ? before white space; any but
+    the last may also come between its words, so that hard-wrapped and commented texts are read like running ones. Null
+    and empty texts have none; repeated rows give their rows each; an empty table gives none. Every text is read whole.
+    The SQL takes each line for itself: it gives the same rows where no known sentence goes over a line's end or meets ; or :.
     """
     known = "map(" + ", ".join(f"{_quoted(s)}, {_quoted(i)}" for s, i in SENTENCES.items()) + ")"
-    lengths = sorted({len(s) for s in SENTENCES})
-    folded = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    split = rf"split(regexp_replace({folded}, r'[.!?][ \t\r\n]+', '\n'), '\n')"
-    normal = "trim(regexp_replace(s, '[^a-z0-9]+', ' '))"
-    # A map lookup reads the map's keys in turn, so only sentences as long as a known one and with one's first word get there.
-    worth = "s rlike '^[^a-z0-9]*(" + "|".join(sorted({s.split()[0] for s in SENTENCES})) + ")[^a-z0-9]'" + f" and length(s) between {lengths[0]} and {4 * lengths[-1]}"
-    found = docs.select("doc_id", F.expr(f"array_compact(transform(filter({split}, s -> {worth}), s -> try_element_at({known}, {normal})))").alias("ids"))
+    # Capitals are free once the text is folded: S stands for a sentence's end, L for a line's end.
+    text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    text = rf"concat('S', regexp_replace(regexp_replace({text}, r'[.!?][ \t\r\n]+', 'S'), r'\n|[;:][ \t\r\n]+', 'L'), 'S')"
+    text = f"regexp_replace(regexp_replace({text}, '[^a-z0-9SL]+', ' '), '[ L]*S[ SL]*', ' S ')"
+    text = f"regexp_replace({text}, ' ?L[ L]*', ' L ')"
+    longest = sorted(SENTENCES, key=len, reverse=True)
+    pattern = "(?<=[SL] )(?:" + "|".join(s.replace(" ", "(?: L)? ") for s in longest) + ")(?= [SL])"
+    found = docs.select("doc_id", F.expr(f"transform(regexp_extract_all({text}, '{pattern}', 0), s -> try_element_at({known}, replace(s, ' L', ''))) ids"))
     found = found.select("doc_id", F.expr("size(ids)").cast("long").alias("n_sentences"), F.expr("concat(',', array_join(ids, ','), ',')").alias("line"))
     done = "array(" + ", ".join(
         f"named_struct('licence', {_quoted(name)}, 'kind', {_quoted(kind)}, 'at', locate(',{','.join(ids)},', line), 'ord', {k})" for k, (name, kind, ids) in enumerate(RULES)

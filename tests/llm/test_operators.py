@@ -281,6 +281,46 @@ def test_licence_rules(spark):
     assert sorted(got) == [("CC-BY-NC-4.0", "reference", 3, 3), ("MIT", "reference", 3, 1)]
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_wrapped_licences(spark):
+    texts = [MIT, APACHE, BSD, GPL, APACHE.replace("\n * ", " "), "It isn't licensed under the MIT\nLicense.", "Licensed under the MIT. License"]
+    got = [(r.doc_id, r.licence, r.kind, r.n_sentences, r.first_sentence) for r in licences.scanned(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()]
+    assert sorted(got) == [(0, "MIT", "text", 3, 1), (1, "Apache-2.0", "notice", 3, 1), (2, "BSD-2-Clause", "text", 3, 1), (3, "GPL-3.0-or-later", "notice", 1, 1), (4, "Apache-2.0", "notice", 3, 1)]
+
+
 def test_pipeline_runs(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "mix_sources", "token_output"]
     got = corpus_pipeline.run(spark, SF).collect()
