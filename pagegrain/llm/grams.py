@@ -223,15 +223,21 @@ def bands(signature: np.ndarray, b: int, r: int) -> np.ndarray:
     return mix(keys)
 
 
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` words, wherever groups end."""
+    n = max(len(h) - size + 1, 0)
+    sums = np.zeros(len(h) + 1, U)
+    np.cumsum(h * powers(len(h)), out=sums[1:])
+    return mix((sums[size : size + n] - sums[:n]) * powers(n, pow(_BASE, -1, 1 << 64)))
+
+
 def windows(group: np.ndarray, h: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of winnowed runs of `size` words: a run is picked if its hash is least among some
     `reach` neighbouring runs of its group. Equal spans of size + reach - 1 words pick an equal run."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    sums = np.zeros(len(h) + 1, U)
-    np.cumsum(h * powers(len(h)), out=sums[1:])
-    g = mix((sums[size:] - sums[:n]) * powers(n, pow(_BASE, -1, 1 << 64)))
+    g = runs(h, size)
     g[group[:n] != group[size - 1 :]] = U(2**64 - 1)
 
     def slide(x: np.ndarray, width: int, f) -> np.ndarray:

@@ -232,6 +232,25 @@ def test_repeated_passages_are_found(spark):
     assert want <= got and len(got) < docs.count() / 2
 
 
+def test_repeated_passages_are_found_whole(spark):
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k, n in enumerate((50, 57, 60, 69, 80, 120)):
+        shared = some(n)
+        for j in (0, 1):
+            head = some(40 + 3 * j)
+            rows.append((2 * k + j, " ".join(head + shared + some(60))))
+            want.add((2 * k + j, len(head), n, 2, j == 1))
+    a, b, c = some(30), some(60), some(30)
+    rows += [(20, " ".join(some(9) + a + b + c + some(9))), (21, " ".join(a + b + c)), (22, " ".join(some(5) + b))]
+    # 24 words more at each end of what all three hold belong to runs of the two.
+    want |= {(20, 9, 30 + 24, 2, False), (20, 39, 60, 3, False), (20, 75, 24 + 30, 2, False), (21, 0, 54, 2, True), (21, 30, 60, 3, True), (21, 66, 54, 2, True), (22, 5, 60, 3, True)}
+    got = paragraphs.repeats(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    lines = {(20, 0, 138), (21, 0, 120), (22, 0, 65)} | {(i, 0, len(t.split())) for i, t in rows}
+    assert {(r.doc_id, r.first_word, r.n_words, r.n_class, r.removed) for r in got if (r.doc_id, r.first_word, r.n_words) not in lines} == want
+
+
 def test_languages_are_found_out(spark):
     docs = table(spark, SF, "documents")
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
