@@ -1,11 +1,18 @@
-"""HTML to Markdown: a small tree on the standard parser, cleaning passes, and a serialiser."""
+"""HTML to Markdown: a small tree, cleaning passes, and a serialiser.
+
+A page is cut into tags and texts by one pattern and read in one pass. Elements nested deeper than DEPTH become
+siblings of the last that isn't, as in browsers, so that no page, however nested, costs more than its size or
+ends in an error; their texts stay.
+"""
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
 from urllib.parse import urljoin
 
+DEPTH = 300
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never content, class tokens and roles of page furniture.
 DROPPED = frozenset("script style noscript nav aside footer svg button iframe template dialog select input textarea label".split())
@@ -14,25 +21,48 @@ ROLES = frozenset(("navigation", "banner", "contentinfo"))
 BLOCKS = frozenset("address article blockquote body dd div dl dt figure figcaption form h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section table tbody td tfoot th thead tr ul".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset(("ul", "ol", "dl", "table", "body", "html"))
+#: Elements whose content is text up to their end tag; in those of the second set entities count.
+_RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
+_RAW_ENTITIES = frozenset(("title", "textarea"))
+#: A comment's start; a tag with its name and attributes, where > in quotes doesn't end it; or what no reader shows.
+_TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|[!?][^>]*+>?|/[^a-zA-Z][^>]*+>?)""")
+_ATTR = re.compile(r"""([^\s=>/"'][^\s=>/]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "depth")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, up: Node | None = None):
         self.tag, self.attrs, self.kids, self.up = tag, attrs or {}, [], up
+        self.depth = up.depth + 1 if up is not None else 0
 
     def walk(self):
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+        """All elements below, in document order."""
+        todo = [k for k in reversed(self.kids) if type(k) is Node]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo.extend(k for k in reversed(n.kids) if type(k) is Node)
 
     def find(self, *tags: str) -> list[Node]:
         return [n for n in self.walk() if n.tag in tags]
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else "" if k.tag in DROPPED else "\n" if k.tag == "br" else (" " + k.text() + " " if k.tag in BLOCKS else k.text()) for k in self.kids)
+        """What a reader sees: blocks are set off by blanks, elements that are never content give nothing."""
+        out: list[str] = []
+        todo = self.kids[::-1]
+        while todo:
+            k = todo.pop()
+            if type(k) is str:
+                out.append(k)
+            elif k.tag == "br":
+                out.append("\n")
+            elif k.tag not in DROPPED:
+                if k.tag in BLOCKS:
+                    out.append(" ")
+                    todo.append(" ")
+                todo.extend(reversed(k.kids))
+        return "".join(out)
 
     def weight(self) -> int:
         return len(self.text().split())
@@ -42,68 +72,94 @@ class Node:
             self.up.kids = [k for k in self.up.kids if k is not self]
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html")
-
-    def _close(self, tags: set[str]) -> None:
-        n = self.at
-        while n is not None and n.tag not in _SCOPE:
-            if n.tag in tags:
-                self.at = n.up or self.root
-                return
-            n = n.up
-
-    def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS and tag not in ("html", "body"):
-            self._close({"p"})
-        if tag in _CLOSES:
-            self._close(_CLOSES[tag])
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        n = self.at
-        while n is not None and n.tag != tag:
-            n = n.up
-        if n is not None and n.up is not None:
-            self.at = n.up
-
-    def handle_data(self, data):
-        self.at.kids.append(data)
+def _attributes(said: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, *values in _ATTR.findall(said):
+        value = values[0] or values[1] or values[2]
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
 
 
 def parse(html: str) -> Node:
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    return b.root
+    root = at = Node("html")
+    pos, n, deep = 0, len(html), []  # deep: open elements below DEPTH, which are only counted
+    ends: dict[str, re.Pattern] = {}
+    while pos < n:
+        m = _TAG.search(html, pos)
+        text = html[pos : m.start()] if m else html[pos:]
+        if text:
+            at.kids.append(unescape(text) if "&" in text else text)
+        if m is None:
+            break
+        pos = m.end()
+        if m[2] is None:
+            if m[0] == "<!--":
+                end = html.find("-->", pos)
+                pos = n if end < 0 else end + 3
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if tag in deep:
+                while deep.pop() != tag:
+                    pass
+                continue
+            up = at
+            while up is not None and up.tag != tag:
+                up = up.up
+            if up is not None and up.up is not None:
+                at = up.up
+                deep.clear()
+            continue
+        closes = _CLOSES.get(tag) or ({"p"} if tag in BLOCKS and tag not in ("html", "body") else ())
+        for names in (closes, {"p"}) if closes and tag in _CLOSES and tag in BLOCKS else (closes,):
+            up = at
+            while names and up is not None and up.tag not in _SCOPE:
+                if up.tag in names:
+                    at = up.up or root
+                    break
+                up = up.up
+        node = Node(tag, _attributes(m[3]) if m[3] and not m[3].isspace() else None, at)
+        at.kids.append(node)
+        if tag in _RAW:
+            if tag not in ends:
+                ends[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I)
+            close = ends[tag].search(html, pos)
+            inner = html[pos : close.start()] if close else html[pos:]
+            pos = close.end() if close else n
+            if inner:
+                node.kids.append(unescape(inner) if tag in _RAW_ENTITIES and "&" in inner else inner)
+        elif tag not in VOID and not m[3].endswith("/"):
+            if node.depth < DEPTH:
+                at = node
+            else:
+                deep.append(tag)
+    return root
 
 
 def pick_root(tree: Node) -> tuple[Node, bool]:
     """The content's element, and whether it is an article: the heaviest outermost article if it holds 60 % of
     all articles' words and the page has less than five times its words; else main, or body."""
-    body = next(iter(tree.find("body")), tree)
-    box = next((n for n in tree.walk() if n.tag == "main" or n.attrs.get("role") == "main"), body)
-    articles = []
-    for n in box.find("article"):
+    body = box = None
+    articles: list[Node] = []
+    for n in tree.walk():
+        if n.tag == "article":
+            articles.append(n)
+        elif body is None and n.tag == "body":
+            body = n
+        if box is None and (n.tag == "main" or n.attrs.get("role") == "main"):
+            box = n
+    box = box or body or tree
+    outermost = []
+    for n in articles:
         up = n.up
         while up is not None and up is not box and up.tag != "article":
             up = up.up
-        if up is None or up.tag != "article" or up is box:
-            articles.append((n.weight(), n))
-    if not articles:
+        if up is box:
+            outermost.append((n.weight(), n))
+    if not outermost:
         return box, False
-    best, node = max(articles, key=lambda x: x[0])
-    return (node, True) if best * 100 >= sum(w for w, _ in articles) * 60 and box.weight() < 5 * best else (box, False)
+    best, node = max(outermost, key=lambda x: x[0])
+    return (node, True) if best * 100 >= sum(w for w, _ in outermost) * 60 and box.weight() < 5 * best else (box, False)
 
 
 def has_junk_class(value: str) -> bool:
@@ -117,13 +173,18 @@ def _hidden(n: Node) -> bool:
 
 def clean(root: Node, is_article: bool) -> None:
     """Takes page furniture out of a root. What holds more than half of the root's words always stays."""
-    for n in root.find("title", *DROPPED):
-        n.drop()
-    total = root.weight()
-    for n in list(root.walk()):
-        if (_hidden(n) or n.attrs.get("role") in ROLES or has_junk_class(n.attrs.get("class", ""))) and n.weight() * 2 <= total:
+    nodes, header = [], False
+    for n in root.walk():
+        if n.tag in DROPPED or n.tag == "title":
+            n.drop()
+        elif n.attrs and (_hidden(n) or n.attrs.get("role") in ROLES or has_junk_class(n.attrs.get("class", ""))):
+            nodes.append(n)
+        header |= n.tag == "header"
+    total = root.weight() if nodes else 0
+    for n in nodes:
+        if n.weight() * 2 <= total:
             n.drop()
-    if not is_article:
+    if header and not is_article:
         kept = False
         for n in root.find("header"):
             h = next(iter(n.find("h1")), None)
@@ -134,9 +195,15 @@ def clean(root: Node, is_article: bool) -> None:
                 n.drop()
 
 
-#: Classes that name a code's language outright, and those trusted only for a known language.
-_LANG = re.compile(r"(?i)(?:^|\s)(?:(?:language|lang|highlight-source|brush)[-:_ ]+([\w+#.-]+)|sourceCode\s+([\w+#-]+))")
-_WEAK_LANG = re.compile(r"(?i)(?:^|\s)(?:mw-highlight-lang|highlight)-([\w+#-]+)")
+#: Class patterns that name a code's language outright, and those trusted only for a known language.
+_LANG = (
+    re.compile(r"(?i)(?:^|\s)(?:language|lang|highlight-source|brush)[-:_ ]+([\w+#.-]+)"),
+    re.compile(r"(?i)(?:^|\s)sourceCode\s+([\w+#-]+)"),
+)
+_WEAK_LANG = (
+    re.compile(r"(?i)(?:^|\s)mw-highlight-lang-([\w+#-]+)"),
+    re.compile(r"(?i)(?:^|\s)highlight-([\w+#-]+)"),
+)
 _KNOWN = frozenset("bash c cpp csharp css diff dockerfile go html java javascript json kotlin lua makefile markdown php python r ruby rust scala sql swift toml typescript xml yaml".split())
 #: Classes of widgets in code, of line number cells and of hidden labels; permalink texts; skip links.
 _WIDGET = re.compile(r"(?i)line-?no|line-?num|gutter|copy|clipboard")
@@ -146,11 +213,27 @@ _PERMALINK_STARTS = ("link to this", "direct link to", "permalink to")
 _SKIP_LINK = re.compile(r"(?i)^\s*(skip|jump) to (the )?(main |primary )?(content|navigation|menu|search|footer)")
 #: Short names of languages; an empty one means none.
 _ALIAS = {
-    "shell": "bash", "sh": "bash", "zsh": "bash", "console": "bash", "shellsession": "bash", "golang": "go", "js": "javascript", "nodejs": "javascript", "ts": "typescript", "yml": "yaml", "docker": "dockerfile",
-    "py": "python", "python3": "python", "py3": "python", "ipython": "python", "ipython3": "python", "pycon": "python", "cs": "csharp", "rb": "ruby", "c++": "cpp", "text": "", "plaintext": "", "txt": "", "none": "", "default": "",
+    "shell": "bash", "sh": "bash", "zsh": "bash", "console": "bash", "shellsession": "bash",
+    "golang": "go", "js": "javascript", "ts": "typescript", "yml": "yaml", "py": "python",
+    "docker": "dockerfile", "text": "", "plaintext": "", "txt": "",
+    "ipython": "python", "ipython3": "python", "python3": "python", "py3": "python", "pycon": "python",
+    "cs": "csharp", "nodejs": "javascript", "none": "", "default": "",
 }
+#: Our own additions.
+_ALIAS |= {"rb": "ruby", "c++": "cpp"}
 
 
+def _named(n: Node) -> str:
+    """The language that an element declares, by attribute or class, or an empty string."""
+    if said := n.attrs.get("data-language") or n.attrs.get("data-lang"):
+        return said
+    classes = n.attrs.get("class", "")
+    if not classes:
+        return ""
+    sure = (m[1] for p in _LANG if (m := p.search(classes)))
+    known = (m[1] for p in _WEAK_LANG if (m := p.search(classes)) and _ALIAS.get(m[1].lower(), m[1].lower()) in _KNOWN)
+    return next(sure, "") or next(known, "")
+
 
 def code_language(pre: Node) -> str:
     """The language that a code block, its code element or one of its next three ancestors declares."""
@@ -159,13 +242,8 @@ def code_language(pre: Node) -> str:
     while up is not None and len(places) < 5:
         places.append(up)
         up = up.up
-    for n in places:
-        classes = n.attrs.get("class", "")
-        strong, weak = _LANG.search(classes), _WEAK_LANG.search(classes)
-        found = n.attrs.get("data-language") or n.attrs.get("data-lang") or (strong and (strong[1] or strong[2])) or (weak and _ALIAS.get(weak[1].lower(), weak[1].lower()) in _KNOWN and weak[1]) or ""
-        if found:
-            return _ALIAS.get(found.lower(), found.lower())
-    return ""
+    found = next(filter(None, map(_named, places)), "").lower()
+    return _ALIAS.get(found, found)
 
 
 def fence(code: str, lang: str) -> str:
@@ -174,7 +252,17 @@ def fence(code: str, lang: str) -> str:
 
 
 def _raw(n: Node) -> str:
-    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else _raw(k) for k in n.kids)
+    out: list[str] = []
+    todo = n.kids[::-1]
+    while todo:
+        k = todo.pop()
+        if type(k) is str:
+            out.append(k)
+        elif k.tag == "br":
+            out.append("\n")
+        else:
+            todo.extend(reversed(k.kids))
+    return "".join(out)
 
 
 def _code(pre: Node) -> str:
@@ -199,10 +287,16 @@ def _code(pre: Node) -> str:
     return "".join(out)
 
 
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_BLANKS = re.compile(r"\s{2,}|[^\S ]")
+
+
 def _unwrap(n: Node) -> None:
     if n.up is None:
         return
-    at = next(i for i, k in enumerate(n.up.kids) if k is n)
+    at = next((i for i, k in enumerate(n.up.kids) if k is n), None)
+    if at is None:  # taken out already
+        return
     n.up.kids[at : at + 1] = n.kids
     for k in n.kids:
         if isinstance(k, Node):
@@ -212,70 +306,84 @@ def _unwrap(n: Node) -> None:
 def tidy(root: Node, title: str) -> None:
     """Takes what readers don't see or need out of code, headings, images and links; cards' links move to their
     heading, or else to their first block."""
-    for pre in root.find("pre"):
-        for n in pre.find(*{x.tag for x in pre.walk()}):
+    by: dict[str, list[Node]] = {}
+    for n in root.walk():
+        by.setdefault("h" if n.tag in _HEADINGS else n.tag, []).append(n)
+    for pre in by.get("pre", ()):
+        for n in list(pre.walk()):
             if _WIDGET.search(n.attrs.get("class", "")):
                 n.drop()
-    for figure in root.find("figure"):
+    for figure in by.get("figure", ()):
         if figure.find("pre"):
             for n in (x for c in figure.find("figcaption") for x in c.walk()):
                 if {"sr-only", "visually-hidden"} & set(n.attrs.get("class", "").split()):
                     n.drop()
-    for table in root.find("table"):
+    for table in by.get("table", ()):
         if table.find("pre"):
             for cell in table.find("td", "th"):
                 if _GUTTER.search(cell.attrs.get("class", "")):
                     cell.drop()
-    for h in root.find("h1", "h2", "h3", "h4", "h5", "h6"):
+    for h in by.get("h", ()):
         for a in h.find("a"):
             said = _raw(a).strip().lower()
             if said in _PERMALINKS or said.startswith(_PERMALINK_STARTS):
                 a.drop()
             elif a.attrs.get("href", "").strip().startswith("#"):
                 _unwrap(a)
-    for img in root.find("img"):
+    for img in by.get("img", ()):
         if img.attrs.get("alt", "").strip().lower() in title.lower():
             img.drop()
-    for a in root.find("a"):
+    for a in by.get("a", ()):
         said = " ".join(_raw(a).split())
         if (not said and not a.find("img")) or (len(said) < 40 and _SKIP_LINK.search(said)):
             a.drop()
             continue
+        if all(type(k) is str for k in a.kids):
+            continue
         for br in a.find("br"):
             br.tag, br.kids = "span", [" "]
         leaves = [n for n in a.walk() if n.tag in BLOCKS and _raw(n).strip() and not any(x.tag in BLOCKS for x in n.walk())]
         if a.attrs.get("href") and leaves:
-            best = next((n for n in leaves if re.fullmatch("h[1-6]", n.tag)), leaves[0])
+            best = next((n for n in leaves if n.tag in _HEADINGS), leaves[0])
             link = Node("a", a.attrs, best)
             link.kids, best.kids = best.kids, [link]
             _unwrap(a)
 
 
+@lru_cache(maxsize=4096)
+def absolute(base: str, href: str) -> str:
+    """href against base; where either is no address, href as it is."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
 def _inline(n: Node, base: str) -> str:
     out = []
     for k in n.kids:
-        if isinstance(k, str):
-            out.append(re.sub(r"\s+", " ", k))
+        if type(k) is str:
+            out.append(_BLANKS.sub(" ", k))
             continue
-        inner = _inline(k, base)
+        inner = _BLANKS.sub(" ", k.kids[0]) if len(k.kids) == 1 and type(k.kids[0]) is str else _inline(k, base)
         if k.tag == "br":
             out.append("\n")
         elif k.tag == "img":
             out.append(f"[image: {k.attrs['alt'].strip()}]" if k.attrs.get("alt", "").strip() else "")
         elif k.tag == "a" and inner.strip():
-            out.append(f"[{inner.strip()}]({urljoin(base, k.attrs['href'])})" if k.attrs.get("href") and not k.attrs["href"].startswith("javascript:") else inner)
+            out.append(f"[{inner.strip()}]({absolute(base, k.attrs['href'])})" if k.attrs.get("href") and not k.attrs["href"].startswith("javascript:") else inner)
         elif k.tag in ("b", "strong", "i", "em", "del", "s", "strike") and inner.strip():
             mark = "**" if k.tag in ("b", "strong") else "*" if k.tag in ("i", "em") else "~~"
             out.append(inner[: len(inner) - len(inner.lstrip())] + mark + inner.strip() + mark + inner[len(inner.rstrip()) :])
         elif k.tag == "code":
             out.append(f"`{_raw(k)}`")
         else:
-            out.append(inner)
+            out.append(f" {inner} " if k.tag in BLOCKS else inner)
     return "".join(out)
 
 
 def _lines(text: str) -> str:
-    return "\n".join(re.sub(r" +", " ", x).strip() for x in text.split("\n")).strip()
+    return "\n".join((_BLANKS.sub(" ", x) if "  " in x else x).strip() for x in text.split("\n")).strip()
 
 
 def _table(n: Node, base: str) -> str:
@@ -284,7 +392,14 @@ def _table(n: Node, base: str) -> str:
         return min(max(int(said), 1), 50) if said.isdecimal() else 1
 
     rows, covered = [], {}  # covered: rows that a cell above still takes, by column
-    for tr in n.find("tr"):
+    trs, todo = [], [k for k in reversed(n.kids) if type(k) is Node]
+    while todo:  # this table's own rows: those of a table in a cell are that cell's text
+        k = todo.pop()
+        if k.tag == "tr":
+            trs.append(k)
+        elif k.tag != "table":
+            todo.extend(x for x in reversed(k.kids) if type(x) is Node)
+    for tr in trs:
         row: list[str] = []
 
         def skip() -> None:
@@ -324,7 +439,7 @@ def blocks(n: Node, base: str, depth: int = 0) -> list[tuple[str, str]]:
             run.kids.append(k)
             continue
         flush()
-        if re.fullmatch("h[1-6]", k.tag):
+        if k.tag in _HEADINGS:
             if text := " ".join(_inline(k, base).split()):
                 out.append(("heading", "#" * int(k.tag[1]) + " " + text))
         elif k.tag == "pre":
@@ -354,48 +469,49 @@ def blocks(n: Node, base: str, depth: int = 0) -> list[tuple[str, str]]:
 _CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f]")
 
 
-#: What stands between the links of a breadcrumb strip, and lines that lead to other pages.
-_SEPARATORS = " \t/\\>»›|:·•–—-→"
-_NEXT_LINE = re.compile(r"(?i)(next|previous|prev|up|back|home)\s*:\s*\[")
+#: Words that lead to other pages.
+_PAGER = frozenset("next previous prev up back home".split())
 _MD_LINK = re.compile(r"!?\[((?:[^\]\\]|\\.)*)\]\([^)]*\)")
 _LINKS_ONLY = re.compile(r"[ \t]*(?:\[[^\]]*\]\([^)]*\)[ \t]*){4,}")
-
-
-def _bare(text: str) -> bool:
-    return len(text) <= 30 and len(text.split()) <= 4 and not set(text) & set(".!?:;[]()`*_<>|\n")
-
-
-def _crumb(kind: str, text: str) -> str:
-    """always: a strip of links or a next line; heading: what is one only above the page's heading; label: a short
-    text, only after another; else empty."""
-    one = "\n" not in text
-    if kind == "paragraph" and one:
-        if _NEXT_LINE.match(text) or (text.count("](") > 1 and not _MD_LINK.sub("", text).strip(_SEPARATORS)):
-            return "always"
-        if re.fullmatch(r'\[[^\]\n]{1,40}\]\([^)\s]*(?: "[^"]*")?\)', text):
-            return "heading"
-        return "label" if _bare(text) else ""
-    items = [re.match(r"\s*(?:\d+[.)]|[-*+])\s+(.*)", x) for x in text.split("\n")]
-    short = kind == "list" and 2 <= len(items) <= 5 and all(m and len(_MD_LINK.sub(r"\1", m[1])) <= 40 for m in items)
-    return "heading" if short else ""
+_LABEL = re.compile(r"(?=.{1,30}\Z)[^\s.!?:;\[\]()`*_<>|]+(?: [^\s.!?:;\[\]()`*_<>|]+){0,3}")
+#: The most blocks that a page may open with before its content, and the cells of a navigation item.
+_OPENING, _ITEM = 3, 40
+
+
+def _leads_away(kind: str, text: str) -> float:
+    """How surely a block only leads elsewhere, by what it says outside of its links: 1 for several links and
+    nothing else, or links and pager words; a half for one link alone or a short list of short items, which may also be content."""
+    if kind == "list":
+        items = [_MD_LINK.sub(r"\1", x) for x in text.split("\n")]
+        return 0.5 if 2 <= len(items) <= 5 and all(x[:1] in "-*+0123456789" and len(x.partition(" ")[2]) <= _ITEM for x in items) else 0
+    links = len(_MD_LINK.findall(text))
+    if kind != "paragraph" or not links or "\n" in text:
+        return 0
+    said = re.findall(r"\w+", _MD_LINK.sub(" ", text).lower())
+    return 0 if not _PAGER.issuperset(said) else 1 if links + len(said) > 1 else 0.5 if len(text.partition("](")[0]) <= _ITEM + 1 else 0
+
+
+def _opening(found: list[tuple[str, str]]) -> int:
+    """How many blocks a page opens with that aren't its content: those that surely lead away, and up to a heading
+    close by what may do so, with labels of a few words between."""
+    sure = [_leads_away(*b) for b in found[:_OPENING]]
+    n = next((i for i, x in enumerate(sure) if x < 1), len(sure))
+    heading = next((i for i, (kind, _) in enumerate(found[: _OPENING + 1]) if kind == "heading"), 0)
+    between = range(n, heading)
+    if all(sure[i] or (i and found[i][0] == "paragraph" and _LABEL.fullmatch(found[i][1])) for i in between):
+        n = max(n, heading)
+    return n if n < len(found) else 0
 
 
 def trimmed(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Blocks without what a page opens with before its heading (three at most), lines of four links and more and
-    nothing else, and rules right under the title."""
-    opening = 0
-    while opening < 3 and opening + 1 < len(found):
-        rest = found[opening + 1 :]
-        ahead = rest[0][0] == "heading" or (_bare(rest[0][1]) and len(rest) > 1 and rest[1][0] == "heading")
-        kind = _crumb(*found[opening])
-        if not (kind == "always" or (ahead and (kind == "heading" or (kind == "label" and opening)))):
-            break
-        opening += 1
-    out = []
-    for kind, text in found[opening:]:
+    """Blocks without what a page opens with before its content, lines of four links and more and nothing else,
+    and rules right under the title."""
+    out: list[tuple[str, str]] = []
+    for kind, text in found[_opening(found) :]:
         if kind == "paragraph":
             text = "\n".join(x for x in text.split("\n") if not _LINKS_ONLY.fullmatch(x))
-        if text and not (kind == "rule" and (not out or (len(out) == 1 and out[0][0] == "heading"))):
+        under_title = kind == "rule" and all(k == "heading" for k, _ in out) and len(out) < 2
+        if text and not under_title:
             out.append((kind, text))
     return out
 
@@ -418,10 +534,18 @@ def converted(body: str | None, url: str | None, ctype: str | None) -> str | Non
 
 def extract(html: str | None, url: str | None) -> dict:
     """title, root_kind, is_shell, markdown, words and blocks of a page; null and broken pages give what is there."""
-    tree = parse(html or "")
-    title = next((" ".join(t.text().split()) for t in tree.find("title")), "")
-    mount = any(n.attrs.get("id") in ("root", "app", "__next", "__nuxt") for n in tree.find("div"))
-    scripted = any(n.attrs.get("type") == "module" or n.attrs.get("src") for n in tree.find("script"))
+    return extracted_tree(parse(html or ""), url)
+
+
+def extracted_tree(tree: Node, url: str | None) -> dict:
+    """extract() of a page that is parsed; the tree is used up."""
+    title, mount, scripted = None, False, False
+    for n in tree.walk():
+        if n.tag == "title" and title is None:
+            title = " ".join(n.text().split())
+        mount |= n.tag == "div" and n.attrs.get("id") in ("root", "app", "__next", "__nuxt")
+        scripted |= n.tag == "script" and bool(n.attrs.get("src"))
+    title = title or ""
     root, is_article = pick_root(tree)
     clean(root, is_article)
     tidy(root, title)
