@@ -98,7 +98,7 @@ def lines(blocks: list[tuple[str, str]], width: int) -> list[tuple[str, bool, st
             out.append(("rule", False, "─" * width))
         elif kind == "table":
             rows = [[c.strip() for c in re.split(r"(?<!\\)\|", r.strip().strip("|"))] for r in text.split("\n")]
-            rows = [r for r in rows if not all(re.fullmatch("-+", c) for c in r)]
+            rows = [r for i, r in enumerate(rows) if i != 1 or not all(re.fullmatch("-+", c) for c in r)]
             n = max(map(len, rows))
             rows = [[plain(c) for c in r] + [""] * (n - len(r)) for r in rows]
             room = max(4, (width - 3 * (n - 1)) // n)

@@ -7,7 +7,7 @@ import json
 import re
 from urllib.parse import urljoin, urlsplit
 
-from .html import Node, _CONTROL, extract, parse
+from .html import Node, _CONTROL, extract, extracted_tree, parse
 from .text import OWN_HOSTS
 
 THIN_WORDS, BARE_WORDS, REMARK_WORDS = 40, 15, 25
@@ -23,7 +23,11 @@ def _words(text: str) -> list[str]:
 
 
 def _whole(n: Node) -> str:
-    return "".join(k if isinstance(k, str) else _whole(k) for k in n.kids)
+    out, todo = [], n.kids[::-1]
+    while todo:
+        k = todo.pop()
+        out.append(k) if isinstance(k, str) else todo.extend(reversed(k.kids))
+    return "".join(out)
 
 
 def _noscripts(html: str) -> list[str]:
@@ -61,9 +65,9 @@ def _said(candidates: list[str]) -> list[str]:
     return [t for t, _ in kept]
 
 
-def hints(html: str) -> tuple[list[str], bool]:
-    """(summary paragraphs by trust, whether scripts seem to draw the page)."""
-    tree, inner = parse(html), _noscripts(html)
+def hints(html: str, tree: Node | None = None) -> tuple[list[str], bool]:
+    """(summary paragraphs by trust, whether scripts seem to draw the page). tree: the page, parsed."""
+    tree, inner = parse(html) if tree is None else tree, _noscripts(html)
     texts = [" ".join(_words(_whole(e))) for raw in inner for e in parse(raw).find("h1", "h2", "h3", "p", "li")]
     bodies, summaries = [], []
     for s in tree.find("script"):
@@ -109,11 +113,11 @@ def is_own_host(host: str | None) -> bool:
     return ip.is_loopback or ip.is_private or ip.is_link_local
 
 
-def alternates(html: str, url: str) -> tuple[str | None, str | None]:
+def alternates(html: str, url: str, tree: Node | None = None) -> tuple[str | None, str | None]:
     """(text version, AMP version) that a page advertises: web addresses only, and none of one's own network from
     a page elsewhere."""
     text = amp = None
-    for n in parse(html).find("link"):
+    for n in (parse(html) if tree is None else tree).find("link"):
         rel, href = n.attrs.get("rel", "").split(), n.attrs.get("href")
         if href is None or not {"alternate", "amphtml"} & set(rel):
             continue
@@ -136,13 +140,14 @@ def read(html: str | None, url: str | None) -> dict:
     """A page with its fallbacks: title, markdown, body_words, is_shell, hints, text_url, amp_url. A thin page that
     scripts draw gets a notice and what it says about itself; a whole article in noscript replaces the body."""
     html, url = html or "", url or ""
-    said, drawn = hints(html)
-    page = extract(html, url)
+    tree = parse(html)
+    said, drawn = hints(html, tree)
+    text, amp = alternates(html, url, tree)
+    page = extracted_tree(tree, url)
     if drawn and (page["words"] < THIN_WORDS) and (inner := noscript_article(html)):
         page = extract(f"<title>{page['title']}</title><body>{inner}</body>", url)
     body, shell = page["markdown"], drawn and page["words"] < THIN_WORDS
     if shell:
         new = [h for h in said if h not in body and h.lower() not in page["title"].lower()]
         body = "\n\n".join([NOTICE, *new, body.strip()]) + "\n"
-    text, amp = alternates(html, url)
     return {"title": page["title"], "markdown": body, "body_words": sum(len(_words(x)) for x in body.split("\n") if not x.startswith("# ")), "is_shell": shell, "hints": said, "text_url": text, "amp_url": amp}

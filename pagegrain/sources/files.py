@@ -29,7 +29,8 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bookmarks(spark: SparkSession, path: str) -> DataFrame:
-    """(url, title, at, pos) of one JSON array; a file that can't be parsed has none."""
+    """(url, title, at, pos) of one JSON array, or of a folder that sinks.write_bookmarks wrote; a file that can't be
+    parsed has none."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.from_json("value", "array<struct<url: string, title: string, at: timestamp>>")).alias("pos", "b")).where("b.url <> ''").select("b.url", "b.title", "b.at", "pos")
 
@@ -107,7 +108,7 @@ def decode(raw: bytes | None, declared: str | None = None) -> str | None:
         try:
             # pages that declare Latin-1 or ASCII mean windows-1252
             return raw.decode("cp1252" if name.lower() in ("iso-8859-1", "latin1", "us-ascii", "windows-1252") else name, "replace")
-        except LookupError:
+        except (LookupError, UnicodeError):  # an unknown name, or a codec that isn't one of texts
             pass
     for cut in range(min(4, len(raw) + 1)):
         try:

@@ -16,8 +16,10 @@ def append_history(visits: DataFrame, path: str) -> None:
 
 
 def write_bookmarks(marks: DataFrame, path: str) -> None:
-    """(url, title, at, pos) as JSON lines in order of pos, each file a stretch of it."""
-    marks.orderBy("pos").select("url", "title", "at").write.mode("overwrite").json(path)
+    """(url, title, at, pos) as one JSON array in order of pos: bookmarks are what a person keeps, some thousand
+    rows. A person's list is one value of one row, aggregated by Spark; no rows give an empty array."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "url", "title", "at"))), lambda r: F.struct(r.url.alias("url"), r.title.alias("title"), r["at"].alias("at")))
+    marks.where("url <> ''").agg(F.to_json(rows).alias("value")).write.mode("overwrite").text(path)
 
 
 def cache_key(url, version: str = "1"):

@@ -1,4 +1,4 @@
-"""Addresses fetched as a data source: spark.read.format("pagegrain_web").option("paths", file of addresses).
+"""Addresses fetched as a data source: spark.read.format("pagegrain_web").option("urls", JSON list of addresses).
 
 A partition holds a stretch of the address list, so fetching spreads over executors and a lost one repeats only
 its own. Status and errors are columns: a failing address never fails the job.
@@ -6,6 +6,7 @@ its own. Status and errors are columns: a failing address never fails the job.
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.error
@@ -47,7 +48,7 @@ def fetch(url: str, languages: str = "en") -> tuple:
                 return url, r.url, r.status, kind, r.read(MAX_BYTES), None
         except urllib.error.HTTPError as e:
             return url, e.url, e.code, e.headers.get("Content-Type", ""), e.read(64 << 10), f"status {e.code}"
-        except (OSError, ValueError) as e:
+        except (OSError, ValueError, http.client.HTTPException) as e:
             why = getattr(e, "reason", e)
             if last or not isinstance(why, (TimeoutError, ConnectionResetError, ConnectionAbortedError)):
                 return url, None, None, None, None, explained(e)
