@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import release, small_batches, table, written
+from .common import BLANKS, release, small_batches, table, written
 from .near import classes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -92,8 +92,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = of(keep, "left_semi")
     if again.isEmpty():
         return kept.drop(raw)
-    once = of(again, "left_semi").where("text is not null and trim(text) <> ''").dropDuplicates(["doc_id", raw])
-    wordless = of(again, "left_semi").where("text is null or trim(text) = ''")
+    some = F.trim(F.coalesce("text", F.lit("")), F.lit(BLANKS)) != ""
+    once = of(again, "left_semi").where(some).dropDuplicates(["doc_id", raw])
+    wordless = of(again, "left_semi").where(~some)
     return of(keep.where("n = 1"), "left_semi").unionByName(once).unionByName(wordless).drop(raw)
 
 

@@ -3,7 +3,7 @@
 A logistic classifier, fitted on a bounded sample of labelled documents, gives each document's own
 evidence. Grouped sums of that evidence over all documents give every host and path its posterior,
 shrunk towards its parent (path to host, host to all) by an empirical-Bayes weight. A document's
-score is its own log odds moved by the log odds of its path against all.
+score is its own log odds moved by the log odds of its path against all, itself left out of both.
 """
 
 from __future__ import annotations
@@ -103,10 +103,13 @@ def _scorer(model):
 
 
 def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[np.ndarray]:
-    """One weight vector a head, from at most fit_rows labelled documents. Unlabelled heads (nulls) count as 0."""
+    """One weight vector a head, from at most fit_rows labelled documents; a head that is null for one leaves it
+    out. Of several texts of one doc_id the one of the least hash counts, so that no more rows come to the driver."""
     some = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     some = written(spark, some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "labelled")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").selectExpr("cast(coalesce(quality, 0) as int) quality", "cast(coalesce(toxic, 0) as int) toxic", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    rows = rows.selectExpr("cast(coalesce(quality, -1) as int) quality", "cast(coalesce(toxic, -1) as int) toxic", "text")
     with small_batches(spark):
         got = rows.mapInArrow(_featured, "quality int, toxic int, words array<bigint>, style array<double>").toArrow()
     if not got.num_rows:
@@ -116,29 +119,31 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: in
     doc = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
     feature = words.flatten().to_numpy()
     style = np.array(got.column("style").combine_chunks().flatten()).reshape(-1, STYLE)
-    return [_fit(doc, feature, style, got.column(h).to_numpy().astype(float)) for h in HEADS]
-
+    heads = []
+    for h in HEADS:
+        y = got.column(h).to_numpy()
+        labelled = y >= 0
+        number = np.cumsum(labelled) - 1
+        on = labelled[doc]
+        heads.append(_fit(number[doc[on]], feature[on], style[labelled], (y[labelled] > 0).astype(float)))
+    return heads
 
-def _shrunk(spark: SparkSession, scored: DataFrame, head: str, groups: DataFrame) -> tuple[DataFrame, float]:
-    """groups (host, path, n, sum of the head's probability) with the path's posterior; and the prior of all.
 
-    Method of moments: a level's weight is mean(1 - mean) / variance between its groups - 1, held to
-    1..10,000, so that groups that differ little, or hold few documents, take their parent's value."""
-    hosts = groups.groupBy("host").agg(F.sum("n").alias("hn"), F.sum(head).alias("hs"))
-    moments = lambda df, n, s: df.agg(F.sum(n), F.sum(s), F.sum(F.col(s) * F.col(s) / F.col(n)), F.count("*")).first()
+def _weight(n: float, s: float, squares: float, k: int) -> tuple[float, float]:
+    """(mean, weight) of a level's groups by the method of moments: mean (1 - mean) / variance between the
+    groups - 1, held to 1..10,000, so that groups that differ little, or hold few documents, take their
+    parent's value. n rows, s their sum, squares: the sum of s^2 / n over k groups."""
+    if not n:
+        return 0.5, 1.0
+    mean = min(max(s / n, 1e-4), 1 - 1e-4)
+    between = max(squares / n - mean * mean, 1e-9)
+    return mean, min(max(mean * (1 - mean) / between - 1, 1.0), 1e4) if k > 1 else 1e4
 
-    def weight(n: float, s: float, squares: float, k: int) -> tuple[float, float]:
-        if not n:
-            return 0.5, 1.0
-        mean = min(max(s / n, 1e-4), 1 - 1e-4)
-        between = max(squares / n - mean * mean, 1e-9)
-        return mean, min(max(mean * (1 - mean) / between - 1, 1.0), 1e4) if k > 1 else 1e4
 
-    prior, host_weight = weight(*moments(hosts, "hn", "hs"))
-    _, path_weight = weight(*moments(groups, "n", head))
-    host = hosts.select(F.col("host").alias("of_host"), ((F.col("hs") + host_weight * prior) / (F.col("hn") + host_weight)).alias("host_post"))
-    both = groups.join(host, F.col("host").eqNullSafe(F.col("of_host"))).select("host", "path", ((F.col(head) + path_weight * F.col("host_post")) / (F.col("n") + path_weight)).alias(f"{head}_post"))
-    return both, prior
+def _moments(df: DataFrame, n: str) -> dict[str, tuple[float, float]]:
+    """_weight() of each head over df (n, a sum a head)."""
+    row = df.agg(F.sum(n).alias("n"), F.count("*").alias("k"), *[F.sum(h).alias(h) for h in HEADS], *[F.sum(F.col(h) * F.col(h) / F.col(n)).alias(f"{h}_squares") for h in HEADS]).first()
+    return {h: _weight(row["n"], row[h], row[f"{h}_squares"], row["k"]) for h in HEADS}
 
 
 def _log_odds(p: Column) -> Column:
@@ -157,19 +162,22 @@ def classified(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: Co
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
     with small_batches(spark):
         scored = written(spark, rows.mapInArrow(_scorer(model), "doc_id bigint, host string, path string, quality double, toxic double"), "scored")
-    likely = [(1 / (1 + F.exp(-F.col(h)))).alias(h) for h in HEADS]
-    groups = written(spark, scored.select("host", "path", *likely).groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]), "groups")
-    names, site = [], None
+    own = {h: 1 / (1 + F.exp(-F.col(h))) for h in HEADS}
+    groups = written(spark, scored.select("host", "path", *[c.alias(h) for h, c in own.items()]).groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]), "groups")
+    hosts = groups.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(h).alias(h) for h in HEADS])
+    host_level, path_level = _moments(hosts, "n"), _moments(groups, "n")
+    above = hosts.select(F.col("host").alias("of_host"), F.col("n").alias("host_n"), *[F.col(h).alias(f"host_{h}") for h in HEADS])
+    site = groups.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", *[F.col(h).alias(f"path_{h}") for h in HEADS]).join(above, F.col("h").eqNullSafe(F.col("of_host"))).drop("of_host")
+    site = written(spark, site, "sites")
+    out = scored.join(site, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    probability = []
     for h in HEADS:
-        post, prior = _shrunk(spark, scored, h, groups)
-        post = post.select("host", "path", (_log_odds(F.col(f"{h}_post")) - _log_odds(F.lit(prior))).alias(f"{h}_shift"))
-        post = post.withColumnsRenamed({"host": f"host_{h}", "path": f"path_{h}"})
-        site = post if site is None else site.join(post, F.col("host_quality").eqNullSafe(F.col("host_toxic")) & F.col("path_quality").eqNullSafe(F.col("path_toxic")))
-        names.append(h)
-    site = written(spark, site.selectExpr("host_quality h", "path_quality p", *[f"{h}_shift" for h in names]), "sites")
-    out = scored.join(site, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    probability = {h: (1 / (1 + F.exp(-(F.col(h) + F.coalesce(F.col(f"{h}_shift"), F.lit(0.0)))))).alias(f"p_{h}") for h in HEADS}
-    return out.select("doc_id", *probability.values()).withColumn("keep", F.expr("p_quality >= 0.5 and p_toxic < 0.5"))
+        (prior, host_weight), (_, path_weight) = host_level[h], path_level[h]
+        # A document is no evidence on itself: its site's posterior is that of the site's other documents.
+        host = (F.col(f"host_{h}") - own[h] + host_weight * prior) / (F.col("host_n") - 1 + host_weight)
+        path = (F.col(f"path_{h}") - own[h] + path_weight * host) / (F.col("n") - 1 + path_weight)
+        probability.append((1 / (1 + F.exp(-(F.col(h) + _log_odds(path) - _log_odds(F.lit(prior)))))).alias(f"p_{h}"))
+    return out.select("doc_id", *probability).withColumn("keep", F.expr("p_quality >= 0.5 and p_toxic < 0.5"))
 
 
 def op1_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

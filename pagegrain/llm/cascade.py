@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from .common import BLANKS, table, word_array, word_count
 
 SYMBOLS = "#*$%&|<>"
-#: Rows at most of the sample on which cost and selectivity are estimated. The verdict doesn't depend on it.
-SAMPLE_ROWS = 500
+#: Rows at most of the sample on which cost and selectivity are estimated, and bytes of each at most: what
+#: a task and the driver hold of it is bounded at every input size. The verdict doesn't depend on it.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
+#: A timed run takes this many seconds at least, by repeating the sample up to so many times.
+RUN_SECONDS, MOST_REPEATS = 0.06, 256
 
 
 class Rule(NamedTuple):
@@ -79,26 +83,80 @@ def _with_repeats(df: DataFrame, of) -> DataFrame:
     return df.withColumn("n_repeat_words", of(covered)).drop("__pg_p")
 
 
-def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules, most rejection per second first, as measured on at most sample_rows rows of docs.
-    Rules that reject nothing there come last, cheapest first."""
-    text = docs.select(F.coalesce(docs["text"], F.lit("")).alias("__pg_text"))
-    sample = text.limit(sample_rows).persist()
-    try:
-        n = max(1, sample.count())
-        sample.agg(F.max(F.length("__pg_text"))).first()
-        cost, rejected = {}, {}
-        for rule in rules:
-            df = sample
-            for f in rule.needs:
-                df = _with_feature(df, f, None)
-            df = df.agg(F.count_if(F.expr(rule.rejects)))
+def _seconds(run: Callable[[int], object], empty: Callable[[int], float]) -> float:
+    """Seconds that one pass over the sample takes in `run`, of which a pass of `empty` takes none. The sample is
+    repeated until a run is long enough to time; a run's first go compiles its code and isn't timed."""
+    repeats = 1
+    while True:
+        run(repeats)
+        began = time.perf_counter()
+        run(repeats)
+        took = time.perf_counter() - began - empty(repeats)
+        if took >= RUN_SECONDS or repeats >= MOST_REPEATS:
+            return max(took, 1e-4) / repeats
+        repeats *= 4 if took > RUN_SECONDS / 8 else 16
+
+
+def costs(sample: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """The cost of each feature of sample (__pg_text), as powers of 2, so that chance in timing seldom shows."""
+
+    def run(f: str | None) -> Callable[[int], object]:
+        def go(repeats: int) -> object:
+            df = sample.select("__pg_text", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+            df = df.withColumn("__pg_none", F.length("__pg_text")) if f is None else _with_feature(df, f, None)
+            return df.agg(F.sum(f or "__pg_none")).first()
+
+        return go
+
+    idle: dict[int, float] = {}
+
+    def empty(repeats: int) -> float:
+        if repeats not in idle:
+            run(None)(repeats)
             began = time.perf_counter()
-            rejected[rule] = df.first()[0] / n
-            cost[rule] = time.perf_counter() - began
-    finally:
-        sample.unpersist()
-    return sorted(rules, key=lambda r: (-rejected[r] / cost[r], cost[r] if not rejected[r] else 0.0))
+            run(None)(repeats)
+            idle[repeats] = time.perf_counter() - began
+        return idle[repeats]
+
+    return {f: 2.0 ** round(math.log2(_seconds(run(f), empty))) for f in features}
+
+
+def arranged(rules: Sequence[Rule], seen: dict[tuple[bool, ...], int], cost: dict[str, float]) -> list[Rule]:
+    """The rules by rejection per cost, each against the rows that the ones before it leave: seen has how many
+    rows get which verdicts (True: rejected), in the order of rules. A feature that is there already costs
+    nothing. Rules that reject none of what is left come last, cheapest first; ties keep the given order."""
+    left, there, out = dict(seen), set(), []
+    while len(out) < len(rules):
+        best, key = None, None
+        for i, rule in enumerate(rules):
+            if rule in out:
+                continue
+            hits = sum(n for verdicts, n in left.items() if verdicts[i])
+            price = sum(cost[f] for f in rule.needs if f not in there) + 1e-9
+            mine = (-hits / price, price if not hits else 0.0, i)
+            if key is None or mine < key:
+                best, key = i, mine
+        out.append(rules[best])
+        there |= set(rules[best].needs)
+        left = {v: n for v, n in left.items() if not v[best]}
+    return out
+
+
+def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules, most rejection per cost first, as measured on the first sample_rows rows that the scan gives of
+    texts of SAMPLE_BYTES at most: Spark reads as few partitions as give them. An empty sample keeps the given order."""
+    text = docs.select(F.coalesce(docs["text"], F.lit("")).alias("__pg_text")).where(F.octet_length("__pg_text") <= SAMPLE_BYTES)
+    got = text.take(sample_rows)
+    if not got:
+        return list(rules)
+    sample = docs.sparkSession.createDataFrame([(r[0],) for r in got], "__pg_text string").coalesce(1)
+    df = sample
+    features = list(dict.fromkeys(f for rule in rules for f in rule.needs))
+    for f in features:
+        df = _with_feature(df, f, None)
+    verdicts = [F.coalesce(F.expr(rule.rejects), F.lit(False)).alias(f"r{i}") for i, rule in enumerate(rules)]
+    seen = {tuple(r)[:-1]: r["n"] for r in df.select(*verdicts).groupBy(*[f"r{i}" for i in range(len(rules))]).agg(F.count("*").alias("n")).collect()}
+    return arranged(rules, seen, costs(sample, features))
 
 
 def cascade(docs: DataFrame, order: Sequence[Rule], always: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder of our own, and only under a local master."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="pagegrain-"))
@@ -52,6 +52,25 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def running(spark: SparkSession, rows: DataFrame, order: list[Column], value: str | None = None, task_rows: int = 200_000) -> DataFrame:
+    """rows (a written table) with `rank`, their place from 0 by `order`, and `before`, the sum of `value` over the
+    rows ahead. Ranges of rows are sorted in a task each; only a row a range meets in one."""
+    n = int(min(10_000, rows.count() // task_rows + 1))
+    if n == 1:
+        ahead = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("rank", F.count("*").over(ahead)).withColumn("before", F.coalesce(F.sum(value if value else F.lit(0)).over(ahead), F.lit(0)))
+    cut = rows.repartitionByRange(n, *order)
+    cut = written(spark, cut.sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered").withColumn("__part", F.shiftright("__id", 33))
+    size = F.col(value) if value else F.lit(0)
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("__part").agg(F.count("*").alias("__n"), F.sum(size).alias("__s"))
+    parts = parts.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__s"))
+    inside = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumn("before", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(parts), "__part")  # 10,000 rows at most
+    out = out.withColumn("rank", F.col("__n") + F.col("__id").bitwiseAND((1 << 33) - 1)).withColumn("before", F.col("__s") + F.col("before"))
+    return out.drop("__id", "__part", "__n", "__s")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs now rather than at its next
     periodic collection, so that disk holds one copy of a table in flight, not two."""

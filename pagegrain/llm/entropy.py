@@ -25,7 +25,7 @@ from .common import release, small_batches, table, written
 
 PAIR_SHARE, SMOOTHING = 0.6, 0.5
 #: Bytes of text in a chunk, and for each bucket of keys; a text that a chunk begins with may be longer.
-CHUNK, BUCKET = 16 << 20, 32 << 20
+CHUNK, BUCKET = 8 << 20, 16 << 20
 
 
 def _keys(w: grams.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

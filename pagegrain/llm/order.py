@@ -14,18 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, settings, small_batches, table, written
+from .common import release, running, small_batches, table, written
 from .feistel import permuted
 
 LENGTH, SHARD_SLOTS, KEY = 1024, 8192, 7
 ROWS_A_BUCKET = 2_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The pattern that goes with that vocabulary, and an id it leaves free: the end of a document.
+#: The pattern that goes with that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-END = 50256
+#: Equal rows (doc_id, text) beyond this many are dealt to buckets one by one; bytes of text a task reads, about.
+COPIES, TASK_BYTES = 1000, 64 << 20
 _encodings: dict[bytes, object] = {}
 
 
@@ -39,10 +40,21 @@ def encoding(vocabulary: bytes):
     return _encodings[vocabulary]
 
 
+def end_of(vocabulary: bytes) -> int:
+    """The end of a document: the least id above all of the vocabulary's. Ids need two bytes, or four where this one is
+    over 65,535."""
+    return max(int(line.split()[1]) for line in vocabulary.splitlines()) + 1
+
+
+def id_type(end: int) -> type:
+    return np.uint16 if end < 1 << 16 else np.uint32
+
+
 def _packer(vocabulary, length: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of bucket; a bucket's last sequence may be short, and is filled with END."""
-        enc = encoding(vocabulary.value)
+        """Rows come in order of bucket; a bucket's last sequence may be short, and is filled with the end's id."""
+        enc, end = encoding(vocabulary.value), end_of(vocabulary.value)
+        kind = id_type(end)
         bucket, number, room = None, 0, length
         tokens: list[np.ndarray] = []
         ids: list[int | None] = []
@@ -52,7 +64,7 @@ def _packer(vocabulary, length: int):
         def close() -> None:
             nonlocal number, room
             body = np.concatenate(tokens)
-            full = np.full(length, END, np.uint16)
+            full = np.full(length, end, kind)
             full[: len(body)] = body
             out.append((bucket, number, len(body), ids.copy(), starts.copy(), full.tobytes()))
             number, room = number + 1, length
@@ -65,7 +77,7 @@ def _packer(vocabulary, length: int):
                     if tokens:
                         close()
                     bucket, number = b, 0
-                t = np.append(enc.encode_to_numpy(text, disallowed_special=()).astype(np.uint16), np.uint16(END))
+                t = np.append(enc.encode_to_numpy(text, disallowed_special=()).astype(kind), kind(end))
                 at = 0
                 while at < len(t):
                     part = t[at : at + room]
@@ -97,33 +109,53 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def sequences(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
     """The sequences of docs (doc_id, text) in training order: slot (0 and up, without gaps), shard,
     offset (of its first byte in the shard's file), n_tokens, doc_ids and starts (whose tokens it
-    holds, from where), tokens (2 * length bytes, little-endian 16-bit ids, filled up with END).
+    holds, from where), tokens (length ids, little-endian, of id_type(end_of(vocabulary)), filled up with the end's id).
 
-    Every text's tokens are followed by END. Null and empty texts give nothing; repeated rows are kept; a
-    null doc_id stays null. The order depends on docs, length and key only, not on their partitions.
-    An empty table gives no rows.
+    Every text's tokens are followed by the end's id. Null and empty texts give nothing; repeated rows are kept, also
+    when a third of all rows are equal; a null doc_id stays null; ties can't be told apart, so their order is
+    one. Other columns are ignored. The order depends on docs, length and key only, not on their
+    partitions. An empty table gives no rows.
     """
     with open(tokenizer, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     base = docs.where("text <> ''").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("raw"))
-    n = max(16, base.count() // ROWS_A_BUCKET)
-    dealt = base.withColumn("bucket", F.expr(f"pmod(raw, {n})")).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "raw")
-    with small_batches(spark), settings(spark, **{"spark.sql.adaptive.coalescePartitions.parallelismFirst": "true"}):
+    rows, size, hot = base.groupBy("raw").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).agg(F.sum("n"), F.sum("size"), F.max("n")).first()
+    n = max(16, (rows or 0) // ROWS_A_BUCKET)
+    dealt = base.withColumn("copy", F.lit(0).cast("long"))
+    if hot and hot > COPIES:
+        dealt = _dealt_copies(spark, base)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // TASK_BYTES)
+    dealt = dealt.withColumn("bucket", F.expr(f"pmod(if(copy = 0, raw, xxhash64(raw, copy)), {n})"))
+    dealt = dealt.repartition(min(tasks, n), "bucket").sortWithinPartitions("bucket", "doc_id", "raw")
+    with small_batches(spark):
         packed = written(spark, dealt.select("bucket", "doc_id", "text").mapInArrow(_packer(vocabulary, length), _DDL), "packed")
     release(spark)
-    per = packed.groupBy("bucket").agg(F.count("*").alias("n"))
-    first = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(spark, per.select("bucket", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total")), "bases")
-    total = (starts.agg(F.max("total")).first()[0] or 0)
+    per = written(spark, packed.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
+    starts = running(spark, per, [F.col("bucket")], "n").select("bucket", F.col("before").alias("base"))
+    total = per.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_slots))
-    out = packed.join(starts, "bucket").withColumn("slot", F.expr(permuted("base + number", "total", f"{key}L"))).withColumn("shard", F.expr(f"slot div {shard_slots}"))
-    out = out.select("slot", "shard", F.expr(f"(slot % {shard_slots}) * {stride(length)}").alias("offset"), "n_tokens", "doc_ids", "starts", "tokens")
+    width = np.dtype(id_type(end_of(vocabulary.value))).itemsize
+    out = packed.join(starts, "bucket").withColumn("slot", F.expr(permuted("base + number", f"{total}L", f"{key}L"))).withColumn("shard", F.expr(f"slot div {shard_slots}"))
+    out = out.select("slot", "shard", F.expr(f"(slot % {shard_slots}) * {stride(length, width)}").alias("offset"), "n_tokens", "doc_ids", "starts", "tokens")
     return out.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
 
 
-def stride(length: int) -> int:
-    """Bytes of a record in a shard file: the ids and one line feed."""
-    return 2 * length + 1
+def _dealt_copies(spark: SparkSession, base: DataFrame) -> DataFrame:
+    """base with `copy`, 0 but for rows of which there are more than COPIES: those are made anew from one of them,
+    numbered, in tasks of COPIES. Equal rows are merged before the shuffle, so none gathers them."""
+    many = written(spark, base.groupBy("doc_id", "raw").agg(F.count("*").alias("m")).where(f"m > {COPIES}"), "many")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("raw") == F.col("own_raw"))
+    keys = F.broadcast(many.selectExpr("doc_id own_id", "raw own_raw", "m")) if many.count() <= 500_000 else many.selectExpr("doc_id own_id", "raw own_raw", "m").hint("merge")
+    rest = base.join(keys, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    one = base.join(keys, same).groupBy("doc_id", "raw", "m").agg(F.min("text").alias("text"))
+    parts = one.select("*", F.explode(F.expr(f"sequence(0L, (m - 1) div {COPIES})")).alias("part")).repartition("raw", "part")
+    copies = parts.select("doc_id", "text", "raw", F.explode(F.expr(f"sequence(part * {COPIES}, least(m, (part + 1) * {COPIES}) - 1)")).alias("copy"))
+    return rest.unionByName(copies)
+
+
+def stride(length: int, width: int = 2) -> int:
+    """Bytes of a record in a shard file: the ids, of `width` bytes, and one line feed."""
+    return width * length + 1
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
@@ -134,10 +166,10 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     rows.select("shard", F.col("tokens").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
-def read_record(shard_file, slot: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> np.ndarray:
+def read_record(shard_file, slot: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, width: int = 2) -> np.ndarray:
     """The ids of a slot from its open shard file, by one seek."""
-    shard_file.seek((slot % shard_slots) * stride(length))
-    return np.frombuffer(shard_file.read(2 * length), "<u2")
+    shard_file.seek((slot % shard_slots) * stride(length, width))
+    return np.frombuffer(shard_file.read(width * length), f"<u{width}")
 
 
 def op4_order(spark: SparkSession, sf_dir: str) -> DataFrame:

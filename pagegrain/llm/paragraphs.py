@@ -88,7 +88,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PLACE = "row bigint, doc_id bigint, own bigint, first_word bigint, node bigint"
-HELD = "row bigint, doc_id bigint, first_word bigint, node bigint, n_class bigint, head_id bigint, head_word bigint, here int, before int"
+HELD = "row bigint, doc_id bigint, first_word bigint, node bigint, n_class bigint, head_id bigint, head_word bigint, lead boolean, here int, before int"
 SPANS = "doc_id bigint, first_word bigint, n_words bigint, class_id bigint, n_class bigint, removed boolean"
 
 
@@ -98,12 +98,12 @@ def _names(schema: str) -> list[str]:
 
 def _held(rows: pa.Table) -> pa.Table:
     """Of the places of runs: those whose run two documents hold, with the run's places: how many, the first
-    one by (doc_id, first_word), null ids first, and sums of hashes of them and of the places one word before them."""
+    one by (doc_id, first_word, own), null ids first, whether it is that one, and sums of hashes of them and of the places one word before them."""
     rows = rows.combine_chunks()
     node, own, at = (rows.column(c).to_numpy() for c in ("node", "own", "first_word"))
     null = rows.column("doc_id").is_null().to_numpy()
     doc = rows.column("doc_id").fill_null(0).to_numpy()
-    order = np.lexsort((at, doc, ~null, node))
+    order = np.lexsort((own, at, doc, ~null, node))
     node, own, at = node[order], own[order].view(np.uint64), at[order].astype(np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     sizes = np.diff(np.append(starts, len(node)))
@@ -113,7 +113,7 @@ def _held(rows: pa.Table) -> pa.Table:
     spread = lambda x: np.repeat(x[several], sizes[several])
     mine = rows.take(pa.array(order[kept]))
     head = rows.take(pa.array(order[spread(starts)]))
-    return pa.Table.from_arrays([*(mine.column(c) for c in ("row", "doc_id", "first_word", "node")), pa.array(spread(sizes)), head.column("doc_id"), head.column("first_word"), *(pa.array(spread(x)) for x in sums)], names=_names(HELD))
+    return pa.Table.from_arrays([*(mine.column(c) for c in ("row", "doc_id", "first_word", "node")), pa.array(spread(sizes)), head.column("doc_id"), head.column("first_word"), pa.array((own == np.repeat(own[starts], sizes))[kept] & (at == np.repeat(at[starts], sizes))[kept]), *(pa.array(spread(x)) for x in sums)], names=_names(HELD))
 
 
 def _joined(rows: pa.Table) -> pa.Table:
@@ -126,9 +126,7 @@ def _joined(rows: pa.Table) -> pa.Table:
     same &= (head_null[1:] == head_null[:-1]) & (head_id[1:] == head_id[:-1]) & (word[1:] == word[:-1] + 1)
     starts = np.flatnonzero(np.concatenate(([True], ~same)))
     size = np.diff(np.append(starts, len(row))) + MIN_WORDS - 1
-    doc = rows.column("doc_id")
-    null, doc_id = doc.is_null().to_numpy(), doc.fill_null(0).to_numpy()
-    first = (null == head_null) & (doc_id == head_id) & (at == word)
+    first = rows.column("lead").to_numpy()
     out = rows.take(pa.array(starts))
     return pa.Table.from_arrays([out.column("doc_id"), out.column("first_word"), pa.array(size.astype(np.int64)), out.column("node"), out.column("n_class"), pa.array(~first[starts])], names=_names(SPANS))
 
@@ -192,10 +190,10 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     release(spark)
     joined = written(spark, units.join(twice.hint("merge"), "node").drop("node").withColumnRenamed("comp", "class_id"), "repeated")
     release(spark)
-    sizes = joined.groupBy("class_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n_class"), F.min(F.struct("doc_id", "first_word")).alias("head"))
+    sizes = joined.groupBy("class_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n_class"), F.min(F.struct("doc_id", "first_word", "own")).alias("head"))
     heads = written(spark, sizes.where("lo < hi").drop("lo", "hi"), "heads")
     out = joined.join(heads.hint("merge"), "class_id")
-    return out.selectExpr("doc_id", "first_word", "n_words", "class_id", "n_class", "not (doc_id <=> head.doc_id and first_word = head.first_word) removed").unionByName(spans)
+    return out.selectExpr("doc_id", "first_word", "n_words", "class_id", "n_class", "not (doc_id <=> head.doc_id and first_word = head.first_word and own = head.own) removed").unionByName(spans)
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

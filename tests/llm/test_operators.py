@@ -203,7 +203,7 @@ def test_sequences_round_trip(spark, tmp_path):
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     again = order.sequences(spark, docs.repartition(5), shard_slots=50).collect()
     assert {(r.slot, bytes(r.tokens)) for r in rows} == {(r.slot, bytes(r.tokens)) for r in again}
-    enc = order.encoding(open(order.TOKENIZER, "rb").read())
+    enc, end = order.encoding(vocabulary := open(order.TOKENIZER, "rb").read()), order.end_of(vocabulary)
     texts = {r.doc_id: r.text for r in docs.collect()}
     whole = Counter()
     for r in rows:
@@ -211,7 +211,7 @@ def test_sequences_round_trip(spark, tmp_path):
             end = r.starts[k + 1] if k + 1 < len(r.starts) else r.n_tokens
             whole[doc] += end - at
             part = np.frombuffer(r.tokens, "<u2")[at:end].tolist()
-            assert enc.decode([t for t in part if t != order.END]) in texts[doc] or "�" in enc.decode([t for t in part if t != order.END])
+            assert enc.decode([t for t in part if t != end]) in texts[doc] or "�" in enc.decode([t for t in part if t != end])
     assert whole == {i: len(enc.encode_ordinary(t)) + 1 for i, t in texts.items() if t}
     order.write_shards(out, str(tmp_path / "shards"))
     for r in rows[:20]:
@@ -344,3 +344,184 @@ def test_pipeline_runs(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "mix_sources", "token_output"]
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.slot for r in got) == list(range(len(got))) and got
+
+
+def _water_filled(sizes, weights, share=1.5, most=2):
+    """Targets by the contract's words, one source after the other."""
+    target, free = {}, set(sizes)
+    while True:
+        goal = share * sum(sizes.values()) - sum(target.values())
+        now = {s: goal * weights[s] / sum(weights[x] for x in free) for s in free}
+        over = {s for s in free if now[s] > most * sizes[s]}
+        if not over:
+            return target | now
+        target |= {s: most * sizes[s] for s in over}
+        free -= over
+        if not free:
+            return target
+
+
+def test_mix_targets_against_water_filling(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 3000)), rng.choice(["b", "a", "c", "d", "é", None])) for i in range(300)]
+    rows += [(1000 + i, "x y " * 40, "tiny") for i in range(3)] + [(None, "same words here", "hot")] * 2500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    sizes, by_doc = Counter(), {}
+    for i, text, source in rows:
+        sizes[source] += len(text.split())
+        by_doc[i] = source
+    order_ = sorted(sizes, key=lambda s: (s is None, s))
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order_)}
+    want, got = _water_filled(dict(sizes), weights), mixing.taken(spark, docs, shard_slots=16).collect()
+    assert len(got) == len(rows)
+    took = Counter()
+    for r in got:
+        source = by_doc[r.doc_id]
+        assert r.target == pytest.approx(want[source]) and r.source_size == sizes[source] and r.taken <= 2 * r["size"]
+        took[source] += r.taken
+    assert all(took[s] == pytest.approx(want[s], rel=0.02, abs=200) for s in sizes)
+
+
+def test_shards_draw_counts_and_hold_blocks(spark):
+    docs = table(spark, SF, "documents")
+    p = mixing.plan(spark, docs)
+    quota = {r.sk: r.quota for r in p.sources.collect()}
+    counts = mixing.shard_counts(spark, p, shard_slots=64).collect()
+    by_shard, by_source = Counter(), Counter()
+    for r in counts:
+        by_shard[r.shard] += r.n
+        by_source[r.sk] += r.n
+    full = p.slots // 64
+    assert by_source == {k: v for k, v in quota.items() if v} and all(by_shard[i] == 64 for i in range(full)) and by_shard[full] == p.slots % 64
+    # Counts vary like multinomial ones: their variance is near n p (1 - p), not 0.
+    big = max(quota, key=quota.get)
+    share, seen = quota[big] / p.slots, [r.n for r in counts if r.sk == big and r.shard < full]
+    assert 0.3 < np.var(seen) / (64 * share * (1 - share)) < 2.5
+    laid = mixing.slots(spark, p, shard_slots=64).collect()
+    assert sorted(r.slot for r in laid) == list(range(p.slots)) and all(r.slot // 64 == r.shard for r in laid)
+    assert Counter((r.shard, r.sk) for r in laid) == {(r.shard, r.sk): r.n for r in counts}
+    assert max(Counter((r.sk, r.block) for r in laid).values()) <= 2
+    rows = mixing.mix(spark, docs, shard_slots=64)
+    whole = mixing.blocks(rows).collect()
+    assert sorted(r.slot for r in whole) == list(range(p.slots))
+    assert sum(len(_folded(r.text)) == mixing.BLOCK_WORDS for r in whole) > 0.9 * len(whole)
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    rules = (cascade.Rule("dear", ("slow",), ""), cascade.Rule("some", ("quick",), ""), cascade.Rule("more", ("quick", "slow"), ""), cascade.Rule("none", ("free",), ""))
+    # rows by verdict of each rule: `more` rejects most, but needs the costly feature; what `some` leaves, `dear` hardly rejects.
+    seen = {(False, True, True, False): 40, (False, False, True, False): 30, (True, True, False, False): 20, (True, False, False, False): 1, (False, False, False, False): 9}
+    assert [r.name for r in cascade.arranged(rules, seen, {"slow": 64.0, "quick": 1.0, "free": 0.5})] == ["some", "more", "dear", "none"]
+    assert [r.name for r in cascade.arranged(rules, {}, {"slow": 64.0, "quick": 1.0, "free": 0.5})][:2] == ["none", "some"]
+    docs = table(spark, SF, "documents")
+    assert cascade.ordered(docs.limit(0)) == list(cascade.RULES)
+    found = cascade.ordered(docs)
+    assert sorted(r.name for r in found) == sorted(r.name for r in cascade.RULES)
+    sample = spark.createDataFrame([(r.text,) for r in docs.collect()], "__pg_text string").coalesce(1)
+    cost = cascade.costs(sample, ("n_symbols", "n_repeat_words"))
+    assert cost["n_repeat_words"] > 2 * cost["n_symbols"]
+
+
+def test_sequences_of_equal_rows_and_wide_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(order, "COPIES", 10)
+    rows = [(1, "again and again")] * 35 + [(2, "once")] + [(None, "no id")] * 12
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = order.sequences(spark, docs, length=8).collect()
+    enc = order.encoding(vocabulary := open(order.TOKENIZER, "rb").read())
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    assert sum(r.n_tokens for r in got) == sum(len(enc.encode_ordinary(t)) + 1 for _, t in rows)
+    assert {r.slot: bytes(r.tokens) for r in got} == {r.slot: bytes(r.tokens) for r in order.sequences(spark, docs.repartition(2), length=8).collect()}
+    wide = tmp_path / "wide.tiktoken"
+    wide.write_bytes(vocabulary + b"\n" + __import__("base64").b64encode(b"qqqzzzqqq") + b" 70000\n")
+    assert order.end_of(wide.read_bytes()) == 70001
+    (one,) = order.sequences(spark, docs.where("doc_id = 2"), tokenizer=str(wide), length=8).collect()
+    ids = np.frombuffer(one.tokens, "<u4")
+    assert len(ids) == 8 and ids[one.n_tokens - 1] == 70001 and one.offset == 0
+
+
+def test_slots_against_a_plain_feistel(spark):
+    """The permutation of permuted(), stepped in Python over the hashes that Spark gives."""
+    n, key = 1000, 7
+    a = int(np.ceil(np.sqrt(n)))
+    b = -(-n // a)
+    hashes = {(x, k): h for x, k, h in spark.range(max(a, b)).crossJoin(spark.range(feistel.ROUNDS).selectExpr("cast(id as int) k")).selectExpr("id", "k", f"xxhash64(id, {key}L, k)").collect()}
+
+    def once(x):
+        left, right = x // b, x % b
+        for k in range(feistel.ROUNDS):
+            if k % 2 == 0:
+                left = (left + hashes[right, k] % a) % a
+            else:
+                right = (right + hashes[left, k] % b) % b
+        return left * b + right
+
+    want = []
+    for x in range(n):
+        y = once(x)
+        while y >= n:
+            y = once(y)
+        want.append(y)
+    assert [r[0] for r in spark.range(n).orderBy("id").select(F.expr(feistel.permuted("id", f"{n}L", f"{key}L"))).collect()] == want
+
+
+def test_null_items_hit_and_texts_of_blanks_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in winnowing.contamination(spark, docs, spark.createDataFrame([(None, "b c"), (None, None)], ITEMS)).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (2, 0, True) and got[2].n_hit == 0
+    assert got[1].items_sha256 == hashlib.sha256(b"").hexdigest()
+    blank = spark.createDataFrame([(1, "\n"), (1, "\n"), (1, " "), (1, " "), (2, "a"), (2, "a")], "doc_id bigint, text string")
+    assert bagminhash.deduplicated(spark, blank).count() == 5
+
+
+def test_heads_without_label_are_left_out(spark):
+    good, bad = "fine words of a good text " * 5, "### $$$ *** junk %%% " * 5
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) + str(i), "h", "p") for i in range(80)] + [(500 + i, good, "h", "p") for i in range(5)] * 4, "doc_id bigint, text string, host string, path string")
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(80)] + [(500, None, 1)], "doc_id bigint, quality int, toxic int")
+    with_ = bayes.fitted(spark, docs, labels)
+    without = bayes.fitted(spark, docs, labels.where("doc_id < 500"))
+    assert np.allclose(with_[0], without[0])
+    got = {r.doc_id: r for r in bayes.classified(spark, docs, labels, F.col("host"), F.col("path")).collect()}
+    assert got[1].p_quality > 0.5 > got[2].p_quality
+
+
+def test_site_posteriors_against_plain_python(spark):
+    docs = table(spark, SF, "documents")
+    labels = table(spark, SF, "labels")
+    host, path = F.col("source"), F.concat_ws("/", "source", "lang")
+    model = bayes.fitted(spark, docs, labels)
+    rows = docs.select("doc_id", "text", host.alias("h"), path.alias("p")).collect()
+    doc, feature, style = bayes._features(pa.array([r.text or "" for r in rows]))
+    got = {r.doc_id: r for r in bayes.classified(spark, docs, labels, host, path).collect()}
+    for w, head in zip(model, bayes.HEADS, strict=True):
+        z = np.bincount(doc, w[feature], minlength=len(rows))[: len(rows)] + style @ w[bayes.DIMS : -1] + w[-1]
+        p = 1 / (1 + np.exp(-z))
+        hosts, paths = {}, {}
+        for r, x in zip(rows, p, strict=True):
+            hosts.setdefault(r.h, []).append(x)
+            paths.setdefault((r.h, r.p), []).append(x)
+
+        def weight(groups):
+            n, s = sum(map(len, groups)), sum(map(sum, groups))
+            mean = min(max(s / n, 1e-4), 1 - 1e-4)
+            between = max(sum(sum(g) ** 2 / len(g) for g in groups) / n - mean**2, 1e-9)
+            return mean, min(max(mean * (1 - mean) / between - 1, 1.0), 1e4)
+
+        prior, hw = weight(list(hosts.values()))
+        _, pw = weight(list(paths.values()))
+        odds = lambda x: np.log(x / (1 - x))
+        for r, x, own in zip(rows, z, p, strict=True):
+            h, g = hosts[r.h], paths[r.h, r.p]
+            up = (sum(h) - own + hw * prior) / (len(h) - 1 + hw)
+            site = (sum(g) - own + pw * up) / (len(g) - 1 + pw)
+            assert got[r.doc_id][f"p_{head}"] == pytest.approx(1 / (1 + np.exp(-(x + odds(site) - odds(prior)))), abs=1e-6)
+
+
+def test_removed_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(8)
+    shared = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    docs = spark.createDataFrame([(None, shared + " tail one"), (None, shared + " tail two")], "doc_id bigint, text string")
+    got = paragraphs.repeats(spark, docs).collect()
+    by_class = {}
+    for r in got:
+        by_class.setdefault(r.class_id, []).append(r.removed)
+    assert by_class and all(sorted(v) == [False, True] for v in by_class.values())
