@@ -45,7 +45,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     told = [docs[f"`{c}`"] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     return docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__pg_row"), F.col("doc_id").alias("__pg_id"), source.alias("__pg_source"),
-        F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("sk"), F.xxhash64(*told).alias("k1"), F.xxhash64(F.lit(17), *told).alias("k2"), word_count(F.col("text")).alias("size"),
+        F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("sk"), F.xxhash64(*told).alias("k1"), F.xxhash64(F.lit(17), *told).alias("k2"), F.xxhash64("doc_id", "text").alias("raw"), word_count(F.col("text")).alias("size"),
     )
 
 
@@ -70,16 +70,16 @@ def _targets(spark: SparkSession, by_source: DataFrame, block_words: int) -> Dat
 def plan(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS) -> Plan:
     """Sizes, targets and places. Equal rows are one row with a count from here on, so that no number of copies
     meets in a task; rows are placed in order of bucket, then id and key, and only a bucket's rows meet."""
-    rows = written(spark, _keyed(docs).groupBy("k1", "k2", "sk", "__pg_source", "__pg_id", "size").agg(F.count("*").alias("m")), "sized")
+    rows = written(spark, _keyed(docs).groupBy("k1", "k2", "sk", "__pg_source", "__pg_id", "raw", "size").agg(F.count("*").alias("m")), "sized")
     n = max(512, rows.count() // ROWS_A_BUCKET)
-    rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(k1, 17), {n})"))
+    rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(raw, 17), {n})"))
     sums = written(spark, rows.groupBy("sk", "bucket").agg(F.first("__pg_source").alias("source"), F.sum(F.expr("size * m")).alias("s")), "sums")
     by_source = sums.groupBy("sk").agg(F.first("source").alias("source"), F.sum("s").alias("source_size"))
     targets = _targets(spark, by_source, block_words).select("sk", "source", "source_size", "target", "blocks", "quota")
     sources = written(spark, running(spark, targets, [F.col("sk")], "quota").drop("rank"), "sources")
     before = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("sk", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("at"))
-    own = Window.partitionBy("sk", "bucket").orderBy("__pg_id", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("sk", "bucket").orderBy("__pg_id", "raw", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.where("size > 0").withColumn("inside", F.coalesce(F.sum(F.expr("size * m")).over(own), F.lit(0)))
     placed = inside.join(starts, ["sk", "bucket"]).select("k1", "k2", "sk", F.col("__pg_id").alias("doc_id"), "size", "m", (F.col("at") + F.col("inside")).alias("off"))
     slots, few = sources.agg(F.sum("quota"), F.count("*") <= BROADCAST_ROWS).first()
@@ -166,15 +166,16 @@ def mix(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS, sh
     words = split.format(r"regexp_replace(row.text, r'^[\x20\x09-\x0D]+', '')")
     # The rows of docs, equal ones once, merged before the shuffle; the same exchange serves the join.
     rows = _keyed(docs).where("size > 0").groupBy("k1", "k2").agg(F.first("__pg_row").alias("row"))
-    placed = _copies(rows.join(p.placed.hint("merge"), ["k1", "k2"]).drop("k1", "k2") if p.most_copies <= COPIES else rows.join(p.placed.hint("merge"), ["k1", "k2"]), p)
-    b = block_words
-    placed = placed.withColumn("off", F.expr("off + copy * size")).withColumn("words", F.expr(words))  # one list of words a document, sliced once a block
-    each = placed.select("sk", "row", F.explode_outer(F.expr(
+    flat = [F.col(f"row.`{c}`").alias(f"__pg_{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    b, names = block_words, [f"__pg_{i}" for i, c in enumerate(docs.columns) if c != "text"]
+    # One list of words a document, sliced once a block.
+    placed = rows.join(p.placed.hint("merge"), ["k1", "k2"]).select("k1", "k2", "sk", "size", "m", "off", F.expr(words).alias("words"), *flat)
+    placed = _copies(placed, p).withColumn("off", F.expr("off + copy * size"))
+    each = placed.select("sk", *names, F.explode_outer(F.expr(
         f"transform(sequence(off div {b}, (off + size - 1) div {b}), k -> named_struct('block', k, 'at', greatest(0L, off - k * {b}), 'text', "
         f"array_join(slice(words, cast(greatest(0L, k * {b} - off) + 1 as int), cast(least(size, (k + 1) * {b} - off) - greatest(0L, k * {b} - off) as int)), '')))"
     )).alias("p"))
-    each = each.select("sk", "p.block", "p.at", "p.text", *[F.col(f"row.`{c}`").alias(f"__pg_{i}") for i, c in enumerate(docs.columns) if c != "text"])
-    out = each.join(every.hint("merge"), ["sk", "block"])
+    out = each.select("sk", "p.block", "p.at", "p.text", *names).join(every.hint("merge"), ["sk", "block"])
 
     def column(i: int, c: str) -> Column:
         return F.col("text") if c == "text" else F.char_length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"__pg_{i}")

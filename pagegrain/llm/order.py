@@ -35,7 +35,7 @@ def encoding(vocabulary: bytes):
     import tiktoken
 
     if vocabulary not in _encodings:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, vocabulary.splitlines()))}
         _encodings[vocabulary] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[vocabulary]
 
@@ -43,7 +43,7 @@ def encoding(vocabulary: bytes):
 def end_of(vocabulary: bytes) -> int:
     """The end of a document: the least id above all of the vocabulary's. Ids need two bytes, or four where this one is
     over 65,535."""
-    return max(int(line.split()[1]) for line in vocabulary.splitlines()) + 1
+    return max(int(line.split()[1]) for line in filter(bytes.strip, vocabulary.splitlines())) + 1
 
 
 def id_type(end: int) -> type:

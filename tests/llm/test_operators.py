@@ -203,7 +203,7 @@ def test_sequences_round_trip(spark, tmp_path):
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     again = order.sequences(spark, docs.repartition(5), shard_slots=50).collect()
     assert {(r.slot, bytes(r.tokens)) for r in rows} == {(r.slot, bytes(r.tokens)) for r in again}
-    enc, end = order.encoding(vocabulary := open(order.TOKENIZER, "rb").read()), order.end_of(vocabulary)
+    enc, last = order.encoding(vocabulary := open(order.TOKENIZER, "rb").read()), order.end_of(vocabulary)
     texts = {r.doc_id: r.text for r in docs.collect()}
     whole = Counter()
     for r in rows:
@@ -211,7 +211,7 @@ def test_sequences_round_trip(spark, tmp_path):
             end = r.starts[k + 1] if k + 1 < len(r.starts) else r.n_tokens
             whole[doc] += end - at
             part = np.frombuffer(r.tokens, "<u2")[at:end].tolist()
-            assert enc.decode([t for t in part if t != end]) in texts[doc] or "�" in enc.decode([t for t in part if t != end])
+            assert enc.decode([t for t in part if t != last]) in texts[doc] or "�" in enc.decode([t for t in part if t != last])
     assert whole == {i: len(enc.encode_ordinary(t)) + 1 for i, t in texts.items() if t}
     order.write_shards(out, str(tmp_path / "shards"))
     for r in rows[:20]:
