@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_FENCE = r"^\s*(```|~~~)"
+#: Formats of headings, contents items and releases, and what a line of nothing but links is.
+_FENCE = r"^\s*(`{3,}|~{3,})(.*)$"
+_LINK_ONLY = r"^[ \t]*(\[[^\]]*\]\([^)]*\)[ \t]*){4,}$"
 _HEADING = r"^##\s+(.+?)\s*$"
 _TITLE = r"^#\s+(.+?)\s*$"
 _TOC = r"^\s*[-*]\s+\[[^\]]*\]\(#[^)]*\)\s*$"
@@ -24,6 +26,135 @@ def _lines(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
+def _spans(lines: Column) -> Column:
+    """Of a text's lines: stretches (a, n, code) that cover them all in order, a fence's own lines with its code.
+
+    A fold over the lines that could open or close a fence, as what closes one depends on what opened it: a run of
+    the same mark, as long at least, and nothing else. Backtick fences have no backtick after their mark."""
+    shape = "array<struct<a: int, n: int, code: boolean>>"
+    mark = lambda x: F.regexp_extract(x, _FENCE, 1)
+    rest = lambda x: F.trim(F.regexp_extract(x, _FENCE, 2))
+    found = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), mark(x).alias("mark"), rest(x).alias("rest"))), lambda c: c.mark != "")
+    span = lambda a, n, code: F.array(F.struct(a.cast("int").alias("a"), n.cast("int").alias("n"), F.lit(code).alias("code")))
+    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        opens = (s.mark == "") & ~(c.mark.startswith("`") & F.contains(c.rest, F.lit("`")))
+        closes = (s.mark != "") & (c.rest == "") & c.mark.startswith(s.mark)
+        opened = F.struct(c.mark.alias("mark"), c.i.alias("at"), F.concat(s.out, span(s["at"], c.i - s["at"], False)).alias("out"))
+        closed = F.struct(F.lit("").alias("mark"), (c.i + 1).alias("at"), F.concat(s.out, span(s["at"], c.i + 1 - s["at"], True)).alias("out"))
+        return F.when(opens, opened).when(closes, closed).otherwise(s)
+
+    end = lambda s: F.concat(s.out, F.array(F.struct(s["at"].alias("a"), (F.size(lines) - s["at"]).cast("int").alias("n"), (s.mark != "").alias("code"))))
+    return F.filter(F.aggregate(found, start, step, end), lambda s: s.n > 0)
+
+
+def fenced_lines(docs: DataFrame, key: str = "page_id", text: Column | str = "markdown") -> DataFrame:
+    """(key, pos, line, code) of all lines of texts, code: whether inside a fence or one of its own lines. A fence that
+    nothing closes goes on to the end. Null texts have no lines; every line once."""
+    text = F.col(text) if isinstance(text, str) else text
+    lines = docs.select(F.col(key), F.split(text, "\n").alias("l")).withColumn("s", _spans(F.col("l")))
+    parts = F.transform("s", lambda s: F.transform(F.slice("l", s.a + 1, s.n), lambda x, i: F.struct((s.a + i).alias("pos"), x.alias("line"), s.code.alias("code"))))
+    return lines.select(key, F.explode(F.flatten(parts)).alias("x")).select(key, "x.pos", "x.line", "x.code")
+
+
+def _text_of(key: str, rows: DataFrame) -> DataFrame:
+    """(key, markdown) of rows (key, pos, line) in order."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
+    return rows.groupBy(key).agg(whole.alias("markdown"))
+
+
+def tidied(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
+    """(key, markdown): outside of fences lines of nothing but four links and more, and list separators, are blank, ends
+    of lines go, and of blank lines in a row one stays. Code stays as it is."""
+    order = Window.partitionBy(key).orderBy("pos")
+    lines = fenced_lines(docs, key, text)
+    line = F.regexp_replace("line", r"\s+$", "")
+    gone = F.col("line").rlike(_LINK_ONLY) | (F.trim("line") == "<!--THE END-->")
+    lines = lines.withColumn("line", F.when(F.col("code"), F.col("line")).when(gone, "").otherwise(line)).withColumn("blank", ~F.col("code") & (F.col("line") == ""))
+    return _text_of(key, lines.withColumn("before", F.lag("blank", 1, False).over(order)).where("not (blank and before)"))
+
+
+def without_repeated_links(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
+    """(key, markdown) without lines outside of fences that hold a link, or are an image, and equal the last line with
+    text before them, if no fence is between."""
+    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    lines = fenced_lines(docs, key, text).withColumn("said", F.trim("line"))
+    fences = F.count_if(F.col("code")).over(order)
+    lines = lines.withColumn("fences", F.coalesce(fences, F.lit(0))).withColumn("held", F.when(~F.col("code") & (F.col("said") != ""), F.struct("said", "fences")))
+    lines = lines.withColumn("last", F.last("held", ignorenulls=True).over(order))
+    again = ~F.col("code") & (F.contains("said", F.lit("](")) | F.col("said").rlike(r"^!?\[image:")) & (F.col("said") == F.col("last.said")) & (F.col("fences") == F.col("last.fences"))
+    return _text_of(key, lines.where(~F.coalesce(again, F.lit(False))))
+
+
+#: What counts as structure of a Markdown text, by line or anywhere.
+STRUCTURE = {
+    "headings": r"(?m)^#{1,6}\s", "fences": r"(?m)^(`{3,}|~{3,})", "fence_langs": r"(?m)^`{3,}([A-Za-z0-9+#._-]+)", "tables": r"(?m)^\|.*\|\s*$", "images": r"!?\[image:",
+    "links": r"(?<!!)\[[^\]]*\]\([^)]*\)", "bare_links": r"(?m)^\s*(?:\[[^\]]*\]\([^)]*\)\s*)+$", "lists": r"(?m)^\s*(?:[-*+]|\d+\.)\s",
+}
+#: Words that page furniture leaves behind, by family.
+LEAKS = {
+    "cookie/consent": r"(?i)\b(cookies?|consentimiento|consent|aceptar todas|accept all)\b",
+    "newsletter": r"(?i)\b(newsletter|bolet[ií]n|suscr[ií]bete|subscribe to)\b",
+    "signin/login": r"(?i)\b(sign in|log in|iniciar sesi[oó]n|acceder|register|reg[ií]strate)\b",
+    "ads": r"(?i)\b(advertisement|publicidad|sponsored|patrocinado)\b",
+    "share": r"(?i)\b(share this|comparte|compartir|copy link|comparte este art[ií]culo)\b",
+    "related": r"(?i)\b(related posts?|art[ií]culos relacionados|te puede interesar|read more|leer m[aá]s)\b",
+    "comments": r"(?i)\b(comments?|comentarios)\b",
+    "footer/legal": r"(?i)(all rights reserved|todos los derechos reservados|privacy policy|pol[ií]tica de privacidad|terms of (use|service))",
+    "social/follow": r"(?i)\b(follow us|s[ií]guenos|twitter|facebook|instagram|linkedin|youtube|telegram|whatsapp)\b",
+    "nav/menu": r"(?i)\b(skip to (main )?content|navigation|men[uú] principal|main menu|breadcrumb)\b",
+    "app-push": r"(?i)\b(download (our|the) app|descarga (nuestra|la) app|enable javascript|activa javascript)\b",
+    "paywall": r"(?i)\b(subscribe now|suscr[ií]bete ahora|already a subscriber|ya eres suscriptor|paywall|premium)\b",
+}
+
+
+def structure(text: Column) -> list[Column]:
+    """Counts of a Markdown text's structure, its lines and whether it opens with a title. Two fence lines are a fence."""
+    n = lambda p: F.regexp_count(text, F.lit(p.replace("(?m)", "(?dm)"))).cast("long")  # noqa: E731  (?d): only a line feed ends a line
+    counts = [(F.floor(n(p) / 2).cast("long") if k == "fences" else n(p)).alias(f"md_{k}") for k, p in STRUCTURE.items()]
+    return [*counts, (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("md_lines"), text.rlike(r"\A\s*#\s+\S").alias("md_has_title")]
+
+
+def leaks(text: Column) -> Column:
+    """Counts of the families of LEAKS that a text has, as a map."""
+    each = F.array(*[F.struct(F.lit(k).alias("key"), F.regexp_count(text, F.lit("(?U)" + p)).cast("int").alias("value")) for k, p in LEAKS.items()])
+    return F.map_from_entries(F.filter(each, lambda e: e.value > 0))
+
+
+def anomalies(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
+    """(key, backslash_breaks, repeated_lines, empty_links, skip_links) outside of fences: lines that end in a backslash,
+    lines of more than 12 characters that equal the one before (blank lines and table rows apart), links without text, and skip links
+    among the first 600 characters. A document without lines outside of fences has none."""
+    order = Window.partitionBy(key).orderBy("pos")
+    lines = fenced_lines(docs, key, text).where("not code").withColumn("said", F.trim("line"))
+    lines = lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    tells = (F.col("said") != "") & ~F.col("said").startswith("|")
+    before = F.last(F.when(tells, F.col("said")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("again", tells & (F.col("said") == before) & (F.length("said") > 12))
+    head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at") < 600, F.struct("pos", "line")))), lambda x: x.line), "\n")
+    found = lines.groupBy(key).agg(
+        F.count_if(F.col("line").rlike(r"\\\s*$")).alias("backslash_breaks"), F.count_if("again").alias("repeated_lines"),
+        F.sum(F.regexp_count("line", F.lit(r"\[\s*\]\("))).cast("long").alias("empty_links"), head.alias("head"),
+    )
+    skips = F.regexp_count(F.left("head", F.lit(600)), F.lit("(?i)skip to (the )?(main )?content")).cast("long")
+    return found.select(key, "backslash_breaks", "repeated_lines", "empty_links", skips.alias("skip_links"))
+
+
+def titles(docs: DataFrame, key: str = "page_id", text: str = "markdown", url: str = "url") -> DataFrame:
+    """(key, title, has_title, body_words): the first line with text if it is a level-1 heading, else the address's host;
+    whether a level-1 heading stands outside of fences; words but for those of level-1 heading lines."""
+    lines = fenced_lines(docs, key, text)
+    said = F.trim("line")
+    found = lines.groupBy(key).agg(
+        F.min_by(said, F.when(said != "", F.col("pos"))).alias("first"), F.bool_or(~F.col("code") & F.col("line").startswith("# ")).alias("has_title"),
+        F.sum(F.when(F.col("line").startswith("# "), 0).otherwise(F.size(F.filter(F.split("line", r"\s+"), lambda w: w != "")))).cast("long").alias("body_words"),
+    )
+    host = docs.select(key, F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1).alias("host"))
+    title = F.when(F.col("first").startswith("# "), F.trim(F.substring("first", 3, 1 << 30))).otherwise(F.col("host"))
+    return host.join(found, key, "left").select(key, title.alias("title"), F.coalesce("has_title", F.lit(False)).alias("has_title"), F.coalesce("body_words", F.lit(0)).alias("body_words"))
+
+
 def _joined(keep: Column) -> Column:
     """The group's lines for which keep holds, in order, as one text."""
     rows = F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "line"))))
@@ -33,9 +164,8 @@ def _joined(keep: Column) -> Column:
 def _parts(docs: DataFrame, key: str, text: Column, heading: str, fenced: bool) -> DataFrame:
     """Lines with head (whether a heading opens a part there) and part (0 before the first heading)."""
     upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = _lines(docs, key, text)
-    inside = F.sum(F.col("line").rlike(_FENCE).cast("int")).over(upto) % 2 == 1 if fenced else F.lit(False)
-    lines = lines.withColumn("head", ~inside & F.col("line").rlike(heading))
+    lines = fenced_lines(docs, key, text) if fenced else _lines(docs, key, text).withColumn("code", F.lit(False))
+    lines = lines.withColumn("head", ~F.col("code") & F.col("line").rlike(heading))
     return lines.withColumn("part", F.sum(F.col("head").cast("int")).over(upto))
 
 
