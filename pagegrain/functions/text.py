@@ -99,3 +99,71 @@ def resolved_input(c: Column, engine: str = "duckduckgo", home: str = "/", is_fi
         .otherwise(F.struct(search_url(s, engine).alias("target"), F.lit(True).alias("is_search")))
     )
     return F.when(c.isNotNull(), kind)
+
+
+def split_fragment(c: Column) -> Column:
+    """struct(address, fragment) of an address, cut at its first #; without one the fragment is empty."""
+    return F.when(c.isNotNull(), F.struct(F.regexp_extract(c, r"\A([^#]*)", 1).alias("address"), F.regexp_extract(c, r"\A[^#]*#([\s\S]*)\z", 1).alias("fragment")))
+
+
+def local_path(c: Column) -> Column:
+    """The path of a file: address, without fragment and query and with its escapes undone; null for others."""
+    path = F.regexp_extract(c, r"(?i)\Afile:(?://(?:localhost)?)?(/[^?#]*)", 1)
+    return F.when(path != "", F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+
+
+def visit_title(title: Column, url: Column) -> Column:
+    """A visit's title, or its address where that is null or blank."""
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), url)
+
+
+def word_bounds(line: Column, at: Column) -> Column:
+    """struct(start, stop) of the word at code point `at` of a line, from 0; on another character, that alone; null
+    beyond the line."""
+    letter = F.substring(line, at + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]")
+    before = F.length(F.regexp_extract(F.substring(line, F.lit(1), at), r"([\p{L}\p{N}_]*)\z", 1))
+    after = F.length(F.regexp_extract(F.substring(line, at + 1, F.length(line)), r"\A([\p{L}\p{N}_]*)", 1))
+    found = F.when(letter, F.struct((at - before).cast("int").alias("start"), (at + after).cast("int").alias("stop"))).otherwise(F.struct(at.cast("int").alias("start"), (at + 1).cast("int").alias("stop")))
+    return F.when((at >= 0) & (at < F.length(line)), found)
+
+
+def read_percent(top: Column, height: Column, total: Column) -> Column:
+    """How much of `total` lines is above the end of a view of `height` lines from `top`, in whole percent; 100 where
+    everything fits."""
+    return F.when(total <= height, F.lit(100)).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), F.floor((top * 100) / (total - height))))).cast("int")
+
+
+def scroll_thumb(top: Column, height: Column, total: Column) -> Column:
+    """struct(at, size) of a scroll bar's thumb over `height` cells; as tall as the bar where everything fits."""
+    size = F.greatest(F.lit(1), F.floor(height * height / F.greatest(total, F.lit(1))))
+    room = F.greatest(F.lit(0), total - height)
+    at = F.when(room > 0, F.floor((height - size) * F.least(top, room) / room)).otherwise(F.lit(0))
+    return F.when(total > height, F.struct(at.cast("int").alias("at"), size.cast("int").alias("size"))).otherwise(F.struct(F.lit(0).alias("at"), height.cast("int").alias("size")))
+
+
+def progress_cells(share: Column, width: int = 20) -> Column:
+    """A bar of `width` cells, filled to `share` (0 to 1)."""
+    full = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * width).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+def layout_signature(width: Column, link_mode: Column, theme: Column, content: Column) -> Column:
+    """What a layout depends on, as one key: a layout of an equal key may be used again."""
+    return F.sha2(F.concat_ws("\0", width.cast("string"), F.coalesce(link_mode, F.lit("")), F.coalesce(theme, F.lit("")), F.coalesce(content, F.lit(""))), 256)
+
+
+def one_of(c: Column, *allowed: str) -> Column:
+    """c where it is one of the values, else the first of them."""
+    return F.when(c.isin(*allowed), c).otherwise(F.lit(allowed[0]))
+
+
+def without_colours(c: Column) -> Column:
+    """A text without terminal escapes."""
+    return F.regexp_replace(c, r"\x1b(\[[0-9;?]*[ -/]*[@-~]|\][^\x07\x1b]*(\x07|\x1b\\))", "")
+
+
+def open_colours(c: Column) -> Column:
+    """The colour codes that hold at a text's end: those after its last reset, in order."""
+    codes = F.regexp_extract_all(c, F.lit(r"\x1b\[([0-9;]*)m"), F.lit(1))
+    reset = F.array_position(F.reverse(F.transform(codes, lambda x: x.rlike(r"\A0*\z"))), True)
+    return F.when(reset == 0, codes).otherwise(F.slice(codes, F.size(codes) - reset.cast("int") + 2, F.greatest(reset.cast("int") - 1, F.lit(0))))

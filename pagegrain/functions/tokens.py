@@ -11,6 +11,15 @@ _TOKEN = re.compile(
 )
 
 
+#: Colours of token kinds, as SGR codes; what isn't listed keeps the text's own.
+COLOURS = {"comment": "2;3", "string": "32", "number": "33", "keyword": "1;35"}
+
+
+def coloured(code: str) -> str:
+    """Code with its tokens' colours as terminal escapes."""
+    return "".join(f"\x1b[{COLOURS[k]}m{t}\x1b[0m" if k in COLOURS else t for k, t in tokens(code))
+
+
 def tokens(code: str) -> list[tuple[str, str]]:
     """(kind, text) whose texts join to the code: comment, string, number, keyword, name, space or mark."""
     found = ((m.lastgroup, m[0]) for m in _TOKEN.finditer(code))

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import extract
-from ..session import ship
+from ..session import ship, small_batches
+from . import markdown
 
 _DDL = "page_id bigint, url string, title string, root_kind string, is_shell boolean, markdown string, words int, blocks array<struct<kind: string, text: string>>"
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("root_kind", pa.string()), ("is_shell", pa.bool_()), ("markdown", pa.string()), ("words", pa.int32()), ("blocks", pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])))])
@@ -24,25 +25,56 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, root_kind, is_shell, markdown, words, blocks) of pages (page_id, url, html)."""
-    ship(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(_extracted, _DDL)
+    with small_batches(pages.sparkSession):
+        return pages.select("page_id", "url", "html").mapInArrow(_extracted, _DDL)
+
+
+def _with_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for found in _extracted([batch]):
+            yield pa.RecordBatch.from_arrays([*found.columns, batch.column("html")], schema=_SCHEMA.append(pa.field("html", pa.string())))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _words(text: str):
-    return F.array_distinct(F.expr(f"regexp_extract_all(lower({text}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)"))
+def page_text(html: Column) -> Column:
+    """A page's text by patterns alone, furniture included: what extraction is measured against."""
+    for pattern in (r"(?is)<(script|style|noscript|svg|template)[^>]*>.*?</\1>", r"(?s)<!--.*?-->", r"(?s)<[^>]+>"):
+        html = F.regexp_replace(html, pattern, " ")
+    for name, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        html = F.replace(html, F.lit(name), F.lit(by))
+    return F.trim(F.regexp_replace(html, r"\s+", " "))
+
+
+def sampled_sentences(text: Column, most: int = 40, least: int = 50) -> Column:
+    """Up to `most` sentences of `least` characters and more, at even distances."""
+    long = F.filter(F.split(text, r"[.!?]\s+"), lambda x: F.length(x) >= least)
+    return F.transform(F.array(long), lambda s: F.when(F.size(s) <= most, s).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(s, F.floor(i * F.size(s) / most).cast("int")))))[0]
 
 
 def metrics(pages: DataFrame) -> DataFrame:
-    """One row a page: its words before and after, and how many of its article's distinct words were kept."""
-    source = "regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '<[^>]*>', ' ')"
-    source = f"replace(replace(replace({source}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
-    before = pages.select("page_id", _words(source).alias("orig"))
-    after = extracted(pages).select("page_id", "url", "title", "root_kind", "words", _words("markdown").alias("md"))
-    both = after.join(before, "page_id")
+    """A row for each row of pages (page_id, url, html), in one pass over them: page_id, url, title, root_kind, orig_words and md_words
+    (distinct words of the page and of its Markdown), word_recall, word_precision, sentence_recall (of sampled sentences of
+    the page, those whose first 60 characters the Markdown holds; null without sentences), md_vs_orig_ratio (of all
+    words), leaks and leak_total (page furniture's words), and counts of the Markdown's structure."""
+    with small_batches(pages.sparkSession):
+        both = pages.select("page_id", "url", "html").mapInArrow(_with_source, _DDL + ", html string")
+    both = both.withColumn("source", page_text(F.coalesce("html", F.lit("")))).drop("html", "blocks")
+    both = both.withColumn("all_orig", _words(F.col("source"))).withColumn("all_md", _words(F.col("markdown")))
+    both = both.withColumn("orig", F.array_distinct("all_orig")).withColumn("md", F.array_distinct("all_md")).withColumn("common", F.size(F.array_intersect("orig", "md")))
+    flat = F.lower(F.regexp_replace("markdown", r"\s+", " "))
+    probes = F.transform(sampled_sentences(F.col("source")), lambda x: F.left(F.lower(F.regexp_replace(x, r"\s+", " ")), F.lit(60)))
+    both = both.withColumn("probes", probes).withColumn("flat", flat).withColumn("leaks", markdown.leaks(F.col("markdown")))
+    part = lambda a, b: F.round(a / F.greatest(b, F.lit(1)), 3)
+    held = F.size(F.filter("probes", lambda p: (F.length(p) >= 30) & F.contains(F.col("flat"), p)))
+    total = F.aggregate(F.map_values("leaks"), F.lit(0), lambda s, x: s + x)
     return both.select(
         "page_id", "url", "title", "root_kind", F.size("orig").alias("orig_words"), F.size("md").alias("md_words"),
-        F.round(F.size(F.array_intersect("orig", "md")) / F.greatest(F.size("orig"), F.lit(1)), 3).alias("word_recall"),
-        F.round(F.size(F.array_intersect("orig", "md")) / F.greatest(F.size("md"), F.lit(1)), 3).alias("word_precision"),
+        part(F.col("common"), F.size("orig")).alias("word_recall"), part(F.col("common"), F.size("md")).alias("word_precision"),
+        F.when(F.size("probes") > 0, F.round(held / F.size("probes"), 3)).alias("sentence_recall"), part(F.size("all_md"), F.size("all_orig")).alias("md_vs_orig_ratio"),
+        "leaks", total.alias("leak_total"), *markdown.structure(F.col("markdown")),
     )
 
 
@@ -147,9 +179,19 @@ def q_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "ord", F.expr("cast(length(regexp_extract(text, '^(#+)', 1)) as int)").alias("level"), F.expr("regexp_replace(text, '^#+ ', '')").alias("text"))
 
 
+#: An anchor's address: any order of attributes, in double, single or no quotes, in any case.
+ANCHOR = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, url, ord, href) of the anchors of pages (page_id, url, html) that have an address, in order."""
+    got = [F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i)) for i in (1, 2, 3)]
+    href = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(got)]), lambda x: F.concat(x.g0, x.g1, x.g2))
+    return pages.select("page_id", "url", F.posexplode(href).alias("ord", "href"))
+
+
 def q_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(F.expr("regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)")).alias("ord", "href"))
-    return resolved(found)
+    return resolved(anchors(_pages(spark, sf_dir)))
 
 
 def q_link_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import zipfile
@@ -33,3 +34,17 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """For plans that call Python on whole pages: this package is there, and Arrow batches have a bounded number of rows.
+    A plan takes the number when it is made."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -41,10 +41,15 @@ def cache_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def benchmark_log(spark: SparkSession, path: str) -> DataFrame:
-    """(name, ns, bytes, allocs) of a benchmark log's result lines; remarks and other lines are skipped."""
+    """benchmark_lines() of a log's files."""
+    return benchmark_lines(spark.read.text(path))
+
+
+def benchmark_lines(lines: DataFrame) -> DataFrame:
+    """(name, ns, bytes, allocs) of the result lines among lines (value); remarks and other lines are skipped."""
     shape = r"^(Benchmark\S+?)-\d+\s+\d+\s+([\d.]+) ns/op(?:\s+([\d.]+) B/op)?(?:\s+(\d+) allocs/op)?"
     got = lambda i, kind: F.expr(f"try_cast(nullif(regexp_extract(value, '{shape.replace(chr(92), chr(92) * 2)}', {i}), '') as {kind})")
-    return spark.read.text(path).where(~F.col("value").startswith("#") & F.col("value").rlike(shape)).select(F.regexp_extract("value", shape, 1).alias("name"), got(2, "double").alias("ns"), got(3, "double").alias("bytes"), got(4, "bigint").alias("allocs"))
+    return lines.where(~F.col("value").startswith("#") & F.col("value").rlike(shape)).select(F.regexp_extract("value", shape, 1).alias("name"), got(2, "double").alias("ns"), got(3, "double").alias("bytes"), got(4, "bigint").alias("allocs"))
 
 
 def table_file(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
@@ -53,8 +58,12 @@ def table_file(spark: SparkSession, path: str, schema: str, sep: str = ",") -> D
 
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """(url): a site map's pages, distinct; entries that are themselves .xml or .txt go."""
-    whole = spark.read.text(path, wholetext=True)
+    """sitemap_pages() of a site map's files."""
+    return sitemap_pages(spark.read.text(path, wholetext=True))
+
+
+def sitemap_pages(whole: DataFrame) -> DataFrame:
+    """(url): the pages of site maps (value), distinct; entries that are themselves .xml or .txt go."""
     return whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url")).where(~F.col("url").rlike(r"\.(xml|txt)$")).distinct()
 
 
