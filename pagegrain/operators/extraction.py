@@ -78,6 +78,22 @@ def metrics(pages: DataFrame) -> DataFrame:
     )
 
 
+#: What extraction takes out of every page, in its order: names and patterns.
+RULES = (("comments", r"(?s)<!--.*?-->"), ("scripts", r"(?is)<(script|style)[^>]*>.*?</(script|style)>"), ("nav", r"(?is)<nav[^>]*>.*?</nav>"), ("footer", r"(?is)<footer[^>]*>.*?</footer>"))
+
+
+def rule_words(pages: DataFrame) -> DataFrame:
+    """(page_id, rule, words): how many words of pages (page_id, html) each rule takes that no earlier one took."""
+    count = lambda c: F.size(F.filter(F.split(F.regexp_replace(c, r"(?s)<[^>]+>", " "), r"\s+"), lambda w: w != ""))
+    left, names = pages.select("page_id", F.col("html").alias("h0")), []
+    for i, (name, pattern) in enumerate(RULES):
+        left = left.withColumn(f"h{i + 1}", F.regexp_replace(f"h{i}", pattern, " "))
+        names.append(F.struct(F.lit(name).alias("rule"), (F.col(f"n{i}") - F.col(f"n{i + 1}")).alias("words")))
+    for i in range(len(RULES) + 1):
+        left = left.withColumn(f"n{i}", count(f"h{i}"))
+    return left.select("page_id", F.explode(F.array(*names)).alias("r")).select("page_id", "r.rule", "r.words")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 

@@ -1,8 +1,10 @@
-"""Searching lines: every place of a query, by smart case."""
+"""Searching and looking up: places of a query, links near a screen, samples, hits for an address bar."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,3 +28,48 @@ def matches(lines: DataFrame, query: Column, key: str = "doc_id", line: str = "l
     upto = Window.partitionBy(key, line).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.sum(F.col("size") + F.col("n")).over(upto) - F.col("n")).where("k > 0")
     return starts.select(key, line, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("stop"))
+
+
+def nearest_links(lines: DataFrame, screens: DataFrame, key: str) -> DataFrame:
+    """(key, next, prev) of screens (key, top): the first line with a link at or after the top, and the last before it,
+    of lines (key, line, link), going round at the ends; null where there is no link."""
+    links = lines.where("link").select(key, "line")
+    both = screens.join(links, key, "left").groupBy(key).agg(
+        F.min(F.when(F.col("line") >= F.col("top"), F.col("line"))).alias("after"), F.max(F.when(F.col("line") < F.col("top"), F.col("line"))).alias("before"),
+        F.min("line").alias("first"), F.max("line").alias("last"),
+    )
+    return both.select(key, F.coalesce("after", "first").alias("next"), F.coalesce("before", "last").alias("prev"))
+
+
+def feed(releases: DataFrame, sections: DataFrame) -> DataFrame:
+    """(version, released, heading) of releases (version, released) that have a section (heading) named v and the version;
+    a release without a date is of the epoch."""
+    named = releases.withColumn("version", F.concat(F.lit("v"), "version"))
+    return named.join(sections, F.col("version") == F.col("heading")).select("version", F.coalesce("released", F.lit("1970-01-01 00:00:00").cast("timestamp")).alias("released"), "heading")
+
+
+def sample_for(names: DataFrame, official: DataFrame, own: DataFrame, generic) -> DataFrame:
+    """(name, sample, kind) of names (name, aliases): the official sample (name, sample) of the first alias that has one,
+    else one's own by the name in small letters, else the generic one."""
+    each = names.select("name", F.posexplode("aliases").alias("ord", "alias")).join(official.withColumnRenamed("name", "alias"), "alias")
+    best = each.groupBy("name").agg(F.min_by("sample", "ord").alias("of_alias"))
+    mine = own.select(F.lower("name").alias("own_name"), F.col("sample").alias("of_name"))
+    found = names.select("name").distinct().join(best, "name", "left").join(mine, F.lower("name") == F.col("own_name"), "left")
+    kind = F.when(F.col("of_alias").isNotNull(), "official").when(F.col("of_name").isNotNull(), "own").otherwise("generic")
+    return found.select("name", F.coalesce("of_alias", "of_name", F.lit(generic)).alias("sample"), kind.alias("kind"))
+
+
+def address_bar(spark: SparkSession, commands: Sequence[str], hits: DataFrame, query: str, best: int = 8, most: int = 10) -> DataFrame:
+    """(ord, label): commands that hold the query, in their order, then the best of hits (label, tie, score), `most` in
+    all. The best hits are taken first, so that only they are numbered."""
+    fixed = [(0, i, c) for i, c in enumerate(commands) if query.lower() in c.lower()]
+    top = hits.orderBy(F.desc("score"), "tie").limit(best)
+    ranked = top.select(F.lit(1).alias("o"), F.row_number().over(Window.orderBy(F.desc("score"), "tie")).cast("int").alias("k"), "label")
+    both = spark.createDataFrame(fixed, "o int, k int, label string").unionAll(ranked)
+    return both.withColumn("ord", F.row_number().over(Window.orderBy("o", "k")).cast("long") - 1).where(F.col("ord") < most).select("ord", "label")
+
+
+def same_members(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(same): whether two frames hold the same rows, however often: neither has one that the other lacks."""
+    odd = one.subtract(two).unionAll(two.subtract(one))
+    return odd.agg((F.count("*") == 0).alias("same"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code, text
 from ..operators import extraction, fallback, markdown, memory, sessions
+from . import derived
 from .relational import RELATIONAL
 from .reports import REPORTS
 
@@ -65,4 +66,6 @@ ORACLES |= {
     "guess_language": code.duckdb_guess(f"select sample, code from (values {_SNIPPETS}) as t(sample, code) union all select doc_id, text from documents"),
     "resolve_input": "select page_id, 'https://' || regexp_replace(url, '^https?://', '') as target, false as is_search from pages",
 }
+QUERIES |= derived.QUERIES
+ORACLES |= derived.ORACLES
 FLAGSHIP = extraction.q_page_metrics

@@ -42,11 +42,11 @@ def pruned(cache: DataFrame, now, days: int = 30) -> DataFrame:
     return cache.where(F.col("saved") > F.lit(now) - F.expr(f"interval {int(days)} days"))
 
 
-def replies(results: DataFrame, modern: bool = True) -> DataFrame:
-    """(id, reply) of (id, result, error): one JSON message a row. A legacy reply carries its result as text."""
+def replies(results: DataFrame, modern: bool = True, keep: str = "id") -> DataFrame:
+    """(keep, reply) of (id, result, error): one JSON message a row. A legacy reply carries its result as text."""
     good = F.struct(F.lit("2.0").alias("jsonrpc"), "id", (F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("result").alias("text"))).alias("content"), F.lit(False).alias("isError")) if modern else F.col("result")).alias("result"))
     bad = F.struct(F.lit("2.0").alias("jsonrpc"), "id", F.struct(F.lit(-32000).alias("code"), F.col("error").alias("message")).alias("error"))
-    return results.select("id", F.when(F.col("error").isNull(), F.to_json(good)).otherwise(F.to_json(bad)).alias("reply"))
+    return results.select(keep, F.when(F.col("error").isNull(), F.to_json(good)).otherwise(F.to_json(bad)).alias("reply"))
 
 
 def write_report(report: DataFrame, path: str) -> None:
