@@ -75,6 +75,8 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = batch.column("places")
         owner = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
         first = places.flatten().to_numpy()
+        there = first + MIN_WORDS <= w.count[owner]  # but for two texts of one 64-bit key always so
+        owner, first = owner[there], first[there]
         starts = np.cumsum(w.count) - w.count
         edge = np.zeros(len(w.doc) + 1, np.int64)
         np.add.at(edge, starts[owner] + np.maximum(first - reach + 1, 0), 1)
@@ -88,7 +90,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PLACE = "row bigint, doc_id bigint, own bigint, first_word bigint, node bigint"
-HELD = "row bigint, doc_id bigint, first_word bigint, node bigint, n_class bigint, head_id bigint, head_word bigint, lead boolean, here int, before int"
+HELD = "row bigint, doc_id bigint, first_word bigint, node bigint, n_class bigint, lead boolean, here bigint, before bigint"
 SPANS = "doc_id bigint, first_word bigint, n_words bigint, class_id bigint, n_class bigint, removed boolean"
 
 
@@ -97,8 +99,8 @@ def _names(schema: str) -> list[str]:
 
 
 def _held(rows: pa.Table) -> pa.Table:
-    """Of the places of runs: those whose run two documents hold, with the run's places: how many, the first
-    one by (doc_id, first_word, own), null ids first, whether it is that one, and sums of hashes of them and of the places one word before them."""
+    """Of the places of runs: those whose run two documents hold, with the run's places: how many, whether it is the
+    first one by (doc_id, first_word, own), null ids first, and sums of hashes of them and of the places one word before them."""
     rows = rows.combine_chunks()
     node, own, at = (rows.column(c).to_numpy() for c in ("node", "own", "first_word"))
     null = rows.column("doc_id").is_null().to_numpy()
@@ -108,22 +110,18 @@ def _held(rows: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     sizes = np.diff(np.append(starts, len(node)))
     several = np.maximum.reduceat(own, starts) != np.minimum.reduceat(own, starts)
-    sums = [np.add.reduceat(grams.mix(own + x * np.uint64(0x9E3779B97F4A7C15)), starts).astype(np.uint32).view(np.int32) for x in (at, at - np.uint64(1))]
+    sums = [np.add.reduceat(grams.mix(own + x * np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64) for x in (at, at - np.uint64(1))]
     kept = np.repeat(several, sizes)
     spread = lambda x: np.repeat(x[several], sizes[several])
     mine = rows.take(pa.array(order[kept]))
-    head = rows.take(pa.array(order[spread(starts)]))
-    return pa.Table.from_arrays([*(mine.column(c) for c in ("row", "doc_id", "first_word", "node")), pa.array(spread(sizes)), head.column("doc_id"), head.column("first_word"), pa.array((own == np.repeat(own[starts], sizes))[kept] & (at == np.repeat(at[starts], sizes))[kept]), *(pa.array(spread(x)) for x in sums)], names=_names(HELD))
+    return pa.Table.from_arrays([*(mine.column(c) for c in ("row", "doc_id", "first_word", "node")), pa.array(spread(sizes)), pa.array((own == np.repeat(own[starts], sizes))[kept] & (at == np.repeat(at[starts], sizes))[kept]), *(pa.array(spread(x)) for x in sums)], names=_names(HELD))
 
 
 def _joined(rows: pa.Table) -> pa.Table:
     """Runs of a row that follow each other word by word, at the same places, as one span."""
     rows = rows.sort_by([("row", "ascending"), ("first_word", "ascending")])
-    row, at, n, word, here, before = (rows.column(c).to_numpy() for c in ("row", "first_word", "n_class", "head_word", "here", "before"))
-    head = rows.column("head_id")
-    head_null, head_id = head.is_null().to_numpy(), head.fill_null(0).to_numpy()
+    row, at, n, here, before = (rows.column(c).to_numpy() for c in ("row", "first_word", "n_class", "here", "before"))
     same = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (n[1:] == n[:-1]) & (before[1:] == here[:-1])
-    same &= (head_null[1:] == head_null[:-1]) & (head_id[1:] == head_id[:-1]) & (word[1:] == word[:-1] + 1)
     starts = np.flatnonzero(np.concatenate(([True], ~same)))
     size = np.diff(np.append(starts, len(row))) + MIN_WORDS - 1
     first = rows.column("lead").to_numpy()
@@ -132,16 +130,19 @@ def _joined(rows: pa.Table) -> pa.Table:
 
 
 def _spans(spark: SparkSession, base: DataFrame, runs: DataFrame) -> DataFrame:
-    """The shared spans around runs (doc_id, raw, own, first_word, node), from end to end: a class is a longest
+    """The shared spans around runs (own, first_word, node), from end to end: a class is a longest
     span that the same places hold, MIN_WORDS long at least. Where more or other places hold the next
     run, the next class begins, so spans of two classes may overlap."""
-    twice = runs.groupBy("node").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("node")
-    found = runs.join(twice.hint("merge"), "node", "left_semi").groupBy(F.col("doc_id").alias("own_id"), F.col("raw").alias("own_raw"), "own").agg(F.collect_set("first_word").alias("places"))
+    # A table of its own: the join below then reads two exchanges, of which Spark splits a hot run's.
+    twice = written(spark, runs.groupBy("node").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("node"), "shared")
+    release(spark)
+    found = runs.join(twice.hint("merge"), "node", "left_semi").groupBy("own").agg(F.collect_set("first_word").alias("places"))
     found = written(spark, found, "places")
     release(spark)
+    discard(spark, twice)
     # Groups for Python, of some hundred thousand rows: a place brings 2 * reach - 1 runs at most.
     groups = (found.agg(F.sum(F.size("places"))).first()[0] or 0) // 20_000 + 1
-    near = base.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("raw") == F.col("own_raw")))
+    near = base.withColumn("own", F.xxhash64("doc_id", "raw")).join(found.hint("merge"), "own")
     near = written(spark, near.select(F.monotonically_increasing_id().alias("row"), "doc_id", "own", "places", "text"), "near")
     release(spark)
     with small_batches(spark):
@@ -170,7 +171,7 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         units = written(spark, units, "units")
     units = units.withColumn("own", F.xxhash64("doc_id", "raw"))
     # Spans come first: the tables of the paragraphs' classes stay.
-    spans = _spans(spark, base, units.where("size(keys) = 0").drop("keys", "n_words"))
+    spans = _spans(spark, base, units.where("size(keys) = 0").select("own", "first_word", "node"))
     lines = units.where("size(keys) > 0")
     owner = lines.groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("o"))
 
