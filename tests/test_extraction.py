@@ -89,3 +89,12 @@ def test_types():
     assert converted("# x", "http://a/b.md?q", "text/plain; charset=utf-8") == "# x" and converted("{}", None, "application/ld+json") == "```json\n{}\n```"
     assert converted("x", "http://a/t.txt", None) == "```\nx\n```" and converted("<a/>", "", "application/xml") == "```xml\n<a/>\n```"
     assert converted("x", "", "image/png") is None and converted("<p>x</p>", "", "text/html") == "x" and converted(None, None, None) == ""
+
+
+def test_odd_pages_end_well():
+    for nest in ("<div>", "<b>", "<blockquote>", "<ul><li>", "<table><tr><td>"):
+        assert "deep" in md("<body>" + nest * 900 + "deep")
+    assert md("<a href='http://[bad'>x</a>") == "[x](http://[bad)"
+    assert md("<table><tr><td>a<table><tr><td>b</td><td>c</td></tr></table></td></tr></table>") == "| a b c |\n| --- |"
+    assert md("<p title='a>b'>one</p><!-- <p>no</p> --><p>two<!-- never closed") == "one\n\ntwo"
+    assert md("<script>if (a < b) '</p>'</script><p>x &lt; y</p>") == "x < y"

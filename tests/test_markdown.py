@@ -103,3 +103,19 @@ def test_code_guesses(spark):
     q = "values " + ", ".join("({}, '{}')".format(i, c.replace("'", "''")) for i, c in rows)
     want = dict(duckdb.sql(code.duckdb_guess(f"select * from ({q}) as t(sample, code)")).fetchall())
     assert got == want
+
+
+def test_fences_and_spans(spark):
+    from pyspark.sql import functions as F
+
+    from pagegrain.operators import search
+
+    text = "# T\n```a`b\n```go\n~~~\n## no\n````\n## yes\n~~~~\n```\n~~~\n## code\n~~~~~  \n## two\n```\nend"
+    docs = spark.createDataFrame([(1, text), (2, None)], "page_id int, markdown string")
+    got = {r.pos: r.code for r in M.fenced_lines(docs).collect()}
+    assert [p for p, code in sorted(got.items()) if not code] == [0, 1, 6, 12]
+    assert [r.heading for r in M.sections(docs).orderBy("ord").collect()] == ["yes", "two"]
+    lines = spark.createDataFrame([(1, 0, "aXa a.a aaaa É"), (1, 1, "A.A"), (1, 2, None)], "doc_id int, line int, text string")
+    found = lambda q: sorted((r.line, r.start, r.stop) for r in search.matches(lines, F.lit(q)).collect())
+    assert found("aa") == [(0, 8, 10), (0, 10, 12)] and found("a.a") == [(0, 4, 7), (1, 0, 3)] and found("A.A") == [(1, 0, 3)]
+    assert found("é") == [(0, 13, 14)] and found("") == [] and found("\\E") == []

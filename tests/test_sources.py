@@ -99,3 +99,13 @@ def test_web(spark):
             assert got[urls[1]].status == 404 and got[urls[2]].error == "unsupported type image/png" and "refused" in got[urls[3]].error and got[urls[4]].error
     finally:
         server.shutdown()
+
+
+def test_bookmarks_and_odd_answers(spark, tmp_path):
+    from pagegrain.sources import files, sinks, web
+
+    marks = spark.createDataFrame([("http://a", "A", 2), ("http://b", "B", 1), ("http://c", None, 3)], "url string, title string, pos int").selectExpr("url", "title", "timestamp'2024-01-01 00:00:00' at", "pos")
+    sinks.write_bookmarks(marks, str(tmp_path / "marks"))
+    assert [r.url for r in files.bookmarks(spark, str(tmp_path / "marks")).orderBy("pos").collect()] == ["http://b", "http://a", "http://c"]
+    assert [files.decode(b"abc", f"text/html; charset={x}") for x in ("undefined", "idna", "hex", "nosuch")] == ["abc"] * 4
+    assert web.fetch("http://a b/")[1:5] == (None, None, None, None)
