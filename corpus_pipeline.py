@@ -41,8 +41,8 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: Near-dedup signatures, the pseudorandom mix and tokenisation have no SQL form; tests hold the stages
-#: against brute force instead.
+#: Near-dedup signatures, the pseudorandom mix and tokenisation have no SQL form; tests hold their classes, targets,
+#: shard counts, permutation and token counts against plain Python instead, and rules and overlaps against SQL.
 ORACLE_SQL = None
 
 
