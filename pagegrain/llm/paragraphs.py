@@ -90,7 +90,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PLACE = "row bigint, doc_id bigint, own bigint, first_word bigint, node bigint"
-HELD = "row bigint, doc_id bigint, first_word bigint, node bigint, n_class bigint, lead boolean, here bigint, before bigint"
+HELD = "row bigint, doc_id bigint, first_word bigint, n_class bigint, lead boolean, here bigint, before bigint"
 SPANS = "doc_id bigint, first_word bigint, n_words bigint, class_id bigint, n_class bigint, removed boolean"
 
 
@@ -114,11 +114,12 @@ def _held(rows: pa.Table) -> pa.Table:
     kept = np.repeat(several, sizes)
     spread = lambda x: np.repeat(x[several], sizes[several])
     mine = rows.take(pa.array(order[kept]))
-    return pa.Table.from_arrays([*(mine.column(c) for c in ("row", "doc_id", "first_word", "node")), pa.array(spread(sizes)), pa.array((own == np.repeat(own[starts], sizes))[kept] & (at == np.repeat(at[starts], sizes))[kept]), *(pa.array(spread(x)) for x in sums)], names=_names(HELD))
+    return pa.Table.from_arrays([*(mine.column(c) for c in ("row", "doc_id", "first_word")), pa.array(spread(sizes)), pa.array((own == np.repeat(own[starts], sizes))[kept] & (at == np.repeat(at[starts], sizes))[kept]), *(pa.array(spread(x)) for x in sums)], names=_names(HELD))
 
 
 def _joined(rows: pa.Table) -> pa.Table:
-    """Runs of a row that follow each other word by word, at the same places, as one span."""
+    """Runs of a row that follow each other word by word, at the same places, as one span. Its class is named by the
+    hash of the places of its first run: each set of places is one class, so no run need carry its words' hash as well."""
     rows = rows.sort_by([("row", "ascending"), ("first_word", "ascending")])
     row, at, n, here, before = (rows.column(c).to_numpy() for c in ("row", "first_word", "n_class", "here", "before"))
     same = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (n[1:] == n[:-1]) & (before[1:] == here[:-1])
@@ -126,7 +127,7 @@ def _joined(rows: pa.Table) -> pa.Table:
     size = np.diff(np.append(starts, len(row))) + MIN_WORDS - 1
     first = rows.column("lead").to_numpy()
     out = rows.take(pa.array(starts))
-    return pa.Table.from_arrays([out.column("doc_id"), out.column("first_word"), pa.array(size.astype(np.int64)), out.column("node"), out.column("n_class"), pa.array(~first[starts])], names=_names(SPANS))
+    return pa.Table.from_arrays([out.column("doc_id"), out.column("first_word"), pa.array(size.astype(np.int64)), out.column("here"), out.column("n_class"), pa.array(~first[starts])], names=_names(SPANS))
 
 
 def _spans(spark: SparkSession, base: DataFrame, runs: DataFrame) -> DataFrame:
