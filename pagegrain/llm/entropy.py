@@ -185,6 +185,7 @@ def scored(spark: SparkSession, docs: DataFrame, good: DataFrame, chunk: int = C
     word, A-Z folded, under the models of the documents in good (doc_id) and of all; ce_diff is their
     difference, lower the more like the target. Texts without words have null scores; repeated rows count and
     are scored each; without good documents the target model is uniform; an empty table gives no rows.
+    Two rows of one text and doc_id get one score each, the same; other columns are ignored.
     """
     ids = good.where("doc_id is not null").selectExpr("doc_id good_id").distinct()
     flagged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))

@@ -56,6 +56,7 @@ def scanned(spark: SparkSession, docs: DataFrame) -> DataFrame:
     A sentence begins and ends at a line feed, at ; or : before white space, or at . ! or ? before white space; any but
     the last may also come between its words, so that hard-wrapped and commented texts are read like running ones. Null
     and empty texts have none; repeated rows give their rows each; an empty table gives none. Every text is read whole.
+    Where several rules of a licence match, the first in RULES counts; other columns are ignored.
     The SQL takes each line for itself: it gives the same rows where no known sentence goes over a line's end or meets ; or :.
     """
     known = "map(" + ", ".join(f"{_quoted(s)}, {_quoted(i)}" for s, i in SENTENCES.items()) + ")"

@@ -164,7 +164,9 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Paragraphs are near at a Jaccard of 0.8 of their sets of five-word runs (A-Z folded); passages are
     equal word by word and go as far as they are. Rows of one doc_id and text are one document. Null, empty and short texts have no units; a
-    unit that only its own document repeats is left out; an empty table gives no rows.
+    unit that only its own document repeats is left out; an empty table gives no rows. Where different texts of one
+    doc_id hold a class at the same place, the hash of doc_id and text says which is first. Other columns are ignored.
+    class_id is an opaque name: of paragraphs a hash of words, of passages a hash of the places that hold them.
     """
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"))
     with small_batches(spark):
