@@ -340,6 +340,60 @@ def test_wrapped_licences(spark):
     assert sorted(got) == [(0, "MIT", "text", 3, 1), (1, "Apache-2.0", "notice", 3, 1), (2, "BSD-2-Clause", "text", 3, 1), (3, "GPL-3.0-or-later", "notice", 1, 1), (4, "Apache-2.0", "notice", 3, 1)]
 
 
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software without
+   specific prior written permission."""
+
+
+def _licences(spark, texts):
+    return sorted((r.doc_id, r.licence, r.kind, r.first_sentence) for r in licences.scanned(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+
+
+def test_longer_licences_come_first(spark):
+    texts = [BSD + ENDORSE, BSD + ENDORSE + "\n" + BSD, BSD + "\n" + BSD + ENDORSE]
+    assert _licences(spark, texts) == [(0, "BSD-3-Clause", "text", 1), (1, "BSD-2-Clause", "text", 5), (1, "BSD-3-Clause", "text", 1), (2, "BSD-2-Clause", "text", 1), (2, "BSD-3-Clause", "text", 4)]
+
+
+def test_licence_families(spark):
+    later = "This {} is free software; you can redistribute it and/or modify it\nunder the terms of the GNU {} Public License as published by the Free Software Foundation; either\nversion {} of the License, or (at your option) any later version."
+    texts = {
+        "// SPDX-License-Identifier: MIT\nint x;": ("MIT", "reference"),
+        "# SPDX-License-Identifier: LGPL-2.1-or-later": ("LGPL-2.1-or-later", "reference"),
+        later.format("library", "Lesser General", "2.1"): ("LGPL-2.1-or-later", "notice"),
+        later.format("program", "General", "2"): ("GPL-2.0-or-later", "notice"),
+        later.format("program", "Affero General", "3"): ("AGPL-3.0-or-later", "notice"),
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": ("MPL-2.0", "notice"),
+        "This project is licensed under the terms of the BSD 3-Clause License.": ("BSD-3-Clause", "reference"),
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ("CC-BY-SA-4.0", "reference"),
+        "Licensed under CC BY-NC-ND 3.0": ("CC-BY-NC-ND-3.0", "reference"),
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.": ("Unlicense", "text"),
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.": ("0BSD", "text"),
+        "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\n Copyright (C) 1989 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.": ("GPL-2.0", "text"),
+    }
+    assert [x[1:3] for x in _licences(spark, list(texts))] == list(texts.values())
+
+
+def test_licences_against_sql(spark):
+    """Each known sentence and reference on a line, in the order of the catalogue and in another."""
+    from pagegrain.llm import catalogue
+
+    lines = [*catalogue.SENTENCES, *(f"licensed under the {n}" for n in catalogue.NAMES), *(f"spdx license identifier {x}" for x in catalogue.SPDX_IDS)]
+    again = lines[:]
+    random.Random(7).shuffle(again)
+    rules = ["\n".join(next(s for s, i in catalogue.SENTENCES.items() if i == x) for x in ids) for _, kind, ids in catalogue.RULES if kind != "reference"]
+    texts = [*lines, *rules, "\n".join(lines), "\n".join(again), "\n".join(rules), "\n".join(reversed(rules)), None, ""]
+    docs = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = sorted(con.execute(f"select doc_id, licence, kind, n_sentences, first_sentence from ({licences.ORACLE})").fetchall())
+    got = licences.scanned(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "licence", "kind", "n_sentences", "first_sentence").collect())) == want
+    assert {licence for _, licence, *_ in want} == {licence for licence, _, _ in catalogue.RULES}
+
+
 def test_pipeline_runs(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "mix_sources", "token_output"]
     got = corpus_pipeline.run(spark, SF).collect()
