@@ -52,23 +52,43 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def running(spark: SparkSession, rows: DataFrame, order: list[Column], value: str | None = None, task_rows: int = 200_000) -> DataFrame:
+def running(spark: SparkSession, rows: DataFrame, order: list[Column], value: str | list[str] | None = None, task_rows: int = 200_000) -> DataFrame:
     """rows (a written table) with `rank`, their place from 0 by `order`, and `before`, the sum of `value` over the
-    rows ahead. Ranges of rows are sorted in a task each; only a row a range meets in one."""
+    rows ahead (of several values: before_<name> each). Ranges of rows are sorted in a task each; only a row a range meets in one."""
+    sums = {f"before_{v}": v for v in value} if isinstance(value, list) else {"before": value}
+    size = lambda v: F.col(v) if v else F.lit(0)
     n = int(min(10_000, rows.count() // task_rows + 1))
     if n == 1:
         ahead = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn("rank", F.count("*").over(ahead)).withColumn("before", F.coalesce(F.sum(value if value else F.lit(0)).over(ahead), F.lit(0)))
+        return rows.withColumn("rank", F.count("*").over(ahead)).withColumns({b: F.coalesce(F.sum(size(v)).over(ahead), F.lit(0)) for b, v in sums.items()})
     cut = rows.repartitionByRange(n, *order)
     cut = written(spark, cut.sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered").withColumn("__part", F.shiftright("__id", 33))
-    size = F.col(value) if value else F.lit(0)
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = cut.groupBy("__part").agg(F.count("*").alias("__n"), F.sum(size).alias("__s"))
-    parts = parts.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__s"))
+    parts = cut.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(size(v)).alias(f"__{b}") for b, v in sums.items()])
+    parts = parts.select("__part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in parts.columns[1:]])
     inside = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.withColumn("before", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(parts), "__part")  # 10,000 rows at most
-    out = out.withColumn("rank", F.col("__n") + F.col("__id").bitwiseAND((1 << 33) - 1)).withColumn("before", F.col("__s") + F.col("before"))
-    return out.drop("__id", "__part", "__n", "__s")
+    out = cut.withColumns({b: F.coalesce(F.sum(size(v)).over(inside), F.lit(0)) for b, v in sums.items()}).join(F.broadcast(parts), "__part")  # 10,000 rows at most
+    out = out.withColumn("rank", F.col("__n") + F.col("__id").bitwiseAND((1 << 33) - 1)).withColumns({b: F.col(f"__{b}") + F.col(b) for b in sums})
+    return out.drop("__id", "__part", *parts.columns[1:])
+
+
+def placed(spark: SparkSession, rows: DataFrame, by: list[str], order: list[str], name: str, task_rows: int = 50_000) -> DataFrame:
+    """rows (a written table) with column `name`: a row's place from 0 among the rows of its `by`, in order of `order`, which
+    tells rows apart, nulls first. Ranges of rows are sorted in a task each, so a hot `by` is split; what a range has of the `by`
+    that goes on into the next is carried over in a table of a row a range at most."""
+    n = int(min(10_000, rows.count() // task_rows + 1))
+    cut = rows.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("__id", F.monotonically_increasing_id())
+    cut = written(spark, cut, "ranges").withColumn("__part", F.shiftright("__id", 33))
+    inside = Window.partitionBy("__part", *by).orderBy("__id")
+    ahead = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    carry = parts.select("__part", *by, F.sum("__n").over(ahead).alias("__ahead")).where("__ahead > 0")
+    carry = F.broadcast(carry.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__ahead"))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    out = cut.withColumn("__row", F.row_number().over(inside) - 1).join(carry, same, "left")
+    return out.select(*rows.columns, (F.col("__row") + F.coalesce("__ahead", F.lit(0))).cast("long").alias(name))
 
 
 def release(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bayes, cascade, entropy, languages, licences, mixing, order, paragraphs, winnowing
+from . import bagminhash, bayes, cascade, entropy, languages, licences, mixing, order, paragraphs, resampling, sharding, trie, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bayes": bayes.op1_bayes,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_entropy": entropy.op9_entropy,
     "op10_winnowing": winnowing.op10_winnowing,
+    "op11_hashtree": sharding.op11_hashtree,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_trie": trie.op13_trie,
 }
 
-ORACLES: dict[str, str] = {"op6_licences": licences.ORACLE, "op7_cascade": cascade.ORACLE, "op10_winnowing": winnowing.ORACLE}
+ORACLES: dict[str, str] = {"op6_licences": licences.ORACLE, "op7_cascade": cascade.ORACLE, "op10_winnowing": winnowing.ORACLE, "op11_hashtree": sharding.ORACLE, "op12_resampling": resampling.ORACLE, "op13_trie": trie.ORACLE}
