@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import math
-import time
-from collections.abc import Callable, Sequence
+import functools
+import hashlib
+from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLANKS, table, word_array, word_count
 
 SYMBOLS = "#*$%&|<>"
-#: Rows at most of the sample on which cost and selectivity are estimated, and bytes of each at most: what
+#: Rows at most of the sample on which cost and selectivity are estimated, bytes of each, and files that are read for it: what
 #: a task and the driver hold of it is bounded at every input size. The verdict doesn't depend on it.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
-#: A timed run takes this many seconds at least, by repeating the sample up to so many times.
-RUN_SECONDS, MOST_REPEATS = 0.06, 256
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_FILES = 400, 1 << 16, 4
+#: Nanoseconds that a feature takes of a text of __pg_c characters and __pg_n words, in SQL: measured once over 1,500 documents on one core, so
+#: that the order of the rules hangs on the sample and not on what else the machine does.
+COST = {
+    "n_words": "50D * __pg_c", "word_chars": "60D * __pg_c", "n_symbols": "60D * __pg_c", "n_capitals": "60D * __pg_c", "n_small": "60D * __pg_c", "n_lines": "8D * __pg_c", "n_dup_lines": "10D * __pg_c",
+    "n_repeat_words": "400D * __pg_n + 75D * __pg_n * log2(__pg_n + 2D)",
+}
 
 
 class Rule(NamedTuple):
@@ -83,44 +88,6 @@ def _with_repeats(df: DataFrame, of) -> DataFrame:
     return df.withColumn("n_repeat_words", of(covered)).drop("__pg_p")
 
 
-def _seconds(run: Callable[[int], object], empty: Callable[[int], float]) -> float:
-    """Seconds that one pass over the sample takes in `run`, of which a pass of `empty` takes none. The sample is
-    repeated until a run is long enough to time; a run's first go compiles its code and isn't timed."""
-    repeats = 1
-    while True:
-        run(repeats)
-        began = time.perf_counter()
-        run(repeats)
-        took = time.perf_counter() - began - empty(repeats)
-        if took >= RUN_SECONDS or repeats >= MOST_REPEATS:
-            return max(took, 1e-4) / repeats
-        repeats *= 4 if took > RUN_SECONDS / 8 else 16
-
-
-def costs(sample: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """The cost of each feature of sample (__pg_text), as powers of 2, so that chance in timing seldom shows."""
-
-    def run(f: str | None) -> Callable[[int], object]:
-        def go(repeats: int) -> object:
-            df = sample.select("__pg_text", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-            df = df.withColumn("__pg_none", F.length("__pg_text")) if f is None else _with_feature(df, f, None)
-            return df.agg(F.sum(f or "__pg_none")).first()
-
-        return go
-
-    idle: dict[int, float] = {}
-
-    def empty(repeats: int) -> float:
-        if repeats not in idle:
-            run(None)(repeats)
-            began = time.perf_counter()
-            run(None)(repeats)
-            idle[repeats] = time.perf_counter() - began
-        return idle[repeats]
-
-    return {f: 2.0 ** round(math.log2(_seconds(run(f), empty))) for f in features}
-
-
 def arranged(rules: Sequence[Rule], seen: dict[tuple[bool, ...], int], cost: dict[str, float]) -> list[Rule]:
     """The rules by rejection per cost, each against the rows that the ones before it leave: seen has how many
     rows get which verdicts (True: rejected), in the order of rules. A feature that is there already costs
@@ -142,21 +109,48 @@ def arranged(rules: Sequence[Rule], seen: dict[tuple[bool, ...], int], cost: dic
     return out
 
 
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most `rows` texts (__pg_text) of SAMPLE_BYTES at most: of a table's files SAMPLE_FILES, by the hash of their names, and of each the
+    texts of least hash, so that the same table gives the same sample. Of a frame that isn't a plain table, those of its first rows."""
+    text = F.coalesce(docs["text"], F.lit("")).alias("__pg_text")
+    files = sorted({f.rpartition("/")[2] for f in docs.inputFiles()}, key=lambda f: hashlib.md5(f.encode()).digest())[:SAMPLE_FILES]
+    try:
+        of = [docs.where(F.col("_metadata.file_name") == f) for f in files]  # Spark skips the other files
+    except AnalysisException:
+        of = []
+    if not of:
+        return docs.select(text).where(F.octet_length("__pg_text") <= SAMPLE_BYTES).limit(rows)
+    own = [x.select(text).where(F.octet_length("__pg_text") <= SAMPLE_BYTES).orderBy(F.xxhash64("__pg_text"), "__pg_text").limit(-(-rows // len(of))) for x in of]
+    return functools.reduce(DataFrame.unionAll, own)
+
+
+def _measured(sample: DataFrame) -> DataFrame:
+    return sample.withColumn("__pg_c", F.char_length("__pg_text")).withColumn("__pg_n", word_count(F.col("__pg_text")))
+
+
+def _prices(features: Sequence[str]) -> dict[str, Column]:
+    return {f: F.expr(COST[f]) for f in features}
+
+
+def costs(sample: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """The cost of each feature over a sample (__pg_text), in nanoseconds."""
+    return _measured(sample).agg(*[F.sum(c).alias(f) for f, c in _prices(features).items()]).first().asDict()
+
+
 def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules, most rejection per cost first, as measured on the first sample_rows rows that the scan gives of
-    texts of SAMPLE_BYTES at most: Spark reads as few partitions as give them. An empty sample keeps the given order."""
-    text = docs.select(F.coalesce(docs["text"], F.lit("")).alias("__pg_text")).where(F.octet_length("__pg_text") <= SAMPLE_BYTES)
-    got = text.take(sample_rows)
-    if not got:
-        return list(rules)
-    sample = docs.sparkSession.createDataFrame([(r[0],) for r in got], "__pg_text string").coalesce(1)
-    df = sample
+    """The rules, most rejection per cost first: what each rejects, and what its features cost, on sampled(docs). One job, whose rows are a few
+    verdicts; the same rows in the same files give the same order. An empty sample keeps the given order."""
     features = list(dict.fromkeys(f for rule in rules for f in rule.needs))
+    df = _measured(sampled(docs, sample_rows))
     for f in features:
         df = _with_feature(df, f, None)
     verdicts = [F.coalesce(F.expr(rule.rejects), F.lit(False)).alias(f"r{i}") for i, rule in enumerate(rules)]
-    seen = {tuple(r)[:-1]: r["n"] for r in df.select(*verdicts).groupBy(*[f"r{i}" for i in range(len(rules))]).agg(F.count("*").alias("n")).collect()}
-    return arranged(rules, seen, costs(sample, features))
+    sums = [F.sum(c).alias(f) for f, c in _prices(features).items()]
+    names = [f"r{i}" for i in range(len(rules))]
+    got = df.select(*verdicts, "__pg_c", "__pg_n").groupBy(*names).agg(F.count("*").alias("n"), *sums).collect()
+    if not got:
+        return list(rules)
+    return arranged(rules, {tuple(r[n] for n in names): r["n"] for r in got}, {f: sum(r[f] for r in got) for f in features})
 
 
 def cascade(docs: DataFrame, order: Sequence[Rule], always: Sequence[str] = ()) -> DataFrame:

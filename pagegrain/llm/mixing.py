@@ -42,7 +42,10 @@ class Plan(NamedTuple):
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with sk (a source's key without nulls), size, and k1, k2: 128 bits that tell rows apart."""
     source = F.col("source").cast("string")
-    told = [docs[f"`{c}`"] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    # The hash skips nulls: each column's mark says where they are. Nested values are told apart by their whole text.
+    nested = lambda kind: any(x in kind for x in ("<", "variant"))
+    told = [F.to_json(F.struct(docs[f"`{c}`"].alias("x")), {"ignoreNullFields": "false"}) if nested(kind) else docs[f"`{c}`"] for c, kind in docs.dtypes]
+    told = [F.concat(*[F.when(docs[f"`{c}`"].isNull(), "0").otherwise("1") for c in docs.columns]), *told]
     return docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__pg_row"), F.col("doc_id").alias("__pg_id"), source.alias("__pg_source"),
         F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("sk"), F.xxhash64(*told).alias("k1"), F.xxhash64(F.lit(17), *told).alias("k2"), F.xxhash64("doc_id", "text").alias("raw"), word_count(F.col("text")).alias("size"),

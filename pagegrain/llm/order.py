@@ -10,6 +10,7 @@ byte (slot mod shard_slots) * stride.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Equal rows (doc_id, text) beyond this many are dealt to buckets one by one; bytes of text a task reads, about.
 COPIES, TASK_BYTES = 1000, 64 << 20
+#: Tasks that write the sequences at most.
+MOST_TASKS = 20_000
+#: A run of white space of this many characters goes to the encoder by itself: the pattern's own search through it would overflow.
+LONG_RUN = 4096
+#: The characters that the pattern's \\s stands for.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _encodings: dict[bytes, object] = {}
 
 
@@ -40,6 +47,19 @@ def encoding(vocabulary: bytes):
     return _encodings[vocabulary]
 
 
+def ids_of(enc, text: str, long_run: int = LONG_RUN) -> np.ndarray:
+    """A text's ids. It is cut around long runs of white space, where the pattern cuts anyway: one match takes such a run up to its last
+    character, which goes to what follows, or to the text's end."""
+    parts, done = [], 0
+    for run in re.finditer(rf"[{SPACES}]{{{long_run},}}", text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(enc.encode_to_numpy(text[done : run.start()], disallowed_special=()))
+        parts.append(np.array(enc._encode_single_piece(text[run.start() : stop]), np.uint32))
+        done = stop
+    parts.append(enc.encode_to_numpy(text[done:], disallowed_special=()))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def end_of(vocabulary: bytes) -> int:
     """The end of a document: the least id above all of the vocabulary's. Ids need two bytes, or four where this one is
     over 65,535."""
@@ -77,7 +97,7 @@ def _packer(vocabulary, length: int):
                     if tokens:
                         close()
                     bucket, number = b, 0
-                t = np.append(enc.encode_to_numpy(text, disallowed_special=()).astype(kind), kind(end))
+                t = np.append(ids_of(enc, text).astype(kind), kind(end))
                 at = 0
                 while at < len(t):
                     part = t[at : at + room]
@@ -137,7 +157,8 @@ def sequences(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER,
     width = np.dtype(id_type(end_of(vocabulary.value))).itemsize
     out = packed.join(starts, "bucket").withColumn("slot", F.expr(permuted("base + number", f"{total}L", f"{key}L"))).withColumn("shard", F.expr(f"slot div {shard_slots}"))
     out = out.select("slot", "shard", F.expr(f"(slot % {shard_slots}) * {stride(length, width)}").alias("offset"), "n_tokens", "doc_ids", "starts", "tokens")
-    return out.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    tasks = min(shards, MOST_TASKS)  # neighbouring shards share a task where there are more
+    return out.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("slot")
 
 
 def _dealt_copies(spark: SparkSession, base: DataFrame) -> DataFrame:

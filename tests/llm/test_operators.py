@@ -579,3 +579,38 @@ def test_removed_tells_texts_of_one_id_apart(spark):
     for r in got:
         by_class.setdefault(r.class_id, []).append(r.removed)
     assert by_class and all(sorted(v) == [False, True] for v in by_class.values())
+
+
+def test_rules_keep_their_order_from_run_to_run(spark, edge):
+    docs = table(spark, SF, "documents")
+    assert cascade.sampled(docs, 50).count() == 50 and cascade.sampled(edge, 5).count() == 5  # a frame without files gives its first rows
+    orders = {tuple(r.name for r in cascade.ordered(docs)) for _ in range(5)}
+    assert len(orders) == 1
+    assert orders == {tuple(r.name for r in cascade.ordered(docs.select("text", "doc_id")))}
+
+
+def test_long_runs_of_white_space_are_encoded_alike(spark):
+    enc = order.encoding(open(order.TOKENIZER, "rb").read())
+    rng = random.Random(4)
+    bits = [" ", "  ", "\n", "\t", "\u3000", "\xa0", "\x1c", "a", "bc", "9", "é", "'s", "!", " \n", "."]
+    for _ in range(500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+        assert order.ids_of(enc, text, 2).tolist() == enc.encode_ordinary(text) == order.ids_of(enc, text, 3).tolist()
+    rows = [(1, " " * 1_500_000 + "x"), (2, "\n" * 1_500_000), (3, "a" + "\t " * 800_000 + "b c")]
+    got = order.sequences(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    ids = {i: [] for i, _ in rows}
+    for r in sorted(got, key=lambda r: r.slot):
+        tokens = np.frombuffer(bytes(r.tokens), np.uint16)
+        for doc, a, b in zip(r.doc_ids, r.starts, [*r.starts[1:], r.n_tokens], strict=True):
+            ids[doc].append(tokens[a:b])
+    end = order.end_of(open(order.TOKENIZER, "rb").read())
+    # Slots are permuted, so a document's sequences are compared as multisets of tokens.
+    for i, text in rows:
+        assert Counter(np.concatenate(ids[i]).tolist()) == Counter([*order.ids_of(enc, text).tolist(), end])
+
+
+def test_rows_that_differ_in_what_is_null_are_told_apart(spark):
+    rows = [(1, "w " * 200, "s", "x", None, [1, None], {"a": 1}), (1, "w " * 200, "s", None, "x", [None, 1], {"a": 1}), (1, "w " * 200, "s", None, "x", [1, None], {"a": 1}), (1, "w " * 200, "s", None, "x", [1, None], {"a": 2})]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, a string, b string, c array<int>, d map<string, int>")
+    got = mixing.mixed(spark, docs).select("a", "b", "c", "d").collect()
+    assert {(r.a, r.b, tuple(r.c), tuple(r.d.items())) for r in got} == {(r[3], r[4], tuple(r[5]), tuple(r[6].items())) for r in rows}
