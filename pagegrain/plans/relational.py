@@ -60,11 +60,11 @@ RELATIONAL: dict[str, tuple[tuple[str, ...], str, str]] = {
         r"select doc_id, len(w)::bigint as n_words, len(list_distinct(w))::bigint as n_distinct from (select doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') as w from documents)", "documents"),
     "line_explode": _pair(f"select doc_id, cast(line as bigint) as line, text from {_LINES_S}", f"select doc_id, line::bigint as line, text from {_LINES_D}", "documents"),
     "smart_case_search": _pair(
-        f"select doc_id, cast(line as bigint) as line, q, cast(if(q rlike '\\\\p{{{{Lu}}}}', regexp_count(text, q), regexp_count(text, concat('(?iu)', q))) as bigint) as n from {_LINES_S} cross join (values ('the'), ('The')) as p(q) where if(q rlike '\\\\p{{{{Lu}}}}', contains(text, q), contains(lower(text), q))",
+        f"select doc_id, cast(line as bigint) as line, q, cast(if(q rlike '\\\\p{{{{Lu}}}}', regexp_count(text, q), regexp_count(text, concat('(?iu)', q))) as bigint) as n from {_LINES_S} lateral view explode(array('the', 'The')) p as q where if(q rlike '\\\\p{{{{Lu}}}}', contains(text, q), contains(lower(text), q))",
         f"select doc_id, line::bigint as line, q, len(regexp_extract_all(text, case when q = 'The' then q else '(?i)' || q end))::bigint as n from {_LINES_D}, (values ('the'), ('The')) as p(q) where case when q = 'The' then contains(text, q) else contains(lower(text), q) end", "documents"),
     "contains_all_filter": _pair("select doc_id from {documents} where forall(split(lower('The ing on'), ' +'), w -> contains(lower(text), w))", "select doc_id from documents where contains(lower(text), 'the') and contains(lower(text), 'ing') and contains(lower(text), 'on')", "documents"),
     "ranked_search": _pair(
-        "select doc_id, sum(least(12, n) + if(at_start, 2, 0) + if(in_title, 8, 0)) as score from (select doc_id, term, cast((length(b) - length(replace(b, term, ''))) / length(term) as bigint) as n, startswith(b, term) as at_start, contains(lower(source), term) as in_title from (select doc_id, source, lower(text) as b from {documents}) cross join " + _terms("the", "ing", "src1") + ") group by doc_id having bool_and(n > 0 or in_title) order by score desc, doc_id limit 24",
+        "select doc_id, sum(least(12, n) + if(at_start, 2, 0) + if(in_title, 8, 0)) as score from (select doc_id, term, cast((length(b) - length(replace(b, term, ''))) / length(term) as bigint) as n, startswith(b, term) as at_start, contains(lower(source), term) as in_title from (select doc_id, source, lower(text) as b from {documents}) lateral view explode(array('the', 'ing', 'src1')) t as term) group by doc_id having bool_and(n > 0 or in_title) order by score desc, doc_id limit 24",
         "select doc_id, sum(least(12, n) + case when at_start then 2 else 0 end + case when in_title then 8 else 0 end)::bigint as score from (select doc_id, term, ((length(b) - length(replace(b, term, ''))) // length(term))::bigint as n, starts_with(b, term) as at_start, contains(lower(source), term) as in_title from (select doc_id, source, lower(text) as b from documents), " + _terms("the", "ing", "src1") + ") group by doc_id having bool_and(n > 0 or in_title) order by score desc, doc_id limit 24", "documents"),
     "snippets": _pair(
         "select doc_id, substr(text, greatest(1, locate('tion', text) - 73), 220) as snippet from {documents} where contains(text, 'tion')",
