@@ -15,6 +15,18 @@ def append_history(visits: DataFrame, path: str) -> None:
     visits.where("url <> ''").select("url", "title", "at").write.mode("append").json(path)
 
 
+def rewrite_history(visits: DataFrame, path: str) -> None:
+    """(url, title, at) as the whole history: written beside the old one, which then goes, so that visits may be computed from it."""
+    spark = visits.sparkSession
+    beside = f"{path}.new"
+    visits.where("url <> ''").select("url", "title", "at").write.mode("overwrite").json(beside)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{beside} can't take the place of {path}")
+
+
 def write_bookmarks(marks: DataFrame, path: str) -> None:
     """(url, title, at, pos) as one JSON array in order of pos: bookmarks are what a person keeps, some thousand
     rows. A person's list is one value of one row, aggregated by Spark; no rows give an empty array."""
@@ -56,6 +68,40 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(*flat).write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
 
 
+def _escaped(text):
+    """Text in XML."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def feed_items(releases: DataFrame, title: str, base: str, keep: str | None = None) -> DataFrame:
+    """(version, item[, keep]) of releases (version, released, plain): a feed's item as XML. A release without a date is of the epoch."""
+    date = F.date_format(F.coalesce(F.col("released").cast("timestamp"), F.timestamp_seconds(F.lit(0))), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    link = _escaped(F.concat(F.lit(f"{base}/v"), "version", F.lit("/")))
+    item = tag("item", F.concat(tag("title", _escaped(F.concat(F.lit(f"{title} "), "version"))), tag("link", link), tag("pubDate", date), tag("description", _escaped(F.coalesce("plain", F.lit(""))))))
+    return releases.select("version", item.alias("item"), *([keep] if keep else []))
+
+
+def write_feed(items: DataFrame, path: str, title: str) -> None:
+    """feed_items() (version, item, ord) as one RSS file: releases are what people write, some thousand rows, in one task, in order of ord."""
+    spark = items.sparkSession
+    edge = spark.createDataFrame([(0, 0, f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{title}</title>'), (2, 0, "</channel></rss>")], "part int, ord bigint, item string")
+    rows = edge.unionByName(items.select(F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), "item"))
+    rows.coalesce(1).sortWithinPartitions("part", "ord").select("item").write.mode("overwrite").text(path)
+
+
+def text_map(entries: DataFrame, base: str) -> DataFrame:
+    """(doc, text) of entries (doc, label, blurb, ord, section, title, summary): a document's part of the map that a language model reads first, a line a
+    section in order of ord, the index section left out; without a summary the document's blurb."""
+    line = F.concat(F.lit("- ["), "title", F.lit(f"]({base}/"), "doc", F.lit("/"), "section", F.lit("/): "), F.coalesce(F.nullif("summary", F.lit("")), "blurb"))
+    rows = entries.where("section <> 'index'").select("doc", "label", "blurb", F.struct("ord", line.alias("line")).alias("l"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x.line), "\n")
+    whole = rows.groupBy("doc").agg(F.min("label").alias("label"), F.min("blurb").alias("blurb"), lines.alias("lines"))
+    return whole.select("doc", F.concat(F.lit("## "), "label", F.lit("\n\n"), "blurb", F.lit("\n\n"), "lines").alias("text"))
+
+
 def write_search_entries(sections: DataFrame, path: str, key: str = "page_id") -> None:
     """Sections (key, ord, slug, heading, body) as search entries, a JSON object a line."""
     sections.select(F.concat(F.col(key).cast("string"), F.lit("#"), "slug").alias("href"), F.col("heading").alias("title"), F.lower("body").alias("body")).write.mode("overwrite").json(path)
