@@ -29,12 +29,16 @@ _TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[^<>=]++|=\s*+(?:"[^"]*
 _ATTR = re.compile(r"""([^\s=>/"'][^\s=>/]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 
 
+#: What becomes of an element when its parent is settled: it stays, goes, or gives way to its own content; OUT is past.
+STAYS, GOES, OPENS, OUT = range(4)
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "depth")
+    __slots__ = ("tag", "attrs", "kids", "up", "depth", "fate")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, up: Node | None = None):
         self.tag, self.attrs, self.kids, self.up = tag, attrs or {}, [], up
-        self.depth = up.depth + 1 if up is not None else 0
+        self.depth, self.fate = up.depth + 1 if up is not None else 0, STAYS
 
     def walk(self):
         """All elements below, in document order."""
@@ -67,9 +71,30 @@ class Node:
     def weight(self) -> int:
         return len(self.text().split())
 
-    def drop(self) -> None:
-        if self.up is not None:
-            self.up.kids = [k for k in self.up.kids if k is not self]
+    def meets(self, fate: int, changed: dict[int, Node]) -> None:
+        """Marks an element that still stands in its tree, and its parent as changed."""
+        if self.up is not None and self.fate == STAYS:
+            self.fate = fate
+            changed[id(self.up)] = self.up
+
+
+def settle(changed: dict[int, Node]) -> None:
+    """Takes the marked children of changed elements out, or puts their content in their place; each list of children is made anew once."""
+    for up in changed.values():
+        kids, todo = [], up.kids[::-1]
+        while todo:
+            k = todo.pop()
+            if type(k) is str or k.fate == STAYS:
+                kids.append(k)
+                if type(k) is Node:
+                    k.up = up
+            elif k.fate == OPENS:
+                k.fate = OUT
+                todo.extend(reversed(k.kids))
+            else:
+                k.fate = OUT
+        up.kids = kids
+    changed.clear()
 
 
 def _attributes(said: str) -> dict[str, str]:
@@ -173,17 +198,19 @@ def _hidden(n: Node) -> bool:
 
 def clean(root: Node, is_article: bool) -> None:
     """Takes page furniture out of a root. What holds more than half of the root's words always stays."""
-    nodes, header = [], False
+    nodes, header, changed = [], False, {}
     for n in root.walk():
         if n.tag in DROPPED or n.tag == "title":
-            n.drop()
+            n.meets(GOES, changed)
         elif n.attrs and (_hidden(n) or n.attrs.get("role") in ROLES or has_junk_class(n.attrs.get("class", ""))):
             nodes.append(n)
         header |= n.tag == "header"
+    settle(changed)
     total = root.weight() if nodes else 0
     for n in nodes:
         if n.weight() * 2 <= total:
-            n.drop()
+            n.meets(GOES, changed)
+    settle(changed)
     if header and not is_article:
         kept = False
         for n in root.find("header"):
@@ -192,7 +219,8 @@ def clean(root: Node, is_article: bool) -> None:
                 n.up.kids[n.up.kids.index(n)] = h
                 h.up, kept = n.up, True
             else:
-                n.drop()
+                n.meets(GOES, changed)
+        settle(changed)
 
 
 #: Class patterns that name a code's language outright, and those trusted only for a known language.
@@ -291,52 +319,46 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _BLANKS = re.compile(r"\s{2,}|[^\S ]")
 
 
-def _unwrap(n: Node) -> None:
-    if n.up is None:
-        return
-    at = next((i for i, k in enumerate(n.up.kids) if k is n), None)
-    if at is None:  # taken out already
-        return
-    n.up.kids[at : at + 1] = n.kids
-    for k in n.kids:
-        if isinstance(k, Node):
-            k.up = n.up
-
-
 def tidy(root: Node, title: str) -> None:
     """Takes what readers don't see or need out of code, headings, images and links; cards' links move to their
     heading, or else to their first block."""
     by: dict[str, list[Node]] = {}
+    changed: dict[int, Node] = {}
     for n in root.walk():
         by.setdefault("h" if n.tag in _HEADINGS else n.tag, []).append(n)
     for pre in by.get("pre", ()):
         for n in list(pre.walk()):
             if _WIDGET.search(n.attrs.get("class", "")):
-                n.drop()
+                n.meets(GOES, changed)
+    settle(changed)
     for figure in by.get("figure", ()):
         if figure.find("pre"):
             for n in (x for c in figure.find("figcaption") for x in c.walk()):
                 if {"sr-only", "visually-hidden"} & set(n.attrs.get("class", "").split()):
-                    n.drop()
+                    n.meets(GOES, changed)
+    settle(changed)
     for table in by.get("table", ()):
         if table.find("pre"):
             for cell in table.find("td", "th"):
                 if _GUTTER.search(cell.attrs.get("class", "")):
-                    cell.drop()
+                    cell.meets(GOES, changed)
+    settle(changed)
     for h in by.get("h", ()):
         for a in h.find("a"):
             said = _raw(a).strip().lower()
             if said in _PERMALINKS or said.startswith(_PERMALINK_STARTS):
-                a.drop()
+                a.meets(GOES, changed)
             elif a.attrs.get("href", "").strip().startswith("#"):
-                _unwrap(a)
+                a.meets(OPENS, changed)
+    settle(changed)
     for img in by.get("img", ()):
         if img.attrs.get("alt", "").strip().lower() in title.lower():
-            img.drop()
+            img.meets(GOES, changed)
+    settle(changed)
     for a in by.get("a", ()):
         said = " ".join(_raw(a).split())
         if (not said and not a.find("img")) or (len(said) < 40 and _SKIP_LINK.search(said)):
-            a.drop()
+            a.meets(GOES, changed)
             continue
         if all(type(k) is str for k in a.kids):
             continue
@@ -347,7 +369,8 @@ def tidy(root: Node, title: str) -> None:
             best = next((n for n in leaves if n.tag in _HEADINGS), leaves[0])
             link = Node("a", a.attrs, best)
             link.kids, best.kids = best.kids, [link]
-            _unwrap(a)
+            a.meets(OPENS, changed)
+    settle(changed)
 
 
 @lru_cache(maxsize=4096)

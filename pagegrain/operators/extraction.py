@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import extract
@@ -199,11 +199,51 @@ def q_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANCHOR = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
+#: What holds no anchors: comments, and elements whose content is text. An unclosed one goes on to the end.
+NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|xmp|iframe|noembed|noframes|title|textarea)\b.*?(?:</\1\s*>|\z)"
+#: Entities with names that occur in addresses.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def unescaped(text: Column) -> Column:
+    """Numbered entities and ENTITIES as characters; others, and numbers that are no characters, stay. One pass: what comes out of an entity isn't read again."""
+    number = r"\A(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));?"
+
+    def part(x: Column, i: Column) -> Column:
+        code = F.coalesce(F.conv(F.nullif(F.regexp_extract(x, number, 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(x, number, 2), F.lit(""))).cast("bigint")
+        fits = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(i == 0, named(x)).when(fits, F.concat(made, named(F.regexp_replace(x, number, "")))).otherwise(F.concat(F.lit("&#"), named(x)))
+
+    def named(x: Column) -> Column:
+        for k, v in ENTITIES.items():
+            x = F.replace(x, F.lit(k), F.lit(v))
+        return x
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&#"), part), "")).otherwise(text)
+
+
 def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, url, ord, href) of the anchors of pages (page_id, url, html) that have an address, in order."""
+    """(page_id, url, ord, href) of the anchors of pages (page_id, url, html) that have an address, in order: entities read, none out of comments, scripts
+    and other elements of text alone."""
+    html = F.regexp_replace("html", NO_MARKUP, "")
+    rows = pages.select("page_id", "url", html.alias("html"))
     got = [F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i)) for i in (1, 2, 3)]
-    href = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(got)]), lambda x: F.concat(x.g0, x.g1, x.g2))
-    return pages.select("page_id", "url", F.posexplode(href).alias("ord", "href"))
+    href = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(got)]), lambda x: unescaped(F.concat(x.g0, x.g1, x.g2)))
+    return rows.select("page_id", "url", F.posexplode(href).alias("ord", "href"))
+
+
+def link_kind(href: Column) -> Column:
+    """What a link is: an anchor, a file, a page of the web, or unsupported."""
+    web = F.lower(href).rlike("^https?://") | href.startswith("/")
+    return F.when(href == "", "unsupported").when(href.startswith("#"), "anchor").when(F.lower(href).startswith("file:"), "file").when(web, "web").when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), "unsupported").otherwise("web")
+
+
+def destinations(links: DataFrame) -> DataFrame:
+    """(page_id, href, link_id, n) of links (page_id, ord, href): a page's distinct destinations, numbered from 1 by their first place."""
+    found = links.groupBy("page_id", "href").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("first", "href"))
+    return found.select("page_id", "href", number.alias("link_id"), "n")
 
 
 def q_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:

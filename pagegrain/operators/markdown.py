@@ -1,8 +1,7 @@
 """Markdown documents to sections, tables, releases, notes and key tables.
 
-Lines are exploded once; windows and the final grouping share one exchange on the key. Each operator takes
-documents with a key column and a Markdown column, null or empty Markdown giving no rows (introductions: one
-row of empty texts).
+A document's lines are an array, worked on inside its row: nothing is shuffled, and rows that share a key never meet. Each operator
+takes documents with a key column and a Markdown column, null Markdown giving no rows (introductions and titles: one row).
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import folded, let
 
 #: Formats of headings, contents items and releases, and what a line of nothing but links is.
 _FENCE = r"^\s*(`{3,}|~{3,})(.*)$"
@@ -22,8 +22,9 @@ _RELEASE = r"^##\s+(?:\[([^\]]+)\]\(([^)]*)\)|v?([^\s(]+))\s*(?:\(([^)]*)\))?\s*
 
 
 def _lines(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, pos, line) of all lines, texts that are null left out."""
-    return docs.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    """(key, row, pos, line) of all lines, texts that are null left out; row tells documents of one key apart."""
+    rows = docs.select(F.col(key), F.split(text, "\n").alias("lines"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(key, "row", F.posexplode("lines").alias("pos", "line"))
 
 
 def _spans(lines: Column) -> Column:
@@ -31,60 +32,84 @@ def _spans(lines: Column) -> Column:
 
     A fold over the lines that could open or close a fence, as what closes one depends on what opened it: a run of
     the same mark, as long at least, and nothing else. Backtick fences have no backtick after their mark."""
-    shape = "array<struct<a: int, n: int, code: boolean>>"
     mark = lambda x: F.regexp_extract(x, _FENCE, 1)
     rest = lambda x: F.trim(F.regexp_extract(x, _FENCE, 2))
     found = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), mark(x).alias("mark"), rest(x).alias("rest"))), lambda c: c.mark != "")
     span = lambda a, n, code: F.array(F.struct(a.cast("int").alias("a"), n.cast("int").alias("n"), F.lit(code).alias("code")))
-    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
+    kind = "array<struct<a: int, n: int, code: boolean>>"
 
-    def step(s: Column, c: Column) -> Column:
+    def step(s: Column, c: Column) -> tuple[dict[str, Column], Column]:
         opens = (s.mark == "") & ~(c.mark.startswith("`") & F.contains(c.rest, F.lit("`")))
         closes = (s.mark != "") & (c.rest == "") & c.mark.startswith(s.mark)
-        opened = F.struct(c.mark.alias("mark"), c.i.alias("at"), F.concat(s.out, span(s["at"], c.i - s["at"], False)).alias("out"))
-        closed = F.struct(F.lit("").alias("mark"), (c.i + 1).alias("at"), F.concat(s.out, span(s["at"], c.i + 1 - s["at"], True)).alias("out"))
-        return F.when(opens, opened).when(closes, closed).otherwise(s)
+        fields = {"mark": F.when(opens, c.mark).when(closes, "").otherwise(s.mark), "at": F.when(opens, c.i).when(closes, c.i + 1).otherwise(s["at"])}
+        return fields, F.when(opens, span(s["at"], c.i - s["at"], False)).when(closes, span(s["at"], c.i + 1 - s["at"], True)).otherwise(F.array().cast(kind))
 
-    end = lambda s: F.concat(s.out, F.array(F.struct(s["at"].alias("a"), (F.size(lines) - s["at"]).cast("int").alias("n"), (s.mark != "").alias("code"))))
-    return F.filter(F.aggregate(found, start, step, end), lambda s: s.n > 0)
+    def end(s: Column) -> Column:
+        return F.concat(s["out"], F.array(F.struct(s["at"].alias("a"), (F.size(lines) - s["at"]).cast("int").alias("n"), (s.mark != "").alias("code"))))
+
+    return F.filter(folded(found, {"mark": F.lit(""), "at": F.lit(0)}, step, kind, end), lambda s: s.n > 0)
+
+
+def _coded(text: Column) -> Column:
+    """A text's lines: (pos, line, code: whether inside a fence or one of its own lines, stretch: the number of its stretch); null for null."""
+
+    def of(lines: Column) -> Column:
+        part = lambda s, k: F.transform(F.slice(lines, s.a + 1, s.n), lambda x, i: F.struct((s.a + i).cast("int").alias("pos"), x.alias("line"), s.code.alias("code"), k.alias("stretch")))
+        return let(_spans(lines), lambda spans: F.flatten(F.transform(spans, part)))
+
+    return let(F.split(text, "\n"), of)
+
+
+def _uncoded(text: Column) -> Column:
+    """A text's lines in the form of _coded, none of them code."""
+    return F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"), F.lit(False).alias("code"), F.lit(0).alias("stretch")))
+
+
+def _text(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x.line), "\n")
 
 
 def fenced_lines(docs: DataFrame, key: str = "page_id", text: Column | str = "markdown") -> DataFrame:
     """(key, pos, line, code) of all lines of texts, code: whether inside a fence or one of its own lines. A fence that
     nothing closes goes on to the end. Null texts have no lines; every line once."""
     text = F.col(text) if isinstance(text, str) else text
-    lines = docs.select(F.col(key), F.split(text, "\n").alias("l")).withColumn("s", _spans(F.col("l")))
-    parts = F.transform("s", lambda s: F.transform(F.slice("l", s.a + 1, s.n), lambda x, i: F.struct((s.a + i).alias("pos"), x.alias("line"), s.code.alias("code"))))
-    return lines.select(key, F.explode(F.flatten(parts)).alias("x")).select(key, "x.pos", "x.line", "x.code")
-
-
-def _text_of(key: str, rows: DataFrame) -> DataFrame:
-    """(key, markdown) of rows (key, pos, line) in order."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
-    return rows.groupBy(key).agg(whole.alias("markdown"))
+    rows = docs.select(key, F.explode_outer(_coded(text)).alias("x"))
+    return rows.where("x is not null").select(key, "x.pos", "x.line", "x.code")
 
 
 def tidied(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
     """(key, markdown): outside of fences lines of nothing but four links and more, and list separators, are blank, ends
     of lines go, and of blank lines in a row one stays. Code stays as it is."""
-    order = Window.partitionBy(key).orderBy("pos")
-    lines = fenced_lines(docs, key, text)
-    line = F.regexp_replace("line", r"\s+$", "")
-    gone = F.col("line").rlike(_LINK_ONLY) | (F.trim("line") == "<!--THE END-->")
-    lines = lines.withColumn("line", F.when(F.col("code"), F.col("line")).when(gone, "").otherwise(line)).withColumn("blank", ~F.col("code") & (F.col("line") == ""))
-    return _text_of(key, lines.withColumn("before", F.lag("blank", 1, False).over(order)).where("not (blank and before)"))
+    gone = lambda line: line.rlike(_LINK_ONLY) | (F.trim(line) == "<!--THE END-->")
+    said = lambda x: F.when(x.code, x.line).when(gone(x.line), "").otherwise(F.regexp_replace(x.line, r"\s+$", ""))
+    blank = lambda x: ~x.code & (x.line == "")
+    clean = lambda lines: F.transform(lines, lambda x: F.struct(said(x).alias("line"), x.code.alias("code")))
+    kept = lambda lines: F.filter(lines, lambda x, i: ~(blank(x) & F.coalesce(blank(F.get(lines, i - 1)), F.lit(False))))
+    return docs.where(F.col(text).isNotNull()).select(key, let(clean(_coded(F.col(text))), lambda lines: _text(kept(lines))).alias("markdown"))
 
 
 def without_repeated_links(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
     """(key, markdown) without lines outside of fences that hold a link, or are an image, and equal the last line with
     text before them, if no fence is between."""
-    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = fenced_lines(docs, key, text).withColumn("said", F.trim("line"))
-    fences = F.count_if(F.col("code")).over(order)
-    lines = lines.withColumn("fences", F.coalesce(fences, F.lit(0))).withColumn("held", F.when(~F.col("code") & (F.col("said") != ""), F.struct("said", "fences")))
-    lines = lines.withColumn("last", F.last("held", ignorenulls=True).over(order))
-    again = ~F.col("code") & (F.contains("said", F.lit("](")) | F.col("said").rlike(r"^!?\[image:")) & (F.col("said") == F.col("last.said")) & (F.col("fences") == F.col("last.fences"))
-    return _text_of(key, lines.where(~F.coalesce(again, F.lit(False))))
+
+    def again(x: Column, before: Column) -> Column:
+        said = F.trim(x.line)
+        link = F.contains(said, F.lit("](")) | said.rlike(r"^!?\[image:")
+        return F.coalesce(link & (said == F.trim(before.line)) & (x.stretch == before.stretch), F.lit(False))
+
+    def kept(lines: Column, told: Column) -> Column:
+        """The lines ahead of the first one with text, then each such line, unless it is told again, with what follows it up to the next."""
+        first = F.coalesce(F.get(told, F.lit(0)).pos, F.size(lines))
+
+        def part(x: Column, i: Column) -> Column:
+            skip = again(x, F.get(told, i - 1)).cast("int")
+            return F.slice(lines, x.pos + 1 + skip, F.coalesce(F.get(told, i + 1).pos, F.size(lines)) - x.pos - skip)
+
+        return F.concat(F.slice(lines, F.lit(1), first), F.flatten(F.transform(told, part)))
+
+    told = lambda lines: F.filter(lines, lambda x: ~x.code & (F.trim(x.line) != ""))
+    whole = let(_coded(F.col(text)), lambda lines: let(told(lines), lambda t: _text(kept(lines, t))))
+    return docs.where(F.col(text).isNotNull()).select(key, whole.alias("markdown"))
 
 
 #: What counts as structure of a Markdown text, by line or anywhere.
@@ -126,74 +151,79 @@ def anomalies(docs: DataFrame, key: str = "page_id", text: str = "markdown") ->
     """(key, backslash_breaks, repeated_lines, empty_links, skip_links) outside of fences: lines that end in a backslash,
     lines of more than 12 characters that equal the one before (blank lines and table rows apart), links without text, and skip links
     among the first 600 characters. A document without lines outside of fences has none."""
-    order = Window.partitionBy(key).orderBy("pos")
-    lines = fenced_lines(docs, key, text).where("not code").withColumn("said", F.trim("line"))
-    lines = lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    tells = (F.col("said") != "") & ~F.col("said").startswith("|")
-    before = F.last(F.when(tells, F.col("said")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    lines = lines.withColumn("again", tells & (F.col("said") == before) & (F.length("said") > 12))
-    head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at") < 600, F.struct("pos", "line")))), lambda x: x.line), "\n")
-    found = lines.groupBy(key).agg(
-        F.count_if(F.col("line").rlike(r"\\\s*$")).alias("backslash_breaks"), F.count_if("again").alias("repeated_lines"),
-        F.sum(F.regexp_count("line", F.lit(r"\[\s*\]\("))).cast("long").alias("empty_links"), head.alias("head"),
-    )
-    skips = F.regexp_count(F.left("head", F.lit(600)), F.lit("(?i)skip to (the )?(main )?content")).cast("long")
-    return found.select(key, "backslash_breaks", "repeated_lines", "empty_links", skips.alias("skip_links"))
+
+    def counts(lines: Column) -> Column:
+        said = F.filter(F.transform(lines, lambda x: F.trim(x.line)), lambda x: (x != "") & ~x.startswith("|"))
+        again = lambda t: F.size(F.filter(t, lambda x, i: (i > 0) & (x == F.get(t, i - 1)) & (F.length(x) > 12)))
+        empty = F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x.line, F.lit(r"\[\s*\]\(")))
+        return F.struct(
+            F.size(lines).alias("n"), F.size(F.filter(lines, lambda x: x.line.rlike(r"\\\s*$"))).cast("long").alias("backslash_breaks"), let(said, again).cast("long").alias("repeated_lines"),
+            empty.alias("empty_links"), F.regexp_count(F.left(_text(lines), F.lit(600)), F.lit("(?i)skip to (the )?(main )?content")).cast("long").alias("skip_links"),
+        )
+
+    found = docs.select(key, let(F.filter(_coded(F.col(text)), lambda x: ~x.code), counts).alias("c")).where("c.n > 0")
+    return found.select(key, "c.backslash_breaks", "c.repeated_lines", "c.empty_links", "c.skip_links")
 
 
 def titles(docs: DataFrame, key: str = "page_id", text: str = "markdown", url: str = "url") -> DataFrame:
     """(key, title, has_title, body_words): the first line with text if it is a level-1 heading, else the address's host;
     whether a level-1 heading stands outside of fences; words but for those of level-1 heading lines."""
-    lines = fenced_lines(docs, key, text)
-    said = F.trim("line")
-    found = lines.groupBy(key).agg(
-        F.min_by(said, F.when(said != "", F.col("pos"))).alias("first"), F.bool_or(~F.col("code") & F.col("line").startswith("# ")).alias("has_title"),
-        F.sum(F.when(F.col("line").startswith("# "), 0).otherwise(F.size(F.filter(F.split("line", r"\s+"), lambda w: w != "")))).cast("long").alias("body_words"),
-    )
-    host = docs.select(key, F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1).alias("host"))
-    title = F.when(F.col("first").startswith("# "), F.trim(F.substring("first", 3, 1 << 30))).otherwise(F.col("host"))
-    return host.join(found, key, "left").select(key, title.alias("title"), F.coalesce("has_title", F.lit(False)).alias("has_title"), F.coalesce("body_words", F.lit(0)).alias("body_words"))
+    head = lambda x: x.line.startswith("# ")
+    words = lambda x: F.when(head(x), 0).otherwise(F.size(F.filter(F.split(x.line, r"\s+"), lambda w: w != "")))
+
+    def told(lines: Column) -> Column:
+        first = F.get(F.filter(F.transform(lines, lambda x: F.trim(x.line)), lambda x: x != ""), F.lit(0))
+        return F.struct(first.alias("first"), F.exists(lines, lambda x: ~x.code & head(x)).alias("has_title"), F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + words(x)).alias("body_words"))
+
+    host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1).alias("host")
+    found = docs.select(key, host, let(_coded(F.col(text)), told).alias("t"))
+    title = F.when(F.col("t.first").startswith("# "), F.trim(F.substring("t.first", 3, 1 << 30))).otherwise(F.col("host"))
+    return found.select(key, title.alias("title"), F.coalesce("t.has_title", F.lit(False)).alias("has_title"), F.coalesce("t.body_words", F.lit(0)).alias("body_words"))
 
 
-def _joined(keep: Column) -> Column:
-    """The group's lines for which keep holds, in order, as one text."""
-    rows = F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "line"))))
-    return F.regexp_replace(F.array_join(F.transform(rows, lambda x: x.line), "\n"), r"\A\s+|\s+\z", "")
+def _joined(lines: Column) -> Column:
+    """Lines as one text without white space around it."""
+    return F.regexp_replace(_text(lines), r"\A\s+|\s+\z", "")
 
 
-def _parts(docs: DataFrame, key: str, text: Column, heading: str, fenced: bool) -> DataFrame:
-    """Lines with head (whether a heading opens a part there) and part (0 before the first heading)."""
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = fenced_lines(docs, key, text) if fenced else _lines(docs, key, text).withColumn("code", F.lit(False))
-    lines = lines.withColumn("head", ~F.col("code") & F.col("line").rlike(heading))
-    return lines.withColumn("part", F.sum(F.col("head").cast("int")).over(upto))
+def _parts(docs: DataFrame, key: str, lines: Column, heading: str) -> DataFrame:
+    """(key, ord, head, body): what stands under each heading outside of fences, numbered from 1; head is its line."""
+
+    def parts(lines: Column) -> Column:
+        heads = F.filter(lines, lambda x: ~x.code & x.line.rlike(heading))
+        upto = lambda h, i, x: F.slice(lines, x.pos + 2, F.coalesce(F.get(h, i + 1).pos, F.size(lines)) - x.pos - 1)
+        return let(heads, lambda h: F.transform(h, lambda x, i: F.struct((i + 1).cast("int").alias("ord"), x.line.alias("head"), _joined(upto(h, i, x)).alias("body"))))
+
+    return docs.select(key, F.explode_outer(let(lines, parts)).alias("p")).where("p is not null").select(key, "p.*")
 
 
 def sections(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
     """(key, ord, slug, heading, body): parts under level-2 headings, those in fenced code not counting."""
-    lines = _parts(docs, key, T.without_frontmatter(F.col(text)), _HEADING, fenced=True).where("part > 0")
-    found = lines.groupBy(key, "part").agg(
-        F.max(F.when(F.col("head"), T.plain_text(F.regexp_extract("line", _HEADING, 1)))).alias("heading"), _joined(~F.col("head")).alias("body")
-    )
-    return found.select(key, F.col("part").cast("int").alias("ord"), T.slug(F.col("heading")).alias("slug"), "heading", "body")
+    found = _parts(docs, key, _coded(T.without_frontmatter(F.col(text))), _HEADING).withColumn("heading", T.plain_text(F.regexp_extract("head", _HEADING, 1)))
+    return found.select(key, "ord", T.slug(F.col("heading")).alias("slug"), "heading", "body")
 
 
 def introductions(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
     """(key, title, summary, intro): the first level-1 heading, the first paragraph, and what comes before the
     first section, without a hand-written contents list (two and more anchor items in a row)."""
-    lines = _parts(docs, key, F.coalesce(T.without_frontmatter(F.col(text)), F.lit("")), _HEADING, fenced=True)
-    order = Window.partitionBy(key).orderBy("pos")
-    toc = F.col("line").rlike(_TOC)
-    lines = lines.withColumn("toc", toc).withColumn("run", F.sum((~F.col("toc")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = lines.withColumn("n_toc", F.sum((F.col("toc") & (F.col("part") == 0)).cast("int")).over(Window.partitionBy(key, "run")))
-    keep = (F.col("part") == 0) & ~(F.col("toc") & (F.col("n_toc") > 1)) & ~((F.col("pos") == 0) & F.col("line").rlike(_TITLE))
-    says = keep & (F.trim("line") != "") & ~F.col("toc") & ~F.trim("line").rlike(r"^[-*]\s")
-    found = lines.groupBy(key).agg(
-        F.min_by(F.regexp_extract("line", _TITLE, 1), F.when(F.col("line").rlike(_TITLE), F.col("pos"))).alias("title"),
-        F.min_by("line", F.when(says, F.col("pos"))).alias("first"), _joined(keep).alias("intro"),
-    )
+    toc = lambda x: F.coalesce(x.line.rlike(_TOC), F.lit(False))
+
+    def told(lines: Column) -> Column:
+        heads = F.filter(lines, lambda x: ~x.code & x.line.rlike(_HEADING))
+        title = F.get(F.filter(lines, lambda x: x.line.rlike(_TITLE)), F.lit(0)).line
+        ahead = F.slice(lines, F.lit(1), F.coalesce(F.get(heads, F.lit(0)).pos, F.size(lines)))
+
+        def kept(a: Column) -> Column:
+            listed = lambda x, i: toc(x) & (toc(F.get(a, i - 1)) | toc(F.get(a, i + 1)))
+            keep = F.filter(a, lambda x, i: ~listed(x, i) & ~((x.pos == 0) & x.line.rlike(_TITLE)))
+            says = lambda x: (F.trim(x.line) != "") & ~toc(x) & ~F.trim(x.line).rlike(r"^[-*]\s")
+            return let(keep, lambda k: F.struct(F.regexp_extract(title, _TITLE, 1).alias("title"), F.get(F.filter(k, says), F.lit(0)).line.alias("first"), _joined(k).alias("intro")))
+
+        return let(ahead, kept)
+
+    found = docs.select(key, let(_coded(F.coalesce(T.without_frontmatter(F.col(text)), F.lit(""))), told).alias("t"))
     empty = F.lit("")
-    return found.select(key, F.coalesce(T.plain_text(F.col("title")), empty).alias("title"), F.coalesce(T.plain_text(F.col("first")), empty).alias("summary"), F.regexp_replace("intro", r"\n{3,}", "\n\n").alias("intro"))
+    return found.select(key, F.coalesce(T.plain_text(F.col("t.title")), empty).alias("title"), F.coalesce(T.plain_text(F.col("t.first")), empty).alias("summary"), F.regexp_replace("t.intro", r"\n{3,}", "\n\n").alias("intro"))
 
 
 def without_lead(body: Column, lead: Column) -> Column:
@@ -206,34 +236,30 @@ def without_lead(body: Column, lead: Column) -> Column:
 def tables(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
     """(key, tbl, row, heading, cells): rows of pipe tables, numbered; row 0 has the column names. A table is a
     row, a line of dashes, and the rows up to the next line that is neither. heading: the one above, or null."""
-    order = Window.partitionBy(key).orderBy("pos")
+    order = Window.partitionBy("row").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     line = F.trim("line")
     lines = _lines(docs, key, F.col(text)).withColumn("rule", line.rlike(r"^\|?[\s:|-]+\|[\s:|-]*$") & line.contains("-"))
     lines = lines.withColumn("pipe", line.startswith("|")).withColumn("under", F.lag("pipe", 1, False).over(order)).withColumn("ruled", F.lead("rule", 1, False).over(order))
     lines = lines.withColumn("above", F.last(F.when(F.col("line").rlike(r"^#{1,6}\s"), T.plain_text(F.regexp_replace("line", r"^#{1,6}\s+", ""))), ignorenulls=True).over(upto))
     lines = lines.withColumn("block", F.sum((~(F.col("pipe") | (F.col("rule") & F.col("under")))).cast("int")).over(upto))
-    inside = Window.partitionBy(key, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("row", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("rules", F.sum(F.col("rule").cast("int")).over(inside))
     head = F.col("pipe") & F.col("ruled") & (F.col("rules") == F.col("rule").cast("int")) & (F.col("rules") == 0)
     lines = lines.withColumn("head", head).where(F.col("head") | (F.col("pipe") & ~F.col("rule") & (F.col("rules") == 1)))
     lines = lines.withColumn("tbl", F.sum(F.col("head").cast("int")).over(upto) - 1).where("tbl >= 0")
     cells = F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    number = F.row_number().over(Window.partitionBy(key, "tbl").orderBy("pos")) - 1
-    return lines.select(key, F.col("tbl").cast("int").alias("tbl"), number.alias("row"), F.col("above").alias("heading"), cells.alias("cells"))
+    number = F.row_number().over(Window.partitionBy("row", "tbl").orderBy("pos")) - 1
+    return lines.select(key, F.col("tbl").cast("int").alias("tbl"), number.alias("number"), F.col("above").alias("heading"), cells.alias("cells")).withColumnRenamed("number", "row")
 
 
 def releases(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:
     """(key, ord, version, url, released, body, plain, latest) of a change log, in its order; a level-2 heading
     that isn't one of a release belongs to the body."""
-    lines = _parts(docs, key, F.col(text), _RELEASE, fenced=False).where("part > 0")
-    got = lambda i: F.nullif(F.regexp_extract("line", _RELEASE, i), F.lit(""))
-    found = lines.groupBy(key, "part").agg(
-        F.max(F.when(F.col("head"), F.struct(F.coalesce(got(1), got(3)).alias("version"), got(2).alias("url"), got(4).alias("released")))).alias("h"),
-        _joined(~F.col("head")).alias("body"),
-    )
+    got = lambda i: F.nullif(F.regexp_extract("head", _RELEASE, i), F.lit(""))
+    found = _parts(docs, key, _uncoded(F.col(text)), _RELEASE).withColumn("h", F.struct(F.coalesce(got(1), got(3)).alias("version"), got(2).alias("url"), got(4).alias("released")))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"\[([^\]]*)\]\([^)]*\)", "$1"), "[#*`]", " "), r"\s+", " "))
-    return found.select(key, F.col("part").cast("int").alias("ord"), F.regexp_replace("h.version", "^v", "").alias("version"), "h.url", "h.released", "body", plain.alias("plain"), (F.col("part") == 1).alias("latest"))
+    return found.select(key, "ord", F.regexp_replace("h.version", "^v", "").alias("version"), "h.url", "h.released", "body", plain.alias("plain"), (F.col("ord") == 1).alias("latest"))
 
 
 def release_notes(docs: DataFrame, key: str = "page_id", text: str = "markdown") -> DataFrame:

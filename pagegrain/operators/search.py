@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import folded
+
 
 def _folded(text: Column, query: Column) -> tuple[Column, Column]:
     """Text and query to compare: as they are where the query has a capital, else both in small letters."""
@@ -24,10 +26,13 @@ def matches(lines: DataFrame, query: Column, key: str = "doc_id", line: str = "l
     found = lines.select(key, line, whole.alias("t"), needle.alias("q")).where("q <> '' and contains(t, q)")
     # Cut by the query as it is: marks of regular expressions in it are quoted.
     cut = F.expr("split(t, concat('\\\\Q', replace(q, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E'), -1)")
-    parts = found.select(key, line, F.length("q").alias("n"), F.posexplode(F.transform(cut, lambda x: F.length(x))).alias("k", "size"))
-    upto = Window.partitionBy(key, line).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("start", F.sum(F.col("size") + F.col("n")).over(upto) - F.col("n")).where("k > 0")
-    return starts.select(key, line, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("stop"))
+    # The pieces' lengths add up inside the row.
+    n = F.length("q")
+    sizes = F.transform(cut, lambda x: F.length(x))
+    step = lambda s, size: ({"at": s["at"] + size + n}, F.array(s["at"] + size))
+    starts = folded(F.slice(sizes, F.lit(1), F.size(sizes) - 1), {"at": F.lit(0)}, step, "array<int>", lambda s: s["out"])
+    rows = found.select(key, line, n.alias("n"), F.explode_outer(starts).alias("start")).where("start is not null")
+    return rows.select(key, line, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("stop"))
 
 
 def nearest_links(lines: DataFrame, screens: DataFrame, key: str) -> DataFrame:

@@ -77,6 +77,25 @@ def q_tidy_markdown(spark, sf_dir):
     return markdown.tidied(_markdown(spark, sf_dir), "doc_id").select("doc_id", F.md5("markdown").alias("digest"))
 
 
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents under fifty keys: many rows share one."""
+    return _markdown(spark, sf_dir).withColumn("key", F.col("doc_id") % 50)
+
+
+@query(_FENCED_D + r""", t as (select doc_id, pos, code, case when code then line when regexp_matches(line, '^[ \t]*(\[[^\]]*\]\([^)]*\)[ \t]*){4,}$') or trim(line) = '<!--THE END-->' then '' else regexp_replace(line, '\s+$', '') end as line from f),
+b as (select *, not code and line = '' as blank, lag(not code and line = '', 1, false) over (partition by doc_id order by pos) as before from t)
+select doc_id % 50 as key, md5(string_agg(line, chr(10) order by pos)) as digest from b where not (blank and before) group by doc_id""")
+def q_tidy_shared_keys(spark, sf_dir):
+    return markdown.tidied(_shared(spark, sf_dir), "key").select("key", F.md5("markdown").alias("digest"))
+
+
+@query(_FENCED_D + r""", h as (select *, not code and regexp_matches(line, '^##\s+(.+?)\s*$') as head from f),
+p as (select *, sum(head::int) over (partition by doc_id order by pos) as part from h)
+select doc_id % 50 as key, part::int as ord, md5(regexp_replace(coalesce(string_agg(line, chr(10) order by pos) filter (not head), ''), '^\s+|\s+$', '', 'g')) as body from p where part > 0 group by doc_id, part""")
+def q_sections_shared_keys(spark, sf_dir):
+    return markdown.sections(_shared(spark, sf_dir), "key").select("key", "ord", F.md5("body").alias("body"))
+
+
 @query(_FENCED_D + r""", s as (select *, trim(line) as said, coalesce(sum(code::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as fences from f),
 l as (select *, last_value(case when not code and said <> '' then {'s': said, 'f': fences} end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as last from s)
 select doc_id, md5(string_agg(line, chr(10) order by pos)) as digest from l where not coalesce(not code and (contains(said, '](') or regexp_matches(said, '^!?\[image:')) and said = last.s and fences = last.f, false) group by doc_id""")
@@ -132,9 +151,41 @@ def q_search_spans(spark, sf_dir):
     return found[0].unionAll(found[1])
 
 
+@query("select line % 3 as key, 0 as line, start, stop from (" + _SPAN_D.format(n=3, text="lower(text)", q="the") + ")")
+def q_spans_shared_keys(spark, sf_dir):
+    """Spans of lines that share their key and number."""
+    lines = _table(spark, sf_dir, "documents").select(F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return search.matches(lines.select((F.col("line") % 3).cast("long").alias("key"), F.lit(0).alias("line"), "text"), F.lit("the"), "key")
+
+
 _LINK_D = r"""(select page_id, url, generate_subscripts(l, 1) - 1 as ord, unnest(l) as href from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) as l from pages))"""
 
 
+#: Pages with links in comments and scripts, addresses with entities, in other quotes and in capitals.
+_ODD = ("""<!-- <a href="/in/comment">x</a> --><script>s = '<a href="/in/script">y</a>'</script><A class='k>l' HREF='/q?a=1&amp;b=""", """&#38;c=&#x20ac;&#233;'>z</A><a title="t" href=#top>""")
+
+
+def _odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.concat(F.lit(_ODD[0]), F.col("page_id").cast("string"), F.lit(_ODD[1]), "html")
+    return _table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+#: Every page has two odd links ahead of its own.
+_ODD_D = f"""(select page_id, url, 0 as ord, '/q?a=1&b=' || page_id || '&c=€é' as href from pages union all select page_id, url, 1, '#top' from pages
+ union all select page_id, url, ord + 2, replace(replace(replace(href, '&quot;', '"'), '&lt;', '<'), '&amp;', '&') from {_LINK_D})"""
+_KIND_D = "case when href = '' then 'unsupported' when starts_with(href, '#') then 'anchor' when starts_with(href, 'file:') then 'file' when regexp_matches(href, '^https?://') or starts_with(href, '/') then 'web' when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then 'unsupported' else 'web' end"
+
+
+@query(f"select page_id, url, ord::int as ord, href, {_KIND_D} as kind from {_ODD_D}")
+def q_odd_anchors(spark, sf_dir):
+    return extraction.anchors(_odd_pages(spark, sf_dir)).withColumn("kind", extraction.link_kind(F.col("href")))
+
+
+@query(f"select page_id, href, (row_number() over (partition by page_id order by first, href))::int as link_id, n from (select page_id, href, min(ord) as first, count(*) as n from {_ODD_D} group by page_id, href)")
+def q_odd_destinations(spark, sf_dir):
+    return extraction.destinations(extraction.anchors(_odd_pages(spark, sf_dir)))
+
+
 @query(f"select page_id, url, ord::int as ord, href from {_LINK_D}")
 def q_page_anchors(spark, sf_dir):
     return extraction.anchors(_table(spark, sf_dir, "pages"))

@@ -98,3 +98,25 @@ def test_odd_pages_end_well():
     assert md("<table><tr><td>a<table><tr><td>b</td><td>c</td></tr></table></td></tr></table>") == "| a b c |\n| --- |"
     assert md("<p title='a>b'>one</p><!-- <p>no</p> --><p>two<!-- never closed") == "one\n\ntwo"
     assert md("<script>if (a < b) '</p>'</script><p>x &lt; y</p>") == "x < y"
+
+
+def test_many_siblings_take_linear_time():
+    import time
+
+    from pagegrain.functions.html import extract
+
+    for part in ('<script>x</script>', '<a href="#x"></a>', '<div class="sidebar">s</div>', '<h2>t<a href="#y">k</a></h2>', '<a href="/z"><div>u</div></a>'):
+        began = time.perf_counter()
+        extract(f"<html><body><article><p>{'word ' * 200}</p>{part * 32_000}</article></body></html>", "http://a.example/")
+        assert time.perf_counter() - began < 8, part
+
+
+def test_anchors_of_odd_pages(spark):
+    from pyspark.sql import functions as F
+
+    from pagegrain.operators import extraction
+
+    html = """<!-- <a href="/c">x</a> --><SCRIPT>'<a href="/s">'</SCRIPT><a href="b?x=1&amp;y=2&#38;z=&#x20AC;&#0;&bogus;">1</a><a href='&lt;&quot;&amp;lt;'>2</a><a href=/plain>3</a><!-- open <a href="/never">"""
+    pages = spark.createDataFrame([(1, "http://a.example/", html), (2, None, None)], "page_id int, url string, html string")
+    assert [r.href for r in extraction.anchors(pages).orderBy("ord").collect()] == ["b?x=1&y=2&z=€&#0;&bogus;", '<"&lt;', "/plain"]
+    assert spark.range(1).select(extraction.unescaped(F.lit("&#97;mp; &#x1F600; &#1114112; a&b"))).first()[0] == "amp; 😀 &#1114112; a&b"

@@ -119,3 +119,31 @@ def test_fences_and_spans(spark):
     found = lambda q: sorted((r.line, r.start, r.stop) for r in search.matches(lines, F.lit(q)).collect())
     assert found("aa") == [(0, 8, 10), (0, 10, 12)] and found("a.a") == [(0, 4, 7), (1, 0, 3)] and found("A.A") == [(1, 0, 3)]
     assert found("é") == [(0, 13, 14)] and found("") == [] and found("\\E") == []
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    docs = spark.createDataFrame([(1, "## A\n\n\none"), (1, "x\n## B\ntwo\n\n\n[l](u)\n[l](u)")], "page_id int, markdown string")
+    assert sorted(r.markdown for r in M.tidied(docs).collect()) == ["## A\n\none", "x\n## B\ntwo\n\n[l](u)\n[l](u)"]
+    assert sorted((r.ord, r.heading, r.body) for r in M.sections(docs).collect()) == [(1, "A", "one"), (1, "B", "two\n\n\n[l](u)\n[l](u)")]
+    assert sorted(r.markdown for r in M.without_repeated_links(docs).collect()) == ["## A\n\n\none", "x\n## B\ntwo\n\n\n[l](u)"]
+    two = spark.createDataFrame([(1, "|a|\n|-|\n|b|"), (1, "|c|\n|-|\n|d|")], "page_id int, markdown string")
+    assert sorted((r.tbl, r.row, r.cells[0]) for r in M.tables(two).collect()) == [(0, 0, "a"), (0, 0, "c"), (0, 1, "b"), (0, 1, "d")]
+    from pagegrain.operators import search
+
+    lines = spark.createDataFrame([(1, 0, "the the"), (1, 0, "a the")], "doc_id int, line int, text string")
+    assert sorted((r.start, r.stop) for r in search.matches(lines, F.lit("the")).collect()) == [(0, 3), (2, 5), (4, 7)]
+
+
+def test_many_fences_and_spans_take_linear_time(spark):
+    import time
+
+    from pagegrain.operators import search
+
+    docs = spark.createDataFrame([(1, "```\n" * 64_000)], "page_id int, markdown string").cache()
+    M.fenced_lines(docs).count()
+    began = time.perf_counter()
+    assert M.fenced_lines(docs).where("code").count() == 64_000
+    assert time.perf_counter() - began < 6
+    lines = spark.createDataFrame([(1, 0, "ab" * 30_000)], "doc_id int, line int, text string")
+    got = search.matches(lines, F.lit("a")).agg(F.count("*"), F.max("start"), F.sum("start")).first()
+    assert tuple(got) == (30_000, 59_998, sum(range(0, 60_000, 2)))
