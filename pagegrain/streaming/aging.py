@@ -72,6 +72,21 @@ def _checked(s: dict, r: dict) -> tuple[dict, dict]:
 CHECKS = Fold(lambda: {"latest": None, "checked": None, "failed": None, "told": None, "seen": None}, _checked, ("current", "found"), "asked boolean, newer boolean, announce boolean, just_updated boolean")
 
 
+#: Milliseconds and columns that two clicks of one run are apart at most.
+CLICK_MS, CLICK_COLUMNS = 450, 1
+
+
+def _clicked(s: list, r: dict) -> tuple[list, dict]:
+    line, col, at, clicks = s
+    near = at is not None and r["at_ms"] - at < CLICK_MS and r["line"] == line and abs(r["col"] - col) <= CLICK_COLUMNS
+    clicks = clicks + 1 if near else 1
+    return [r["line"], r["col"], r["at_ms"], clicks], {"clicks": clicks}
+
+
+#: Clicks of a session (line, col): how many in a row, on one line and near the last one.
+CLICKS = Fold(lambda: [None, None, None, 0], _clicked, ("line", "col"), "clicks int")
+
+
 def _advance(fold: Fold, held: dict | None, row: dict, idle_ms: int) -> tuple[dict, dict] | None:
     """The state after a row, and its output; None for a row that a later one of its key has overtaken. A key that was silent for
     longer than idle_ms begins anew."""
