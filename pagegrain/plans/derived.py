@@ -233,20 +233,6 @@ def q_colour_state(spark, sf_dir):
     return docs.select("doc_id", F.array_join(T.open_colours(F.col("t")), ",").alias("codes"), F.md5(T.without_colours(F.col("t"))).alias("digest"))
 
 
-_INPUTS = ("https://a.example/x", "http://b.example", "file:///tmp/a.md", "", "  ", "/etc/hosts", "./notes.md", "~/todo.md", "example.com", "example.com:8080/p", "localhost:3000", "printer.local", "10.0.0.7/admin", "172.20.1.1", "two words", "nodot", "what is a*b~c", "a.b c", ".start", "end.", "192.168.1.9:80", "host.example:8a")
-_INPUT_ROWS = ", ".join("({}, '{}')".format(i, x) for i, x in enumerate(_INPUTS))
-
-
-@query(rf"""with i(ord, typed) as (values {_INPUT_ROWS}), s as (select ord, typed, trim(typed) as s from i),
-h as (select *, regexp_extract(s, '^([^/?#]*)', 1) as auth from s),
-k as (select *, not regexp_matches(s, '[ \t]') and (regexp_matches(auth, '(?i)^localhost(:.*)?$') or regexp_matches(auth, '^[^:.][^:]*\.[\pL\p{{Nd}}.-]*[\pL\p{{Nd}}-](:[0-9]*)?$')) as host,
- regexp_matches(auth, '^(localhost|.*\.local|127\..*|10\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*)(:[0-9]+)?$') as own from h)
-select ord, case when s = '' then '' when regexp_matches(s, '^(https?|file)://') then s when starts_with(s, '~/') then 'file:///home/u/' || s[3:] when starts_with(s, '/') then 'file://' || s when starts_with(s, './') then 'file:///home/u/' || s[3:]
- when host then case when own then 'http://' else 'https://' end || s else 'https://html.duckduckgo.com/html/?q=' || replace(replace(url_encode(s), '%20', '+'), '*', '%2A') end as target,
- not (s = '' or regexp_matches(s, '^(https?|file)://') or regexp_matches(s, '^(~/|/|\./)') or host) as is_search from k""")
-def q_typed_addresses(spark, sf_dir):
-    typed = spark.createDataFrame(list(enumerate(_INPUTS)), "ord int, typed string")
-    return typed.select("ord", T.resolved_input(F.col("typed"), home="/home/u").alias("r")).select("ord", "r.target", "r.is_search")
 
 
 _INLINE_S = "concat('**', source, '** `', lang, '` [', source, '](#', lang, ') & <i>x</i>')"
@@ -315,18 +301,6 @@ def q_tool_bookmark_delete(spark, sf_dir):
     return Engine(spark).delete(_bookmarks(spark, sf_dir), "https://view.example/2").select("url", "title", "pos")
 
 
-@query(f"select url, title, pos from {_VISITS_D} where false")
-def q_tool_history_clear(spark, sf_dir):
-    return Engine(spark).clear(_visits(spark, sf_dir)).select("url", "title", "pos")
-
-
-@query("select * from (values ('links', '\"hidden\"'), ('width', '72'), ('wrap', 'true')) as t(name, value)")
-def q_tool_config(spark, sf_dir):
-    """A settings file over defaults (an unknown name and a value of another type have no effect), then one change."""
-    held = files.settings(spark, 'width = 100\nlinks = 3\nother = 1', {"width": 80, "links": "inline", "wrap": True})
-    return Engine(spark).config_set(held, {"links": "hidden", "width": 72})
-
-
 @query("""with c as (select page_id, url, html, case page_id % 3 when 0 then 60 when 1 then 86400 else 4000000 end as age from pages)
 select url, case when age < 120 then 'fresh' when age < 2592000 then 'stale' else 'expired' end as serve, page_id % 2 = 0 as newer from c""")
 def q_cache_refreshes(spark, sf_dir):

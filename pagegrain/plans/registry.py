@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code, text
 from ..operators import extraction, fallback, markdown, memory, sessions
-from . import composed, derived, indexed
+from . import composed, derived, indexed, lookups
 from .relational import RELATIONAL
 from .reports import REPORTS
 
@@ -66,6 +66,6 @@ ORACLES |= {
     "guess_language": code.duckdb_guess(f"select sample, code from (values {_SNIPPETS}) as t(sample, code) union all select doc_id, text from documents"),
     "resolve_input": "select page_id, 'https://' || regexp_replace(url, '^https?://', '') as target, false as is_search from pages",
 }
-QUERIES |= derived.QUERIES | indexed.QUERIES | composed.QUERIES
-ORACLES |= derived.ORACLES | indexed.ORACLES | composed.ORACLES
+QUERIES |= derived.QUERIES | indexed.QUERIES | composed.QUERIES | lookups.QUERIES  # what reads the tables takes the place of what read literals
+ORACLES |= derived.ORACLES | indexed.ORACLES | composed.ORACLES | lookups.ORACLES
 FLAGSHIP = extraction.q_page_metrics

@@ -6,11 +6,6 @@ appear as {name} in Spark's text.
 
 from __future__ import annotations
 
-#: Reading keys by action, in order of precedence.
-_KEYS = "(values (1, 'quit', 'q'), (2, 'top', 'g'), (3, 'bottom', 'G'), (4, 'search', '/'), (5, 'next', 'n'), (6, 'links', 'f'), (7, 'reload', 'r'), (8, 'random', 'r'), (9, 'back', 'q')) as k(ord, action, key)"
-_VERSIONS = "(values ('v1.2.3', '1.2.2'), ('1.2.3', '1.2.3'), ('v1.10.0', 'v1.9.9'), ('1.2.3-rc1', '1.2.2'), ('1.2.3', '1.2.3-rc1'), ('2.0', '1.9.9'), ('dev', '1.0.0')) as v(latest, current)"
-_SIZES = "(values (0), (512), (1023), (1024), (1536), (1048576), (5242880), (1610612736)) as s(n)"
-_HOSTS = "(values ('example.com'), ('localhost'), ('localhost:8080'), ('example.com:80a'), ('two words'), ('nodot'), ('.start'), ('end.'), ('a.b/c?d'), ('192.168.1.7'), ('10.0.0.1:81'), ('printer.local'), ('http://x.org')) as h(input)"
 
 _KIND = "case when {h} = '' then 'unsupported' when {h} like '#%' then 'anchor' when {h} like 'file:%' then 'file' when {h} like 'http://%' or {h} like 'https://%' or {h} like '/%' then 'web' when {h} rlike '^[a-zA-Z][a-zA-Z0-9+.-]*:' then 'unsupported' else 'web' end"
 _kind = _KIND.format(h="href")
@@ -94,7 +89,8 @@ RELATIONAL: dict[str, tuple[tuple[str, ...], str, str]] = {
     "history_anti": _pair("select doc_id, source from {documents} d where not exists (select 1 from {labels} l where l.doc_id = d.doc_id)", "select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)", "documents", "labels"),
     "bookmark_toggle": _pair("select event_type as url from (select distinct event_type from {events}) where event_type <> 'view' union all select x from (values ('view')) as v(x) where not exists (select 1 from {events} where event_type = 'view')", "select event_type as url from (select distinct event_type from events) where event_type <> 'view' union all select x from (values ('view')) as v(x) where not exists (select 1 from events where event_type = 'view')", "events"),
     "omni_suggestions": _pair(
-        f"with h as {_VISITS}, b as (select distinct url, 1 as src, min(pos) over (partition by url) as o from h where user_id < 3), u as (select url, 1 as src, row_number() over (order by o desc) as r from b union all select url, 2 as src, row_number() over (order by max(pos) desc) as r from h group by url) select url, src, cast(row_number() over (order by src, r) as bigint) as rank from (select url, min(src) as src, min_by(r, src) as r from u where src = 2 or r <= 4 group by url) order by src, r limit 8",
+        # The best four marks and the best twelve visited ones are taken first: eight rows in all can't need more.
+        f"with h as {_VISITS}, b as (select url, min(pos) as o from h where user_id < 3 group by url order by o desc, url limit 4), v as (select url, max(pos) as o from h group by url order by o desc, url limit 12), u as (select url, 1 as src, row_number() over (order by o desc) as r from b union all select url, 2 as src, row_number() over (order by o desc) as r from v) select url, src, cast(row_number() over (order by src, r) as bigint) as rank from (select url, min(src) as src, min_by(r, src) as r from u group by url) order by src, r limit 8",
         f"with h as {_VISITS_D}, b as (select distinct url, 1 as src, min(pos) over (partition by url) as o from h where user_id < 3), u as (select url, 1 as src, row_number() over (order by o desc) as r from b union all select url, 2 as src, row_number() over (order by max(pos) desc) as r from h group by url) select url, src, row_number() over (order by src, r) as rank from (select url, min(src) as src, arg_min(r, src) as r from u where src = 2 or r <= 4 group by url) order by src, r limit 8", "events"),
     "multi_click_runs": _pair(
         "select user_id, run, count(*) as clicks from (select user_id, sum(if(gap is null or gap > 45000000, 1, 0)) over (partition by user_id order by event_id) as run from (select user_id, event_id, unix_micros(cast(ts as timestamp)) - unix_micros(cast(lag(ts) over (partition by user_id order by event_id) as timestamp)) as gap from {events})) group by user_id, run",
@@ -116,24 +112,10 @@ RELATIONAL: dict[str, tuple[tuple[str, ...], str, str]] = {
         "select coalesce(b.name, c.name) as name, case when b.ns is null or b.ns = 0 then 'NEW' when c.ns is null or c.ns = 0 then 'GONE' when c.ns > 1.25 * b.ns then 'REGRESSION' when c.ns < 0.75 * b.ns then 'faster' when c.ns > 1.1 * b.ns then 'warning' else 'ok' end as verdict from (select event_type as name, max(event_id) as ns from {events} where ts < timestamp '2024-01-10 00:00:00' group by event_type union all select 'left', 5) b full join (select event_type as name, max(event_id) as ns from {events} where ts >= timestamp '2024-01-10 00:00:00' group by event_type union all select 'come', 7) c on b.name = c.name",
         "select coalesce(b.name, c.name) as name, case when b.ns is null or b.ns = 0 then 'NEW' when c.ns is null or c.ns = 0 then 'GONE' when c.ns > 1.25 * b.ns then 'REGRESSION' when c.ns < 0.75 * b.ns then 'faster' when c.ns > 1.1 * b.ns then 'warning' else 'ok' end as verdict from (select event_type as name, max(event_id) as ns from events where ts < timestamp '2024-01-10 00:00:00' group by event_type union all select 'left', 5) b full join (select event_type as name, max(event_id) as ns from events where ts >= timestamp '2024-01-10 00:00:00' group by event_type union all select 'come', 7) c on b.name = c.name", "events"),
     "coverage_diff": _pair("select doc_id, 'missing' as side from (select doc_id from {documents} except select doc_id from {labels}) union all select doc_id, 'extra' as side from (select doc_id from {labels} except select doc_id from {documents})", "select doc_id, 'missing' as side from (select doc_id from documents except select doc_id from labels) union all select doc_id, 'extra' as side from (select doc_id from labels except select doc_id from documents)", "documents", "labels"),
-    "key_conflicts": _pair(f"select key, action, cast(n as bigint) as n from (select *, row_number() over (partition by key order by ord) as r, count(*) over (partition by key) as n from {_KEYS}) where r = 1"),
-    "semver_order": _pair(
-        f"select latest, current, coalesce((a.x, a.y, a.z) > (b.x, b.y, b.z) or ((a.x, a.y, a.z) = (b.x, b.y, b.z) and b.pre), false) and not coalesce(a.pre, true) as newer from (select latest, current, named_struct('x', try_cast(regexp_extract(latest, '^v?([0-9]+)', 1) as int), 'y', try_cast(regexp_extract(latest, '^v?[0-9]+[.]([0-9]+)', 1) as int), 'z', coalesce(try_cast(regexp_extract(latest, '^v?[0-9]+[.][0-9]+[.]([0-9]+)', 1) as int), 0), 'pre', contains(latest, '-')) as a, named_struct('x', try_cast(regexp_extract(current, '^v?([0-9]+)', 1) as int), 'y', try_cast(regexp_extract(current, '^v?[0-9]+[.]([0-9]+)', 1) as int), 'z', coalesce(try_cast(regexp_extract(current, '^v?[0-9]+[.][0-9]+[.]([0-9]+)', 1) as int), 0), 'pre', contains(current, '-')) as b from {_VERSIONS})".replace("(a.x, a.y, a.z)", "named_struct('x', a.x, 'y', a.y, 'z', a.z)").replace("(b.x, b.y, b.z)", "named_struct('x', b.x, 'y', b.y, 'z', b.z)"),
-        f"select latest, current, coalesce(a > b or (a = b and contains(current, '-')), false) and not contains(latest, '-') as newer from (select latest, current, try_cast(regexp_extract(latest, '^v?([0-9]+)', 1) as int) * 1000000 + try_cast(regexp_extract(latest, '^v?[0-9]+[.]([0-9]+)', 1) as int) * 1000 + coalesce(try_cast(regexp_extract(latest, '^v?[0-9]+[.][0-9]+[.]([0-9]+)', 1) as int), 0) as a, try_cast(regexp_extract(current, '^v?([0-9]+)', 1) as int) * 1000000 + try_cast(regexp_extract(current, '^v?[0-9]+[.]([0-9]+)', 1) as int) * 1000 + coalesce(try_cast(regexp_extract(current, '^v?[0-9]+[.][0-9]+[.]([0-9]+)', 1) as int), 0) as b from {_VERSIONS})"),
-    "human_size": _pair(
-        f"select n, case when n < 1024 then concat(cast(n as string), ' B') when n < 1048576 then format_string('%.1f KB', n / 1024.0D) else format_string('%.1f MB', n / 1048576.0D) end as size from {_SIZES}",
-        f"select n, case when n < 1024 then n::varchar || ' B' when n < 1048576 then printf('%.1f KB', n / 1024.0::double) else printf('%.1f MB', n / 1048576.0::double) end as size from {_SIZES}"),
-    "looks_like_host": _pair(
-        rf"select input, input rlike '^(localhost|[\\p{{L}}\\p{{Nd}}-]+([.][\\p{{L}}\\p{{Nd}}-]+)+)(:[0-9]+)?([/?#][^ ]*)?$' as host, input rlike '^(localhost|[^/:]*[.](local|lan|home|internal|localhost)|127[.][0-9.]+|10[.][0-9.]+|192[.]168[.][0-9.]+)(:[0-9]+)?([/?#].*)?$' as local from {_HOSTS}".replace("{L}", "{{L}}").replace("{Nd}", "{{Nd}}"),
-        rf"select input, regexp_matches(input, '^(localhost|[\pL\p{{Nd}}-]+([.][\pL\p{{Nd}}-]+)+)(:[0-9]+)?([/?#][^ ]*)?$') as host, regexp_matches(input, '^(localhost|[^/:]*[.](local|lan|home|internal|localhost)|127[.][0-9.]+|10[.][0-9.]+|192[.]168[.][0-9.]+)(:[0-9]+)?([/?#].*)?$') as local from {_HOSTS}"),
     "search_url": _pair("select page_id, concat('https://search.example/?q=', replace(replace(url_encode(url), '*', '%2A'), '%7E', '~')) as target from {pages}", "select page_id, 'https://search.example/?q=' || replace(url_encode(url), '%20', '+') as target from pages", "pages"),
-    "slugify": _pair(
-        r"select doc_id, rtrim('-', regexp_replace(regexp_replace(lower(substr(split_part(text, '\n', 1), 1, 60)), '[ _-]+', '-'), '[^\\p{{L}}\\p{{Nd}}-]', '')) as slug from {documents}",
-        r"select doc_id, rtrim(regexp_replace(regexp_replace(lower(substr(split_part(text, chr(10), 1), 1, 60)), '[ _-]+', '-', 'g'), '[^\pL\p{Nd}-]', '', 'g'), '-') as slug from documents", "documents"),
     "json_props": _pair("select event_id, cast(get_json_object(props, '$.k') as bigint) as k from {events}", "select event_id, json_extract_string(props, '$.k')::bigint as k from events", "events"),
     "cache_stats": _pair("select count(*) as entries, sum(length(html)) as size from {pages}", "select count(*) as entries, sum(length(html))::bigint as size from pages", "pages"),
     "turn_neighbours": _pair("select conv_id, turn, lag(turn) over w as before, lead(turn) over w as after from {conversations} window w as (partition by conv_id order by turn)", "select conv_id, turn, lag(turn) over w as before, lead(turn) over w as after from conversations window w as (partition by conv_id order by turn)", "conversations"),
-    "hint_labels": _pair("select concat(a, b) as label, cast(row_number() over (order by a, b) as bigint) as ord from (values ('a'), ('s'), ('d'), ('f'), ('g'), ('h'), ('j'), ('k'), ('l')) as x(a) cross join (values ('a'), ('s'), ('d'), ('f'), ('g'), ('h'), ('j'), ('k'), ('l')) as y(b)"),
     "status_hints": _pair(
         "select page_id, status, case when status in (401, 403) then 'refused' when status in (404, 410) then 'gone' when status = 429 then 'wait' when status = 451 then 'legal' when status >= 500 then 'failing' when status >= 400 then 'error' else '' end as hint from (select page_id, element_at(array(200, 301, 401, 403, 404, 408, 410, 418, 429, 451, 500, 503), cast(page_id % 12 as int) + 1) as status from {pages})",
         "select page_id, status, case when status in (401, 403) then 'refused' when status in (404, 410) then 'gone' when status = 429 then 'wait' when status = 451 then 'legal' when status >= 500 then 'failing' when status >= 400 then 'error' else '' end as hint from (select page_id, ([200, 301, 401, 403, 404, 408, 410, 418, 429, 451, 500, 503])[(page_id % 12)::int + 1] as status from pages)", "pages"),

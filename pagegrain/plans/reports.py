@@ -4,28 +4,11 @@ from __future__ import annotations
 
 from .relational import _LINES_D, _LINES_S, _VISITS, _VISITS_D, _pair
 
-#: Default keys of actions, and one's own; an empty list unbinds.
-_DEFAULT = "(values (1, 'top', array('g', 'home')), (2, 'bottom', array('G', 'end')), (3, 'next', array('n', ']')), (4, 'quit', array('q'))) as d(ord, action, keys)"
-_OWN = "(values ('top', array('t')), ('next', cast(array() as array<string>)), ('quit', array('q', 'n'))) as o(action, keys)"
-_DEFAULT_D = "(values (1, 'top', ['g', 'home']), (2, 'bottom', ['G', 'end']), (3, 'next', ['n', ']']), (4, 'quit', ['q'])) as d(ord, action, keys)"
-_OWN_D = "(values ('top', ['t']), ('next', []::varchar[]), ('quit', ['q', 'n'])) as o(action, keys)"
 _SLUG_S = r"regexp_replace(regexp_replace(regexp_replace(lower(text), '[ _-]+', '-'), '[^\\p{{L}}\\p{{Nd}}-]', ''), '-+$', '')"
 _SLUG_D = r"regexp_replace(regexp_replace(regexp_replace(lower(text), '[ _-]+', '-', 'g'), '[^\pL\p{Nd}-]', '', 'g'), '-+$', '')"
 _ELEMENTS = ("p", "a", "li", "h1", "b", "br", "div", "script", "article")
-_LOCALES = "(values ('de_DE.UTF-8'), ('en_US'), ('C'), (''), ('pt'), ('POSIX')) as l(locale)"
-_SUMS = "(values ('aa11  tool_linux.tar.gz'), ('BB22 *tool_mac.zip'), ('broken'), ('cc33  other')) as s(line)"
 
 REPORTS = {
-    "effective_keys": _pair(
-        f"select d.action, array_join(coalesce(o.keys, d.keys), ' ') as keys, o.keys is not null and size(o.keys) = 0 as unbound from {_DEFAULT} left join {_OWN} on d.action = o.action",
-        f"select d.action, array_to_string(coalesce(o.keys, d.keys), ' ') as keys, o.keys is not null and len(o.keys) = 0 as unbound from {_DEFAULT_D} left join {_OWN_D} on d.action = o.action"),
-    "rebound_keys": _pair(
-        f"select action, array_join(array_except(keys, array('n')), ' ') as keys from {_DEFAULT} where action <> 'quit' union all select 'quit', 'n'",
-        f"select action, array_to_string(list_filter(keys, lambda k: k <> 'n'), ' ') as keys from {_DEFAULT_D} where action <> 'quit' union all select 'quit', 'n'"),
-    "accept_language": _pair(
-        f"select locale, case when l in ('', 'C', 'POSIX') or split_part(l, '_', 1) = 'en' then 'en' when contains(l, '_') then concat(replace(l, '_', '-'), ', ', split_part(l, '_', 1), ';q=0.9, en;q=0.6') else concat(l, ', en;q=0.6') end as header from (select locale, split_part(locale, '.', 1) as l from {_LOCALES})"),
-    "checksum_of": _pair(
-        f"select lower(split_part(line, ' ', 1)) as digest, regexp_replace(line, '^[^ ]+ [ *]', '') as name from {_SUMS} where line like '% %'"),
     "section_anchors": _pair(
         f"select doc_id, min(line) as line from (select doc_id, cast(line as bigint) as line, {_SLUG_S} as slug, last_value({_SLUG_S}) over (partition by doc_id order by line rows between unbounded preceding and unbounded following) as wanted from {_LINES_S}) where slug = wanted group by doc_id",
         f"select doc_id, min(line) as line from (select doc_id, line::bigint as line, {_SLUG_D} as slug, last_value({_SLUG_D}) over (partition by doc_id order by line rows between unbounded preceding and unbounded following) as wanted from {_LINES_D}) where slug = wanted group by doc_id", "documents"),
