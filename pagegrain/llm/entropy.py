@@ -5,7 +5,8 @@ every document: the background over all, the target over those labelled as good.
 out its own count, so that a document isn't scored by itself. Words and pairs are counted exactly, as
 64-bit hashes, in tables that grow with the corpus: documents are dealt to chunks of bounded size, each
 chunk counts its own, buckets of the key range add the chunks' counts up, and each chunk gets the
-corpus's counts of its own words and pairs back, in the order in which it gave them.
+corpus's counts of its own words and pairs back, in the order in which it gave them. Many chunks and buckets
+meet in levels: groups of chunks merge their counts of a range before they cut it into finer ones.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import release, small_batches, table, written
+from .common import discard, release, small_batches, table, written
 
 PAIR_SHARE, SMOOTHING = 0.6, 0.5
 #: Bytes of text in a chunk, and for each bucket of keys; a text that a chunk begins with may be longer.
 CHUNK, BUCKET = 8 << 20, 16 << 20
+#: Ranges of keys into which a chunk's counts are cut, and chunks whose counts are merged, at a time: with more buckets than that, counts go to
+#: them in levels, so that rows grow with the input times the levels, not with its square.
+FAN = 512
 
 
 def _keys(w: grams.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,6 +146,63 @@ def _add_up(requests: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([*(requests.column(c) for c in ("chunk", "at", "bucket", "n")), *(pa.array(x, pa.binary()) for x in out), *(pa.array(x) for x in first)], names=[x.split()[0] for x in ANSWER.split(", ")])
 
 
+def _keys_of(requests: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(_unpacked(x.as_py(), n), dtype=np.uint64) for x, n in zip(requests.column("keys"), requests.column("n").to_numpy(), strict=True)]
+
+
+def _merger(finer: int, groups: int):
+    #: Where each finer range's keys begin.
+    begins = np.array([(b << 64) // finer for b in range(finer)], np.uint64)
+
+    def merge(requests: pa.Table) -> pa.Table:
+        """The counts of one range by one group of chunks, as requests of one chunk for finer ranges."""
+        sizes = requests.column("n").to_numpy()
+        key, place = np.unique(np.concatenate(_keys_of(requests)), return_inverse=True)
+        totals = [np.bincount(place, np.concatenate([_unpacked(x.as_py(), n) for x, n in zip(requests.column(c), sizes, strict=True)]), minlength=len(key)).astype(np.int64) for c in ("target", "background")]
+        chunk = requests.column("bucket")[0].as_py() * groups + requests.column("grp")[0].as_py()
+        cuts = np.append(np.searchsorted(key, begins), len(key))
+        rows = [(chunk, 0, int(b), int(cuts[b + 1] - cuts[b]), _packed(np.diff(key[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))), *(_packed(t[cuts[b] : cuts[b + 1]]) for t in totals)) for b in np.flatnonzero(cuts[1:] > cuts[:-1])]
+        kinds = [pa.int64()] * 4 + [pa.binary()] * 3
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in REQUEST.split(", ")])
+
+    return merge
+
+
+def _spread(requests: pa.Table, answers: pa.Table) -> pa.Table:
+    """The corpus's counts of each of a group's requests, from those of the keys that the group has merged."""
+    answers = answers.sort_by("bucket")
+    keys = _keys_of(requests)
+    merged = np.unique(np.concatenate(keys))
+    out = []
+    for c in ("target", "background"):
+        total = np.concatenate([_unpacked(x.as_py(), n) for x, n in zip(answers.column(c), answers.column("n").to_numpy(), strict=True)])
+        if len(total) != len(merged):
+            raise ValueError(f"{len(total)} counts for {len(merged)} words and pairs")
+        out.append(pa.array([_packed(total[np.searchsorted(merged, k)]) for k in keys], pa.binary()))
+    return pa.Table.from_arrays([*(requests.column(c) for c in ("chunk", "at", "bucket", "n")), *out], names=["chunk", "at", "bucket", "n", "target", "background"])
+
+
+def _answered(spark: SparkSession, requests: DataFrame, ranges: int, buckets: int, chunks: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """(answers, (distinct words, the target's words, all words)) to requests whose keys are cut into `ranges`, about `chunks` of them each."""
+    if ranges >= buckets:
+        answers = written(spark, requests.groupBy("bucket").applyInArrow(_add_up, ANSWER), "counts")
+        release(spark)
+        sums = tuple(x or 0 for x in answers.agg(F.sum("types"), F.sum("target_tokens"), F.sum("tokens")).first())
+        return answers.drop("types", "target_tokens", "tokens"), sums
+    groups = chunks // FAN + 1
+    finer = ranges * min(FAN, -(-buckets // ranges))
+    rows = written(spark, requests.withColumn("grp", F.expr(f"pmod(xxhash64(chunk), {groups})")), "requests")
+    release(spark)
+    merged = rows.groupBy("bucket", "grp").applyInArrow(_merger(finer, groups), REQUEST)
+    answers, sums = _answered(spark, merged, finer, buckets, groups)
+    answers = answers.withColumn("up", F.expr(f"chunk div {groups}")).withColumn("grp", F.expr(f"chunk % {groups}"))
+    out = rows.groupBy("bucket", "grp").cogroup(answers.groupBy("up", "grp")).applyInArrow(_spread, "chunk bigint, at bigint, bucket bigint, n bigint, target binary, background binary")
+    out = written(spark, out, "spread")
+    release(spark)
+    discard(spark, rows, answers)
+    return out, sums
+
+
 def _loss(words: np.ndarray, pairs: np.ndarray, before: np.ndarray, has: np.ndarray, own: np.ndarray, tokens: int, types: int) -> np.ndarray:
     """-log2 of each word's probability under one model, its own occurrence (`own`: 1 or 0) left out, by
     the counts of each word, of its pair and of the word before."""
@@ -193,11 +254,9 @@ def scored(spark: SparkSession, docs: DataFrame, good: DataFrame, chunk: int = C
         dealt = written(spark, flagged.mapInArrow(_dealer(chunk), "doc_id bigint, text string, target boolean, chunk bigint, at bigint"), "dealt")
         release(spark)
         size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        requests = dealt.mapInArrow(_counter(size // bucket + 1), REQUEST)
-        answers = written(spark, requests.groupBy("bucket").applyInArrow(_add_up, ANSWER), "counts")
-        release(spark)
-        types, *tokens = (x or 0 for x in answers.agg(F.sum("types"), F.sum("target_tokens"), F.sum("tokens")).first())
-        answers = answers.drop("types", "target_tokens", "tokens")
+        buckets = size // bucket + 1
+        requests = dealt.mapInArrow(_counter(min(buckets, FAN)), REQUEST)
+        answers, (types, *tokens) = _answered(spark, requests, min(buckets, FAN), buckets, size // chunk + 1)
         scores = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(tuple(tokens), types), "doc_id bigint, n_tokens bigint, ce_target double, ce_background double")
         out = written(spark, scores, "scores")
         release(spark)

@@ -8,7 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagegrain.llm import bayes, languages, paragraphs
+from pagegrain.llm import bayes, entropy, languages, paragraphs
+from pagegrain.llm.common import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def _plain_em(words, allowed, k, rounds):
@@ -155,3 +158,13 @@ def test_paragraph_classes_against_all_pairs(spark):
         assert len({lines[i] for i in c}) == 1
     for c in classes.values():  # the first one stays
         assert [r.doc_id for r in c if not r.removed] == [min(r.doc_id for r in c)] and all(r.n_class == len(c) for r in c)
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_counts_that_meet_in_levels_are_the_same(spark, monkeypatch, fan):
+    docs, good = table(spark, SF, "documents"), table(spark, SF, "labels").where("quality = 1").select("doc_id")
+    want = sorted(map(tuple, entropy.scored(spark, docs, good).collect()))
+    monkeypatch.setattr(entropy, "FAN", fan)  # some 25 buckets and as many chunks: three levels and more, and two
+    got = sorted(map(tuple, entropy.scored(spark, docs.repartition(5), good, chunk=10_000, bucket=10_000).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.array([r[2:] for r in got], float) == pytest.approx(np.array([r[2:] for r in want], float), abs=1e-9, nan_ok=True)
