@@ -49,6 +49,15 @@ def inline_html(c: Column) -> Column:
     return F.regexp_replace(c, "`([^`]*)`", "<code>$1</code>")
 
 
+def stripped_links(c: Column) -> Column:
+    """Links and images give the text that they show, brackets in it unescaped; the rest stays as it is. Control characters 1 and 2, which sanitising takes out, must not
+    be there: they mark the texts in between."""
+    marked = F.regexp_replace(c, r"!?\[((?:[^\]\\]|\\.)*)\]\([^)]*\)", "\x01$1\x02")
+    shown = lambda x: F.replace(F.replace(F.substring_index(x, "\x02", 1), F.lit("\\["), F.lit("[")), F.lit("\\]"), F.lit("]"))
+    rest = lambda x: F.substr(x, F.locate("\x02", x) + 1)
+    return F.array_join(F.transform(F.split(marked, "\x01"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(shown(x), rest(x)))), "")
+
+
 def md_escape(c: Column) -> Column:
     """One line, with brackets, backslashes and backticks escaped."""
     return F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"([\[\]\\`])", r"\\$1")

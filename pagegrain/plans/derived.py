@@ -118,13 +118,17 @@ def q_markdown_anomalies(spark, sf_dir):
     return markdown.anomalies(_markdown(spark, sf_dir), "doc_id")
 
 
-@query(r"""with m as (select doc_id, string_agg(x, chr(10) order by i) as t from (select doc_id, i, """ + _CASES_D + r""" as x from (select doc_id, unnest(l) as x, generate_subscripts(l, 1) - 1 as i from (select doc_id, string_split(text, chr(10)) as l from documents))) group by doc_id)
+@query(r"""with l as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) - 1 as i from (select doc_id, string_split(text, chr(10)) as l from documents)),
+m as (select doc_id, string_agg(x, chr(10) order by i) || chr(10) || string_agg(y, chr(10) order by i) as t from (select doc_id, i, """ + _CASES_D + r""" as x, case i % 3 when 0 then '| ' || x || ' |' when 1 then ' - ' || x else i || '. ![a](b) ' || x end as y from l) group by doc_id)
 select doc_id, len(regexp_extract_all(t, '(?m)^#{1,6}\s'))::bigint as md_headings, (len(regexp_extract_all(t, '(?m)^(`{3,}|~{3,})')) // 2)::bigint as md_fences, len(regexp_extract_all(t, '(?m)^`{3,}([A-Za-z0-9+#._-]+)'))::bigint as md_fence_langs,
- len(regexp_extract_all(t, '!?\[image:'))::bigint as md_images, len(regexp_extract_all(t, '\[[^\]]*\]\([^)]*\)'))::bigint as md_links,
+ len(regexp_extract_all(t, '(?m)^\|.*\|\s*$'))::bigint as md_tables, len(regexp_extract_all(t, '(?m)^\s*(?:\[[^\]]*\]\([^)]*\)\s*)+$'))::bigint as md_bare_links, len(regexp_extract_all(t, '(?m)^\s*(?:[-*+]|[0-9]+\.)\s'))::bigint as md_lists,
+ len(regexp_extract_all(t, '!?\[image:'))::bigint as md_images, len(list_filter(regexp_extract_all(t, '!?\[[^\]]*\]\([^)]*\)'), lambda x: not starts_with(x, '!')))::bigint as md_links,
  len(string_split(t, chr(10)))::bigint - 1 as md_lines, regexp_matches(t, '^\s*#\s+\S') as md_has_title from m""")
 def q_markdown_structure(spark, sf_dir):
-    text = _markdown(spark, sf_dir)
-    return text.select("doc_id", *markdown.structure(F.col("markdown"))).drop("md_tables", "md_bare_links", "md_lists")
+    """All counts, of Markdown that also has tables, lists and images."""
+    more = F.expr("array_join(transform(split(text, '\n'), (x, i) -> case i % 3 when 0 then concat('| ', x, ' |') when 1 then concat(' - ', x) else concat(i, '. ![a](b) ', x) end), '\n')")
+    rich = _markdown(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", more.alias("more")), "doc_id").withColumn("markdown", F.concat_ws("\n", "markdown", "more"))
+    return rich.select("doc_id", *markdown.structure(F.col("markdown")))
 
 
 _LEAK_WORDS = ("All rights reserved", "read more", "Share this", "cookies", "Twitter and Facebook", "main menu", "premium", "nothing")
@@ -235,37 +239,6 @@ def q_colour_state(spark, sf_dir):
 
 
 
-_INLINE_S = "concat('**', source, '** `', lang, '` [', source, '](#', lang, ') & <i>x</i>')"
-_INLINE_D = "'**' || source || '** `' || coalesce(lang, 'x') || '` [' || source || '](#' || coalesce(lang, 'x') || ') & <i>x</i>'"
-
-
-@query(f"""select doc_id, source || ' ' || coalesce(lang, 'x') || ' ' || source || ' & <i>x</i>' as plain, source || ' ' || coalesce(lang, 'x') || ' ' || source || ' & x' as body,
- '**' || source || '** <code>' || coalesce(lang, 'x') || '</code> [' || source || '](#' || coalesce(lang, 'x') || ') &amp; &lt;i&gt;x&lt;/i&gt;' as html, '\\[a\\]\\`b' as escaped, 'rest of it' as matter, 'go_back_to_url' as snake from documents""")
-def q_inline_texts(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("x"))).selectExpr("doc_id", f"{_INLINE_S} t")
-    t = F.col("t")
-    body = F.trim(F.regexp_replace(T.plain_body(t), r"\s+", " "))
-    return docs.select(
-        "doc_id", T.plain_text(t).alias("plain"), body.alias("body"), T.inline_html(t).alias("html"), T.md_escape(F.lit(" [a]`b ")).alias("escaped"),
-        T.without_frontmatter(F.lit("---\ntitle: x\n---\nrest of it")).alias("matter"), T.snake(F.lit("goBackToURL")).alias("snake"),
-    )
-
-
-@query("""with l as (select doc_id, (generate_subscripts(l, 1) - 1)::bigint as i, unnest(l) as x from (select doc_id, string_split(text, chr(10)) as l from documents))
-select doc_id, (i // 3)::int as tbl, (i % 3 + 1)::int as row, 'a' || i as first, 'b' as second from l""")
-def q_pipe_tables(spark, sf_dir):
-    """Tables of three rows: a document of n lines has n rows in them."""
-    cell = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, "\n| h | k |\n| --- | --- |\n").otherwise(""), F.lit("| a"), i.cast("string"), F.lit(" | b |")))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.array_join(cell, "\n").alias("markdown"))
-    return markdown.tables(docs, "doc_id").where("row > 0").select("doc_id", "tbl", "row", F.col("cells")[0].alias("first"), F.col("cells")[1].alias("second"))
-
-
-@query("""select doc_id, (i + 1)::int as ord, '1.' || (n - i) || '.0' as version, 'https://x/' || i as url, '2024-01-02' as released, 'it changed' as plain, i = 0 as latest
-from (select doc_id, unnest(range((doc_id % 4) + 1)) as i, (doc_id % 4) + 1 as n from documents)""")
-def q_change_logs(spark, sf_dir):
-    part = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), lambda i: F.concat(F.lit("## [1."), (F.col("doc_id") % 4 + 1 - i).cast("string"), F.lit(".0](https://x/"), i.cast("string"), F.lit(") (2024-01-02)\n\n### it\n\n* **changed**\n")))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Log\n"), F.array_join(part, "\n")).alias("markdown"))
-    return markdown.releases(docs, "doc_id").select("doc_id", "ord", "version", "url", "released", F.regexp_replace("plain", r"\s+", " ").alias("plain"), "latest")
 
 
 _VISITS = ("event_id pos", "concat('https://', event_type, '.example/', cast(user_id % 40 as string)) url", "if(user_id % 3 = 0, '', concat('T', cast(event_id % 7 as string))) title", "ts at")

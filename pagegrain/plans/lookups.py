@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions import lookups as L
 from ..functions import text as T
+from ..operators import markdown
+from ..sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,3 +180,87 @@ def q_slugify(spark, sf_dir):
     line = F.split(F.coalesce("text", F.lit("")), "\n")[0]
     slug = F.regexp_replace(F.regexp_replace(F.lower(line), "[ _-]+", "-"), r"[^\p{L}\p{Nd}-]", "")
     return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(slug, r"-+\z", "").alias("slug"))
+
+
+#: The first words of a document, small ASCII letters, six of them with `none` for what is missing.
+_SIX = "list_concat(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+')[:6], lambda x: lower(x)), ['none', 'none', 'none', 'none', 'none', 'none'])"
+
+
+def _six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.transform(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-zA-Z]+"), F.lit(0)), 1, 6), lambda x: F.lower(x))
+    padded = F.concat(words, F.array(*[F.lit("none")] * 6))
+    return _table(spark, sf_dir, "documents").select("doc_id", padded.alias("w")).selectExpr("doc_id", *[f"w[{i}] w{i}" for i in range(6)])
+
+
+@query(f"""with w as (select doc_id, {_SIX} as w from documents)
+select doc_id, w[1] || ' ' || w[2] || ' ' || w[3] || ' & <i>' || w[4] || '</i>' as plain, w[1] || ' ' || w[2] || ' ' || w[3] || ' & ' || w[4] as body, '**' || w[1] || '** <code>' || w[2] || '</code> [' || w[3] || '](#' || w[4] || ') &amp; &lt;i&gt;' || w[4] || '&lt;/i&gt;' as html,
+ '\\[' || w[1] || '\\]\\`' || w[2] || ' ' || w[3] as escaped, w[4] || chr(10) || '---' || chr(10) || w[5] as matter, w[5] || '_' || w[6] || '_to_url' as snake from w""")
+def q_inline_texts(spark, sf_dir):
+    rows = _six(spark, sf_dir)
+    inline = F.format_string("**%s** `%s` [%s](#%s) & <i>%s</i>", "w0", "w1", "w2", "w3", "w3")
+    return rows.select(
+        "doc_id", T.plain_text(inline).alias("plain"), T.plain_body(inline).alias("body"), T.inline_html(inline).alias("html"), T.md_escape(F.format_string(" [%s]`%s\n %s", "w0", "w1", "w2")).alias("escaped"),
+        T.without_frontmatter(F.format_string("---\n%s: %s\n---\n%s\n---\n%s", "w1", "w2", "w3", "w4")).alias("matter"), T.snake(F.concat("w4", F.initcap("w5"), F.lit("ToURL"))).alias("snake"),
+    )
+
+
+@query(f"""with w as (select doc_id, {_SIX} as w from documents) select doc_id, '[image: ' || w[1] || '] ' || w[2] || ' ' || w[3] || ' ' || w[5] || '(' || w[6] || ') \\[' || w[4] || '\\]' as plain from w""")
+def q_strip_links(spark, sf_dir):
+    text = F.format_string("[\\[image: %s\\]](https://x/%s) %s ![%s](y) [%s](z)(%s) \\[%s\\]", "w0", "w1", "w1", "w2", "w4", "w5", "w3")
+    return _six(spark, sf_dir).select("doc_id", T.stripped_links(text).alias("plain"))
+
+
+#: Lines of a document that can stand in a table's cells, two words of each; and those that make a release.
+@query(r"""with l as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: len(regexp_extract_all(x, '[a-zA-Z]+')) > 1) as l from documents),
+e as (select doc_id, generate_subscripts(l, 1) - 1 as i, regexp_extract_all(unnest(l), '[a-zA-Z]+') as w from l)
+select doc_id, (i // 4)::int as tbl, (i % 4)::int as row, w[1] as first, w[2] as second, case when i >= 4 then 'At ' || (i // 4) end as heading from e""")
+def q_pipe_tables(spark, sf_dir):
+    """Tables of four rows, the first one the head, each under a heading but the first."""
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_extract_all(x, F.lit("[a-zA-Z]+"), F.lit(0)))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.filter(words, lambda w: F.size(w) > 1).alias("w"))
+    head = lambda i: F.when(i % 4 == 0, F.when(i > 0, F.concat(F.lit("\n## At "), F.floor(i / 4).cast("string"), F.lit("\n\n"))).otherwise("")).otherwise("")
+    row = F.transform("w", lambda w, i: F.concat(head(i), F.lit("| "), w[0], F.lit(" |"), w[1], F.lit(" |"), F.when(i % 4 == 0, "\n|:--|--:|").otherwise("")))
+    found = markdown.tables(docs.select("doc_id", F.array_join(row, "\n").alias("markdown")), "doc_id")
+    return found.select("doc_id", "tbl", "row", F.col("cells")[0].alias("first"), F.col("cells")[1].alias("second"), "heading")
+
+
+@query(r"""with l as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '\S')) as l from documents),
+e as (select doc_id, generate_subscripts(l, 1) - 1 as i, unnest(l) as x from l)
+select doc_id, (i + 1)::int as ord, (i % 3) || '.' || (doc_id % 10) || '.' || i as version, case when i % 2 = 0 then 'https://x/' || i end as url, case when i % 3 = 0 then '2024-01-0' || (i % 9 + 1) end as released,
+ trim(regexp_replace(regexp_replace(regexp_replace('### it' || chr(10) || chr(10) || '* **changed** ' || x, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#*`]', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) as plain, i = 0 as latest from e""")
+def q_change_logs(spark, sf_dir):
+    """A release a line, with and without links and dates."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"))
+
+    def release(x, i):
+        version = F.concat((i % 3).cast("string"), F.lit("."), (F.col("doc_id") % 10).cast("string"), F.lit("."), i.cast("string"))
+        named = F.when(i % 2 == 0, F.concat(F.lit("["), version, F.lit("](https://x/"), i.cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("v"), version))
+        date = F.when(i % 3 == 0, F.concat(F.lit(" (2024-01-0"), (i % 9 + 1).cast("string"), F.lit(")"))).otherwise("")
+        return F.concat(F.lit("## "), named, date, F.lit("\n\n### it\n\n* **changed** "), x, F.lit("\n"))
+
+    found = markdown.releases(docs.select("doc_id", F.concat(F.lit("# Log\n\n"), F.array_join(F.transform("l", release), "\n")).alias("markdown")), "doc_id")
+    return found.select("doc_id", "ord", "version", "url", "released", F.trim(F.regexp_replace("plain", r"\s+", " ")).alias("plain"), "latest")
+
+
+@query("""with t as (select arg_max(event_type, event_id) as url from events)
+select distinct event_type as url from events where event_type <> (select url from t) union all select url || '!' from t where not exists (select 1 from events where event_type = (select url || '!' from t))""")
+def q_bookmark_toggle(spark, sf_dir):
+    """The kinds of events as bookmarks: the last event's kind goes, one that isn't there comes."""
+    events = _table(spark, sf_dir, "events")
+    marks = events.groupBy(F.col("event_type").alias("url")).agg(F.lit("").alias("title"), F.min("ts").cast("timestamp").alias("at"), F.min("event_id").alias("pos"))
+    last = events.agg(F.max_by("event_type", "event_id")).first()[0]
+    engine = Engine(spark)
+    for url in (last, f"{last}!"):
+        marks = engine.bookmark_toggle(marks, url, "", "2024-02-01 00:00:00")
+    return marks.select("url")
+
+
+@query("""select conv_id, turn, '{"jsonrpc":"2.0","id":' || turn || ',' || case turn % 5 when 4 then '"error":{"code":-32601,"message":"no ' || role || '"}}' when 3 then '"error":{"code":-32603,"message":""}}'
+ else '"result":{' || case when turn % 2 = 0 then '"role":"' || role || '",' else '' end || '"resultType":"complete","_meta":{"server":{"name":"pagegrain","version":"1.0"}}}}' end as reply from conversations where turn % 7 <> 6""")
+def q_reply_envelopes(spark, sf_dir):
+    """Results and errors of several codes; every seventh one is a notification."""
+    rows = _table(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn").alias("key"), F.when(F.col("turn") % 7 != 6, F.col("turn")).alias("id"), F.when(F.col("turn") % 2 == 0, F.format_string('"role":"%s"', "role")).alias("result"),
+        F.when(F.col("turn") % 5 == 4, "method").when(F.col("turn") % 5 == 3, "odd").alias("problem"), F.when(F.col("turn") % 5 == 4, F.concat(F.lit("no "), "role")).alias("message"))
+    return sinks.envelopes(rows, "pagegrain", "1.0", keep="key").select("key.conv_id", "key.turn", "reply")

@@ -44,9 +44,6 @@ RELATIONAL: dict[str, tuple[tuple[str, ...], str, str]] = {
     "sanitize_text": _pair(
         r"select doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]', '') as clean from {documents}",
         r"select doc_id, regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g') as clean from documents", "documents"),
-    "strip_links": _pair(
-        r"select page_id, regexp_replace(concat('[', url, '](', url, ') and text'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '$1') as plain from {pages}",
-        r"select page_id, regexp_replace('[' || url || '](' || url || ') and text', '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g') as plain from pages", "pages"),
     "unicode_fields_count": _pair(
         r"select doc_id, cast(size(filter(split(text, '[\\s\\x85\\p{{Z}}]+'), t -> t <> '')) as bigint) as n from {documents}",
         r"select doc_id, len(list_filter(regexp_split_to_array(text, '[\s\v\x{85}\pZ]+'), lambda t: t <> ''))::bigint as n from documents", "documents"),
@@ -87,7 +84,6 @@ RELATIONAL: dict[str, tuple[tuple[str, ...], str, str]] = {
         "select event_id, case when s < 60 then 'just now' when s < 3600 then (s // 60)::varchar || ' min ago' when s < 172800 then (s // 3600)::varchar || ' h ago' else (s // 86400)::varchar || ' d ago' end as age from (select event_id, (epoch(timestamp '2024-01-31 00:00:00') - floor(epoch(ts)))::bigint as s from events)", "events"),
     "bookmarks_semi": _pair("select doc_id, source from {documents} d where exists (select 1 from {labels} l where l.doc_id = d.doc_id)", "select doc_id, source from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id)", "documents", "labels"),
     "history_anti": _pair("select doc_id, source from {documents} d where not exists (select 1 from {labels} l where l.doc_id = d.doc_id)", "select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)", "documents", "labels"),
-    "bookmark_toggle": _pair("select event_type as url from (select distinct event_type from {events}) where event_type <> 'view' union all select x from (values ('view')) as v(x) where not exists (select 1 from {events} where event_type = 'view')", "select event_type as url from (select distinct event_type from events) where event_type <> 'view' union all select x from (values ('view')) as v(x) where not exists (select 1 from events where event_type = 'view')", "events"),
     "omni_suggestions": _pair(
         # The best four marks and the best twelve visited ones are taken first: eight rows in all can't need more.
         f"with h as {_VISITS}, b as (select url, min(pos) as o from h where user_id < 3 group by url order by o desc, url limit 4), v as (select url, max(pos) as o from h group by url order by o desc, url limit 12), u as (select url, 1 as src, row_number() over (order by o desc) as r from b union all select url, 2 as src, row_number() over (order by o desc) as r from v) select url, src, cast(row_number() over (order by src, r) as bigint) as rank from (select url, min(src) as src, min_by(r, src) as r from u group by url) order by src, r limit 8",

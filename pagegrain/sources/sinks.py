@@ -61,6 +61,25 @@ def replies(results: DataFrame, modern: bool = True, keep: str = "id") -> DataFr
     return results.select(keep, F.when(F.col("error").isNull(), F.to_json(good)).otherwise(F.to_json(bad)).alias("reply"))
 
 
+#: Error codes of the protocol, by what went wrong.
+CODES = {"parse": -32700, "request": -32600, "method": -32601, "params": -32602, "internal": -32603}
+
+
+def envelopes(results: DataFrame, server: str, version: str, modern: bool = True, keep: str = "id") -> DataFrame:
+    """(keep, reply) of (id, result, problem, message): one JSON message a row. result is an object's JSON without its braces (null: an empty object), problem a name in
+    CODES (null: none; any other is an internal one). A modern reply says that its result is complete, and of whom it comes. What has no id is a
+    notification and has no row."""
+    code = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
+    head = F.concat(F.lit('{"jsonrpc":"2.0",'), F.regexp_replace(F.to_json(F.struct("id")), r"\A\{|\}\z", ""), F.lit(","))
+    body = F.coalesce("result", F.lit(""))
+    who = F.to_json(F.struct(F.struct(F.lit(server).alias("name"), F.lit(version).alias("version")).alias("server")))
+    more = F.concat(F.when(body == "", "").otherwise(","), F.lit('"resultType":"complete","_meta":'), who) if modern else F.lit("")
+    good = F.concat(F.lit('"result":{'), body, more, F.lit("}}"))
+    error = F.to_json(F.struct(F.coalesce(F.try_element_at(code, F.col("problem")), F.lit(CODES["internal"])).alias("code"), F.coalesce("message", F.lit("")).alias("message")))
+    bad = F.concat(F.lit('"error":'), error, F.lit("}"))
+    return results.where("id is not null").select(keep, F.concat(head, F.when(F.col("problem").isNull(), good).otherwise(bad)).alias("reply"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report as JSON, and as CSV with nested columns as text and texts cut to 200 characters."""
     report.write.mode("overwrite").json(f"{path}/json")
