@@ -95,7 +95,9 @@ def rule_words(pages: DataFrame) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """The table of pages; where its files make fewer tasks than there are cores, its rows are dealt out anew, as a page costs far more to extract than to move."""
+    pages, cores = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
 def q_extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
