@@ -16,7 +16,7 @@ from .common import BLANKS, table, word_array, word_count
 SYMBOLS = "#*$%&|<>"
 #: Rows at most of the sample on which cost and selectivity are estimated, bytes of each, and files that are read for it: what
 #: a task and the driver hold of it is bounded at every input size. The verdict doesn't depend on it.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_FILES = 400, 1 << 16, 4
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_FILES = 200, 1 << 16, 4
 #: Nanoseconds that a feature takes of a text of __pg_c characters and __pg_n words, in SQL: measured once over 1,500 documents on one core, so
 #: that the order of the rules hangs on the sample and not on what else the machine does.
 COST = {

@@ -20,8 +20,14 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 _own_folder: list[str] = []
 
 
+#: Rows of a table at most that is dealt out anew where it has fewer files than there are cores.
+SMALL_ROWS = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A small one in few files would keep most cores idle, so its rows are dealt out; a large one is read as it lies."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if len(found.inputFiles()) < cores and found.count() <= SMALL_ROWS else found
 
 
 def shared_dir(spark: SparkSession) -> str:
