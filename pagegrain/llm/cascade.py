@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -110,18 +109,18 @@ def arranged(rules: Sequence[Rule], seen: dict[tuple[bool, ...], int], cost: dic
 
 
 def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` texts (__pg_text) of SAMPLE_BYTES at most: of a table's files SAMPLE_FILES, by the hash of their names, and of each the
-    texts of least hash, so that the same table gives the same sample. Of a frame that isn't a plain table, those of its first rows."""
+    """About `rows` texts (__pg_text) of SAMPLE_BYTES at most: of a table's files SAMPLE_FILES, by the hash of their names, and of those the rows whose
+    place's hash is in one of as many classes as leave so many, so that the same table gives the same sample, without a shuffle. Of a frame that isn't a plain
+    table, its first rows."""
     text = F.coalesce(docs["text"], F.lit("")).alias("__pg_text")
     files = sorted({f.rpartition("/")[2] for f in docs.inputFiles()}, key=lambda f: hashlib.md5(f.encode()).digest())[:SAMPLE_FILES]
     try:
-        of = [docs.where(F.col("_metadata.file_name") == f) for f in files]  # Spark skips the other files
+        own = docs.where(F.col("_metadata.file_name").isin(files))  # Spark skips the other files
+        picked = F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(max(1, own.count() // rows))) == 0
+        found = own.where(picked).select(text)
     except AnalysisException:
-        of = []
-    if not of:
-        return docs.select(text).where(F.octet_length("__pg_text") <= SAMPLE_BYTES).limit(rows)
-    own = [x.select(text).where(F.octet_length("__pg_text") <= SAMPLE_BYTES).orderBy(F.xxhash64("__pg_text"), "__pg_text").limit(-(-rows // len(of))) for x in of]
-    return functools.reduce(DataFrame.unionAll, own)
+        found = docs.select(text).limit(rows)
+    return found.where(F.octet_length("__pg_text") <= SAMPLE_BYTES)
 
 
 def _measured(sample: DataFrame) -> DataFrame:
