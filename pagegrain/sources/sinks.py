@@ -38,16 +38,17 @@ def cache_key(url, version: str = "1"):
     return F.substring(F.sha2(F.concat(F.lit(version + "|"), url), 256), 1, 32)
 
 
-def upserted(cache: DataFrame, pages: DataFrame) -> DataFrame:
-    """cache (url, content, saved) with pages' rows in place of its own: the latest a url, a new one on ties."""
-    cols = ["url", "content", "saved"]
+def upserted(cache: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
+    """cache (url, content, saved) with pages' rows in place of its own: the latest a key, a new one on ties. Another key than
+    the url is a further column of both, and of the result."""
+    cols = list(dict.fromkeys([key, "url", "content", "saved"]))
     both = cache.select(*cols, F.lit(0).alias("__new")).unionByName(pages.select(*cols, F.lit(1).alias("__new")))
-    latest = Window.partitionBy("url").orderBy(F.desc_nulls_last("saved"), F.desc("__new"), F.desc_nulls_last("content"))
-    return both.where("url is not null").withColumn("__r", F.row_number().over(latest)).where("__r = 1").select(*cols)
+    latest = Window.partitionBy(key).orderBy(F.desc_nulls_last("saved"), F.desc("__new"), F.desc_nulls_last("content"))
+    return both.where(F.col(key).isNotNull()).withColumn("__r", F.row_number().over(latest)).where("__r = 1").select(*cols)
 
 
-def deleted(rows: DataFrame, urls: DataFrame) -> DataFrame:
-    return rows.join(urls.select("url").distinct(), "url", "left_anti")
+def deleted(rows: DataFrame, urls: DataFrame, key: str = "url") -> DataFrame:
+    return rows.join(urls.select(key).distinct(), key, "left_anti")
 
 
 def pruned(cache: DataFrame, now, days: int = 30) -> DataFrame:
