@@ -70,3 +70,12 @@ def test_asof_like_a_plain_loop(spark, rows, forward, wrap):
     if rows < 100:
         assert asof(spark, one, two.limit(0), "k", "at", forward, wrap, rows).where("found is null").count() == len(left)
         assert asof(spark, one.limit(0), two, "k", "at", forward, wrap, rows).count() == 0
+
+
+def test_contained_deals_out_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(containment, "FEW", 20)  # in turns
+    texts = _texts()
+    sentences = _sentences(texts)
+    got = containment.contained(spark, spark.createDataFrame(sentences, "sentence_key bigint, sentence string"), spark.createDataFrame(texts, "text_key bigint, text string"))
+    assert Counter(tuple(r) for r in got.collect()) == Counter((s, t) for s, x in sentences if x for t, y in texts if y and x in y)
+    assert "hashpartitioning" not in got._jdf.queryExecution().toString()
