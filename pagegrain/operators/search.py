@@ -75,6 +75,9 @@ def address_bar(spark: SparkSession, commands: Sequence[str], hits: DataFrame, q
 
 
 def same_members(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(same): whether two frames hold the same rows, however often: neither has one that the other lacks."""
-    odd = one.subtract(two).unionAll(two.subtract(one))
-    return odd.agg((F.count("*") == 0).alias("same"))
+    """(same): whether two frames hold the same rows, however often: neither has one that the other lacks. Rows of both are counted
+    together, so that neither side is ever gathered."""
+    names = [f"c{i}" for i in range(len(one.columns))]
+    side = lambda rows, first: rows.toDF(*names).withColumns({"first": F.lit(first), "second": F.lit(not first)})
+    rows = side(one, True).unionAll(side(two, False)).groupBy(*names).agg(F.bool_or("first").alias("first"), F.bool_or("second").alias("second"))
+    return rows.agg((F.count_if(~(F.col("first") & F.col("second"))) == 0).alias("same"))
