@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
-#: Rows of a range.
-RANGE_ROWS = 500_000
+#: Rows of a range, and ranges that smaller ones may make at most: Spark sends the driver a sample of rows for each.
+RANGE_ROWS, SMALL_RANGES = 500_000, 200
 
 
 def asof(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, at: str, forward: bool = False, wrap: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -30,7 +30,8 @@ def asof(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, at: s
     both = written(spark, one.unionByName(two).withColumn("tie", F.monotonically_increasing_id()), "sides")
     turn = (lambda c: F.desc_nulls_last(c)) if forward else (lambda c: F.asc_nulls_first(c))
     order = [F.asc("k"), turn("t"), F.asc("side"), turn("v"), F.asc("tie")]
-    n = int(min(10_000, both.count() // range_rows + 1))
+    rows = both.count()
+    n = int(min(10_000, rows // range_rows + 1, max(SMALL_RANGES, rows // RANGE_ROWS + 1)))
     cut = both.repartitionByRange(n, *order).sortWithinPartitions(*order)
     cut = written(spark, cut.withColumn("id", F.monotonically_increasing_id()), "ranges").withColumn("part", F.shiftright("id", 33))
     inside = Window.partitionBy("part", "k").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -17,3 +17,15 @@ def test_same_members_gathers_neither_side(spark):
         assert [r.same for r in got.collect()] == [same]
     big = spark.range(1000).select((F.col("id") % 3).cast("string").alias("name"))
     assert "Join" not in _plan(search.same_members(big, big))
+
+
+def test_asof_makes_few_ranges_of_little(spark, monkeypatch):
+    from pagegrain.operators import asof
+
+    rows = spark.range(2000).select((F.col("id") % 3).alias("k"), F.col("id").alias("at"), F.col("id").alias("v"))
+    made, cut = [], type(rows).repartitionByRange
+    monkeypatch.setattr(type(rows), "repartitionByRange", lambda self, n, *order: made.append(n) or cut(self, n, *order))
+    monkeypatch.setattr(asof, "SMALL_RANGES", 20)
+    found = asof.asof(spark, rows, rows.where("v % 10 = 0"), "k", "at", range_rows=10)
+    assert found.count() == 2000 and found.where("found is null or found.v <= at and at - found.v < 30").count() == 2000
+    assert made == [20]
