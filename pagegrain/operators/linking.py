@@ -14,18 +14,20 @@ ROUNDS = 40
 def settled(spark: SparkSession, moves: DataFrame) -> DataFrame:
     """(doc, slug, to_doc, to_slug) of moves of that form, each followed until it leads to what hasn't moved: ways are joined with themselves, so
     that a way of n moves takes log2(n) rounds. What goes round in a circle leads nowhere: null. Of several moves of a section the least counts;
-    a section that moves onto itself hasn't moved."""
+    a section that moves onto itself hasn't moved.
+
+    The places that open ways stand at become fewer from round to round, until they map onto themselves: then all of them are in circles."""
     two = F.struct("to_doc", "to_slug")
     ways = moves.where("doc is not null and slug is not null and to_doc is not null and to_slug is not null and not (doc = to_doc and slug = to_slug)")
     ways = written(spark, ways.groupBy("doc", "slug").agg(F.min(two).alias("t")).select("doc", "slug", "t.to_doc", "t.to_slug"), "ways")
+    places = None
     for _ in range(ROUNDS):
         on = ways.select(F.col("doc").alias("to_doc"), F.col("slug").alias("to_slug"), F.col("to_doc").alias("then_doc"), F.col("to_slug").alias("then_slug"))
         step = ways.join(on, ["to_doc", "to_slug"], "left").withColumn("moved", F.col("then_doc").isNotNull())
-        step = written(spark, step.select("doc", "slug", F.coalesce("then_doc", "to_doc").alias("to_doc"), F.coalesce("then_slug", "to_slug").alias("to_slug"), "moved"), "ways")
-        circle = (F.col("doc") == F.col("to_doc")) & (F.col("slug") == F.col("to_slug"))
-        open_ways = step.where(F.col("moved") & ~circle).count()
-        ways = step.drop("moved")
-        if not open_ways:
+        step = written(spark, step.select("doc", "slug", F.coalesce("then_doc", "to_doc").alias("to_doc"), F.coalesce("then_slug", "to_slug").alias("to_slug"), F.when(F.col("moved"), F.struct("to_doc", "to_slug")).alias("place")), "ways")
+        before, places = places, step.where("place is not null").select("place").distinct().count()
+        ways = step.drop("place")
+        if places in (0, before):
             break
     # What still leads to a section that moves is in a circle, or leads into one.
     still = ways.select(F.col("doc").alias("to_doc"), F.col("slug").alias("to_slug"), F.lit(True).alias("still"))

@@ -29,3 +29,18 @@ def test_asof_makes_few_ranges_of_little(spark, monkeypatch):
     found = asof.asof(spark, rows, rows.where("v % 10 = 0"), "k", "at", range_rows=10)
     assert found.count() == 2000 and found.where("found is null or found.v <= at and at - found.v < 30").count() == 2000
     assert made == [20]
+
+
+def test_ways_into_circles_end_early(spark, monkeypatch):
+    from pagegrain.operators import linking
+
+    tables, kept = [], linking.written
+    monkeypatch.setattr(linking, "written", lambda s, df, name: tables.append(name) or kept(s, df, name))
+    moves = {**{i: i + 1 for i in range(20)}, 30: 31, 31: 32, 32: 30, 40: 41, 41: 30, 42: 40, 50: 51}
+    rows = spark.createDataFrame([(a, "s", b, "s") for a, b in moves.items()], "doc bigint, slug string, to_doc bigint, to_slug string")
+
+    def end(x, n=0):
+        return end(moves[x], n + 1) if x in moves and n < 99 else (None if x in moves else x)
+
+    assert {r.doc: r.to_doc for r in linking.settled(spark, rows).collect()} == {a: end(a) for a in moves}
+    assert len(tables) < 12
