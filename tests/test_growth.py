@@ -44,3 +44,16 @@ def test_ways_into_circles_end_early(spark, monkeypatch):
 
     assert {r.doc: r.to_doc for r in linking.settled(spark, rows).collect()} == {a: end(a) for a in moves}
     assert len(tables) < 12
+
+
+def test_pages_become_objects_a_few_at_a_time():
+    import pyarrow as pa
+
+    from pagegrain.operators import extraction
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(250)), "url": ["http://a/"] * 250, "html": [f"<p>text {i}</p>" for i in range(250)]})
+    for run in (extraction._extracted, extraction._with_source):
+        found = list(run([batch]))
+        assert max(map(len, found)) <= 100
+        assert [r["page_id"] for b in found for r in b.to_pylist()] == list(range(250))
+    assert all(r["markdown"].strip() == f"text {r['page_id']}" and r["html"] == f"<p>{r['markdown'].strip()}</p>" for b in found for r in b.to_pylist())
