@@ -58,11 +58,14 @@ def _end_bucket(end: Column) -> Column:
     return _bucket(F.left(end, F.lit(2)), END_BUCKETS)
 
 
-def _stored(spark: SparkSession, df: DataFrame, path: str, *order: str) -> None:
-    """df in folders by bucket, sorted; a bucket with a word of many entries is written by several tasks. df is worked out once."""
-    df.write.option("compression", "zstd").parquet(f"{path}-raw")
+def _stored(spark: SparkSession, df: DataFrame, path: str, *order: str, **made: Column) -> None:
+    """df in folders by bucket, sorted; a bucket with a word of many entries is written by several tasks. df is worked out once, and sorted within its
+    own tasks already: rows of one word side by side take less room in what is shuffled. made: columns that are worked out of others (and of `at`, which goes) when
+    the rows lie in their places."""
+    (df if made else df.sortWithinPartitions("bucket", *order)).write.option("compression", "zstd").parquet(f"{path}-raw")
     raw = spark.read.parquet(f"{path}-raw")
-    cut = raw.repartitionByRange(int(min(100_000, raw.count() // TASK_ROWS + 1)), "bucket", *order).sortWithinPartitions("bucket", *order)
+    cut = raw.repartitionByRange(int(min(100_000, raw.count() // TASK_ROWS + 1)), "bucket", *[made.get(c, F.col(c)) for c in order])
+    cut = cut.withColumns(made).drop("at").sortWithinPartitions("bucket", *order)
     cut.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     removed(spark, f"{path}-raw")
 
@@ -71,14 +74,18 @@ def build(spark: SparkSession, entries: DataFrame, key: str, body: str, title: s
     """The index of entries, a row each. Null bodies and titles have no words; keys tell entries apart, and rows of one key count as one
     entry, which has the words of both. An empty table gives an empty index."""
     index = Index(path or own_path(spark, "postings"), entries.schema[key].dataType.simpleString())
-    field = lambda c, name: entries.select(F.col(key).alias("entry"), F.lit(name).alias("field"), F.lower(F.col(c)).alias("t"), F.posexplode(tokens(F.col(c))).alias("first", "word"))
-    each = field(body, "body").unionByName(field(title, "title")).withColumn("opens", (F.col("first") == 0) & F.col("t").startswith(F.col("word")))
+    # Texts are dealt out by key, so that words meet within a task: a text is far smaller than its postings.
+    field = lambda c, name: F.struct(F.lit(name).alias("field"), F.lower(F.col(c)).alias("t"))
+    each = entries.select(F.col(key).alias("entry"), body, title).repartition("entry").select("entry", F.explode(F.array(field(body, "body"), field(title, "title"))).alias("f"))
+    each = each.select("entry", "f.field", "f.t", F.posexplode(F.regexp_extract_all("f.t", F.lit(TERM), F.lit(0))).alias("first", "word"))
+    each = each.withColumn("opens", (F.col("first") == 0) & F.col("t").startswith(F.col("word")))
     found = each.groupBy("word", "entry", "field").agg(F.count("*").alias("n"), F.min("first").cast("long").alias("first"), F.bool_or("opens").alias("opens"))
     _stored(spark, found.withColumn("bucket", _bucket(F.col("word"), BUCKETS)), f"{index.path}/postings", "word", "entry", "field")
     spread = index.postings(spark).groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
-    ends = spread.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("word") - 1, F.lit(1))), lambda i: F.substr(F.col("word"), i))).alias("end"))
-    ends = ends.where("char_length(end) > 1").groupBy("end", "word").agg(F.min("df").alias("df"), F.min("n").alias("n"), F.count("*").alias("times"))
-    _stored(spark, ends.withColumn("bucket", _end_bucket(F.col("end"))), f"{index.path}/words", "end", "word")
+    # A word's ends differ in length, so that each is there once; until they lie in their places they are numbers.
+    ends = spread.where("char_length(word) > 1").select("*", F.explode(F.sequence(F.lit(1), F.char_length("word") - 1)).alias("at"))
+    end = F.substr(F.col("word"), F.col("at"))
+    _stored(spark, ends.withColumn("bucket", _end_bucket(end)), f"{index.path}/words", "end", "word", end=end, times=F.lit(1).cast("long"))
     return index
 
 

@@ -57,3 +57,16 @@ def test_pages_become_objects_a_few_at_a_time():
         assert max(map(len, found)) <= 100
         assert [r["page_id"] for b in found for r in b.to_pylist()] == list(range(250))
     assert all(r["markdown"].strip() == f"text {r['page_id']}" and r["html"] == f"<p>{r['markdown'].strip()}</p>" for b in found for r in b.to_pylist())
+
+
+def test_index_deals_out_texts_not_postings(spark, tmp_path, monkeypatch):
+    from pagegrain.operators import postings
+
+    plans, stored = [], postings._stored
+    monkeypatch.setattr(postings, "_stored", lambda s, df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(s, df, *a, **k))
+    rows = [(1, "Ab ab c", "t"), (1, "ab", None), (2, None, "ab"), (3, "x ab", "")]
+    index = postings.build(spark, spark.createDataFrame(rows, "k bigint, b string, t string"), "k", "b", "t", str(tmp_path / "index"))
+    got = sorted((r.word, r.entry, r.field, r.n, r.first, r.opens) for r in index.postings(spark).where("word = 'ab'").collect())
+    assert got == [("ab", 1, "body", 3, 0, True), ("ab", 2, "title", 1, 0, True), ("ab", 3, "body", 1, 1, False)]
+    assert [(r.end, r.df, r.n, r.times) for r in index.words(spark).where("word = 'ab'").collect()] == [("ab", 3, 5, 1)]
+    assert plans[0].count("Exchange") == 1 and "hashpartitioning(entry" in plans[0]
