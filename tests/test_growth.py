@@ -70,3 +70,20 @@ def test_index_deals_out_texts_not_postings(spark, tmp_path, monkeypatch):
     assert got == [("ab", 1, "body", 3, 0, True), ("ab", 2, "title", 1, 0, True), ("ab", 3, "body", 1, 1, False)]
     assert [(r.end, r.df, r.n, r.times) for r in index.words(spark).where("word = 'ab'").collect()] == [("ab", 3, 5, 1)]
     assert plans[0].count("Exchange") == 1 and "hashpartitioning(entry" in plans[0]
+
+
+def test_leaks_are_looked_for_only_where_a_part_of_them_is(spark):
+    from pagegrain.operators import markdown
+
+    said = ["cookie", "Cookies", "consentimiento", "Consent", "aceptar todas", "accept all", "newsletter", "boletín", "BOLETIN", "suscríbete", "suscribete", "subscribe to", "sign in", "log in", "iniciar sesión",
+        "acceder", "register", "regístrate", "REGISTRATE", "advertisement", "publicidad", "sponsored", "patrocinado", "share this", "comparte", "compartir", "copy link", "comparte este artículo", "related post", "related posts",
+        "artículos relacionados", "te puede interesar", "read more", "leer más", "leer mas", "comment", "comments", "comentarios", "all rights reserved", "todos los derechos reservados", "privacy policy", "política de privacidad",
+        "terms of use", "terms of service", "follow us", "síguenos", "siguenos", "twitter", "facebook", "instagram", "linkedin", "youtube", "telegram", "whatsapp", "skip to content", "skip to main content", "navigation",
+        "menú principal", "menu principal", "main menu", "breadcrumb", "download our app", "download the app", "descarga nuestra app", "descarga la app", "enable javascript", "activa javascript", "subscribe now",
+        "suscríbete ahora", "already a subscriber", "ya eres suscriptor", "paywall", "premium", "nothing", "", None]
+    forms = (lambda x: x, str.upper, lambda x: x.replace("i", "İ"), lambda x: x.replace("i", "ı"), lambda x: x.replace("s", "ſ"), lambda x: x.replace("k", "K"))
+    rows = spark.createDataFrame([(t if t is None else f"a {f(t)} b {t}",) for t in said for f in forms], "t string")
+    plain = F.array(*[F.struct(F.lit(k).alias("key"), F.regexp_count("t", F.lit("(?U)" + p)).cast("int").alias("value")) for k, p in markdown.LEAKS.items()])
+    both = rows.select("t", markdown.leaks(F.col("t")).alias("got"), F.map_from_entries(F.filter(plain, lambda e: e.value > 0)).alias("want")).collect()
+    assert [(r.t, r.got) for r in both] == [(r.t, r.want) for r in both]
+    assert {k for r in both for k in r.got or ()} == set(markdown.LEAKS) == set(markdown.LEAK_PARTS)
