@@ -87,3 +87,17 @@ def test_leaks_are_looked_for_only_where_a_part_of_them_is(spark):
     both = rows.select("t", markdown.leaks(F.col("t")).alias("got"), F.map_from_entries(F.filter(plain, lambda e: e.value > 0)).alias("want")).collect()
     assert [(r.t, r.got) for r in both] == [(r.t, r.want) for r in both]
     assert {k for r in both for k in r.got or ()} == set(markdown.LEAKS) == set(markdown.LEAK_PARTS)
+
+
+def test_code_patterns_run_only_where_a_part_of_them_is(spark):
+    from pagegrain.functions import code
+
+    more = ["func (a *B) C() {}", "type A struct {", "if err != nil {", "b := []int{1}\nm := map[string]int{}\ngo func() {}", "class A(B):\n  for x in y:\n    pass\n", "import a.b as c\n", "import x from 'y'", "async function f() {}\nx => 1", "as const",
+        "insert into t", "Create Table t", "UPDATE t SET", "delete FROM t", "Inner  Join x", "impl<T> A", "&mut x", "@Override", "private int f(int a) throws E {", "var a = new B", "public static class A", "internal record R", "sudo x", "go run x", "function f(a): string {", "const a: B", "pip3 x"]
+    texts = spark.createDataFrame([(x,) for x in [*code.SAMPLES, *more]], "t string")
+    for k, signals in code.SIGNALS.items():
+        for (_, p), parts in zip(signals, code.PARTS[k], strict=True):
+            held = [r.t for r in texts.where(F.col("t").rlike("(?d)" + p)).collect()]
+            assert all(any(x in (t.lower() if k == "sql" else t) for x in parts) for t in held), (k, p)
+    plan = texts.select(code.guessed_language(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") <= 2  # once, and in the name: a text is trimmed once, not for each pattern
