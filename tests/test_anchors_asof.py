@@ -2,7 +2,10 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagegrain.operators import containment
@@ -79,3 +82,27 @@ def test_contained_deals_out_no_candidates(spark, monkeypatch):
     got = containment.contained(spark, spark.createDataFrame(sentences, "sentence_key bigint, sentence string"), spark.createDataFrame(texts, "text_key bigint, text string"))
     assert Counter(tuple(r) for r in got.collect()) == Counter((s, t) for s, x in sentences if x for t, y in texts if y and x in y)
     assert "hashpartitioning" not in got._jdf.queryExecution().toString()
+
+
+def test_sentences_of_few_words_share_no_anchor(spark, monkeypatch):
+    """Else each is held against all texts that have one common word: work as the square of the input."""
+    seen, write = [], containment.written
+    monkeypatch.setattr(containment, "written", lambda *a: seen.append(write(*a)) or seen[-1])
+    sentences = [(i, x) for i, x in enumerate([x for k in range(40) for x in (f"word alph{k:02}", f"one the alph{k:02}", f"one of the alph{k:02}")])]
+    texts = [(i, "word one the of the word " * 3 + f"alph{i:02}. " + " ".join(x for _, x in sentences if x.endswith(f"{i:02}"))) for i in range(40)]
+    got = containment.contained(spark, spark.createDataFrame(sentences, "sentence_key bigint, sentence string"), spark.createDataFrame(texts, "text_key bigint, text string"))
+    assert Counter(tuple(r) for r in got.collect()) == Counter((s, t) for s, x in sentences for t, y in texts if x in y)
+    assert sum(t.select("h").distinct().count() for t in seen if "h" in t.columns) == len(sentences)
+
+
+@pytest.mark.parametrize("block", [1, 5, 1 << 15])
+def test_windows_of_texts_at_all_places(monkeypatch, block):
+    monkeypatch.setattr(containment, "BLOCK", block)
+    texts = ["left out", "a", "", "éü😀 the end of it, and more of it than a block holds", "ab" * 40, "a"]
+    batch = pa.RecordBatch.from_pydict({"text": texts}).slice(1)
+    widths = list(containment.WIDTHS)
+    (out,) = containment._found(widths, SimpleNamespace(value=np.full(1024, 255, np.uint8)), ["text"])(iter([batch]))
+    for text, hs in zip(texts[1:], out.column("hs").to_pylist(), strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        want = {int(h) for w in widths for i in range(len(raw) - w + 1) for h in containment._hashed(raw[i : i + w], [w])[w].view(np.int64)}
+        assert len(hs) == len(want) and set(hs) == want
